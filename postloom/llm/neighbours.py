@@ -6,8 +6,9 @@ indexed. Inside a probed list, distances grow block by block, and a hypothesis t
 partial distance cannot belong to a vector within the radius any more.
 
 For a threshold the lists to probe follow from geometry: if x lies in the cell of c and |x - q| <= r, then q is no
-farther than r from the bisector of c and q's own centroid. So only boundary vectors visit other lists, and no pair is
-lost by probing. A list with more than ``list_rows`` rows is cut into blocks, and its vectors visit the later blocks.
+farther than r from the border between c and q's own centroid, and most likely much nearer. So only vectors near a
+border visit other lists. A list with more than ``block_rows`` rows is cut into blocks, and its vectors visit the later
+blocks. Vectors travel as 16-bit numbers.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ from postloom.storage import cut
 #: Rows of the sample on which centroids are fitted.
 SAMPLE_ROWS = 20_000
 #: Rows a list should hold, and rows beyond which it is cut into blocks.
-LIST_ROWS, BLOCK_ROWS = 2_000, 8_192
+LIST_ROWS, BLOCK_ROWS = 6_000, 8_192
+#: Standard deviations of a displacement across a border up to which the list behind it is visited.
+SIGMAS = 4.0
+#: Fixed-point scale of shipped vectors (16 bits a value), and what that may cost a squared distance.
+SCALE, SLACK = 32_767, 4e-5
 #: Lists at most, which bounds the centroids that every task receives.
 MOST_LISTS = 4_096
 #: Columns of a block of the scan, and the width of the test in standard deviations.
@@ -117,32 +122,36 @@ def scan(q: np.ndarray, x: np.ndarray, radius2: float, upper: bool = False, step
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
 
 
-def route(v: np.ndarray, c: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Own list of each vector, and the later lists that may hold a vector within ``radius`` of it."""
+def route(v: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own list of each vector, and (row, list) of its visits: the later lists whose border is within ``reach`` of it."""
     d = (c * c).sum(1)[None] - 2 * v @ c.T
     own = d.argmin(1)
     between = np.sqrt(np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * c @ c.T, 1e-12))
-    near = (d - d[np.arange(len(v)), own][:, None]) / (2 * between[own]) <= radius + 1e-5
-    return own, [(k := np.flatnonzero(row))[k > o] for row, o in zip(near, own, strict=True)]
+    near = (d - d[np.arange(len(v)), own][:, None]) / (2 * between[own]) <= reach
+    near &= np.arange(len(c))[None] > own[:, None]
+    return own, *np.nonzero(near)
 
 
-def similar_pairs(vectors: DataFrame, cosine: float, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_pairs(vectors: DataFrame, cosine: float, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS, sigmas: float = SIGMAS) -> DataFrame:
     """(vec_a, vec_b): all pairs of different names whose vectors have a cosine of at least ``cosine``, smaller name first.
 
     ``vectors`` as from prepare(). An empty table gives no pairs. Exact copies under several names are pairs like others.
+    A displacement of length r has a standard deviation of r / sqrt(dimensions) along any one direction, so a vector
+    visits the lists whose border is within ``sigmas`` of these; with sqrt(dimensions) sigmas no visit can be missed.
     """
     spark = vectors.sparkSession
     vectors = cut(vectors, "vectors")
     sample, n = sample_of(vectors, sample_rows)
     if n < 2:
         return spark.createDataFrame([], "vec_a string, vec_b string")
-    turn = rotation(sample.shape[1])
+    dim = sample.shape[1]
+    turn = rotation(dim)
     sample = sample @ turn
     c = fit_centroids(sample, min(MOST_LISTS, -(-n // list_rows)))
     share = np.bincount(((c * c).sum(1) - 2 * sample @ c.T).argmin(1), minlength=len(c)) * (n / len(sample))
     blocks = np.maximum(1, np.ceil(share / block_rows)).astype(int)
     radius2 = 2 - 2 * cosine
-    radius = math.sqrt(radius2)
+    reach = math.sqrt(radius2) * min(1.0, sigmas / math.sqrt(dim)) + 1e-5
     held = spark.sparkContext.broadcast((c, turn, blocks))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,34 +160,40 @@ def similar_pairs(vectors: DataFrame, cosine: float, sample_rows: int = SAMPLE_R
             if not len(pdf):
                 continue
             v = stack(pdf["emb"]) @ turn
-            own, visits = route(v, c, radius)
-            block = pd.util.hash_pandas_object(pdf["name"], index=False).to_numpy() % blocks[own].astype(np.uint64)
-            at, cell, part, guest = [], [], [], []
-            for i in range(len(v)):
-                places = [(own[i], b, b > block[i]) for b in range(int(block[i]), blocks[own[i]])] + [(k, b, True) for k in visits[i] for b in range(blocks[k])]
-                at += [i] * len(places)
-                for k, b, g in places:
-                    cell.append(int(k))
-                    part.append(int(b))
-                    guest.append(bool(g))
-            yield pd.DataFrame({"cell": cell, "part": part, "guest": guest, "name": pdf["name"].to_numpy()[at], "emb": list(v[at])})
-
-    cells = vectors.mapInPandas(placed, "cell int, part int, guest boolean, name string, emb array<float>")
+            own, row, visit = route(v, c, reach)
+            block = (pd.util.hash_pandas_object(pdf["name"], index=False).to_numpy() % blocks[own].astype(np.uint64)).astype(np.int64)
+            rest = blocks[own] - block - 1  # the later blocks of the own list
+            at = [np.arange(len(v)), np.repeat(np.arange(len(v)), rest), np.repeat(row, blocks[visit])]
+            later = np.repeat(block + 1, rest) + np.arange(rest.sum()) - np.repeat(np.cumsum(rest) - rest, rest)
+            each = blocks[visit]
+            every = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            fixed = np.clip(np.rint(v * SCALE), -SCALE, SCALE).astype("<i2")
+            payload = [x.tobytes() for x in fixed]
+            at = np.concatenate(at)
+            yield pd.DataFrame({
+                "cell": np.concatenate([own, own[np.repeat(np.arange(len(v)), rest)], np.repeat(visit, each)]).astype(np.int32),
+                "part": np.concatenate([block, later, every]).astype(np.int32),
+                "guest": np.arange(len(at)) >= len(v),
+                "name": pdf["name"].to_numpy()[at],
+                "vec": [payload[i] for i in at],
+            })
+
+    cells = vectors.mapInPandas(placed, "cell int, part int, guest boolean, name string, vec binary")
+
+    def unpack(column: pd.Series) -> np.ndarray:
+        v = np.frombuffer(b"".join(column), "<i2").reshape(len(column), -1).astype(np.float32)
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         home, guest = pdf[~pdf["guest"]], pdf[pdf["guest"]]
         hn, gn = home["name"].to_numpy(), guest["name"].to_numpy()
         pairs = []
         if len(home):
-            h = stack(home["emb"])
-            i, j = scan(h, h, radius2, upper=True)
-            keep = (h[i] * h[j]).sum(1, dtype=np.float64) >= cosine - 1e-7
-            pairs += zip(hn[i[keep]], hn[j[keep]], strict=True)
-            if len(guest):
-                g = stack(guest["emb"])
-                i, j = scan(g, h, radius2)
-                keep = (g[i] * h[j]).sum(1, dtype=np.float64) >= cosine - 1e-7
-                pairs += zip(gn[i[keep]], hn[j[keep]], strict=True)
+            h = unpack(home["vec"])
+            for left, names in ((h, hn), (unpack(guest["vec"]), gn)) if len(guest) else ((h, hn),):
+                i, j = scan(left, h, radius2 + SLACK, upper=left is h)
+                keep = (left[i] * h[j]).sum(1, dtype=np.float64) >= cosine - SLACK / 2
+                pairs += zip(names[i[keep]], hn[j[keep]], strict=True)
         return pd.DataFrame([(a, b) if a < b else (b, a) for a, b in pairs], columns=["vec_a", "vec_b"])
 
     return cells.groupBy("cell", "part").applyInPandas(joined, "vec_a string, vec_b string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import neighbours, terms, topn
+from postloom.llm import leakage, neighbours, residue, terms, topn
 from postloom.storage import read_table
 
 EXEMPLARS = 5
@@ -56,10 +56,20 @@ def p6_style_scores(spark: SparkSession, d: str) -> DataFrame:
     return terms.score_terms(counted, n).select("rec_key", "term", F.round("dfr", 6).alias("dfr"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(read_table(spark, d, "documents", "doc_id", "text"), read_table(spark, d, "eval_items", "item_id", "passage"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(read_table(spark, d, "documents", "doc_id", "source", "text"))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_nearest": p5_nearest,
     "p6_found": p6_found,
     "p6_style_scores": p6_style_scores,
+    "p9_found": p9_found,
+    "p10_found": p10_found,
 }
