@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import leakage, neighbours, residue, terms, topn
+from postloom.llm import leakage, markup, neighbours, residue, terms, topn
 from postloom.storage import read_table
 
 EXEMPLARS = 5
@@ -56,6 +56,18 @@ def p6_style_scores(spark: SparkSession, d: str) -> DataFrame:
     return terms.score_terms(counted, n).select("rec_key", "term", F.round("dfr", 6).alias("dfr"))
 
 
+def cleaned_topics(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_markup(read_table(spark, d, "topics", "id", "source", "text", "text_clean"), "id", "source", ["text", "text_clean"])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return cleaned_topics(spark, d).select(F.col("rec_id").alias("topic_id"), "rec_field", F.explode("markup_types").alias("markup_type"))
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    return cleaned_topics(spark, d).select(F.col("rec_id").alias("topic_id"), "rec_field", "clean")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(read_table(spark, d, "documents", "doc_id", "text"), read_table(spark, d, "eval_items", "item_id", "passage"))
 
@@ -70,6 +82,8 @@ QUERIES = {
     "p5_nearest": p5_nearest,
     "p6_found": p6_found,
     "p6_style_scores": p6_style_scores,
+    "p7_found": p7_found,
+    "p7_clean": p7_clean,
     "p9_found": p9_found,
     "p10_found": p10_found,
 }
