@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import leakage, markup, neighbours, residue, terms, topn
+from postloom.llm import leakage, markup, neighbours, pii, residue, terms, topn
 from postloom.storage import read_table
 
 EXEMPLARS = 5
 
 
+def personal(spark: SparkSession, d: str) -> DataFrame:
+    topics = pii.mask_personal(read_table(spark, d, "topics", "id", "text"), "id", "text").withColumn("rec_table", F.lit("topics"))
+    clusters = pii.mask_personal(read_table(spark, d, "message_clusters", "topic_id", "text"), "topic_id", "text").withColumn("rec_table", F.lit("message_clusters"))
+    return topics.unionByName(clusters)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal(spark, d).select("rec_table", "rec_id", F.explode("info_types").alias("info_type")).distinct()
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    return personal(spark, d).select("rec_table", "rec_id", "masked").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "message_clusters", "section", "cluster_id", "topic_id", "score").filter("cluster_id <> -1")
     return topn.top_n(rows, ["section", "cluster_id"], "score", "topic_id", EXEMPLARS).drop("score")
@@ -77,6 +91,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_masked": p1_masked,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_nearest": p5_nearest,
