@@ -74,6 +74,8 @@ def _phone(r: random.Random, ru: bool) -> str:
 def _id(r: random.Random, ru: bool) -> str:
     masks = ["dd dd dddddd", "dddd № dddddd", "dddd dddddd", "ddd-ddd-ddd dd", "ddddddddddd", "dddddddddddd", "dddd dddddd, код ddd-ddd"] if ru else ["ddd-dd-dddd", "ddd dd dddd", "ddddddddd", "Xdddddddd", "Dddd-dddd-dddd", "ZZ dd dd dd Q", "dddddddddd", "AB dddddd C", "N ddddddd"]
     mask = r.choice(masks)
+    if r.random() < 0.4:
+        mask = mask.replace("dd", "00", 1)
     return mask[0] + _digits(r, mask[1:]) if mask[0] == "D" else _digits(r, mask)
 
 
@@ -135,6 +137,6 @@ def sentences(n: int, seed: int = 0) -> list[tuple[str, set[tuple[int, int, str]
             else:
                 text += _fill(r, r.choice(NEGATIVE)) if p < 0.85 else r.choice(FILLER)
         low = r.random()
-        text = text.lower() if low < 0.12 and len(text.lower()) == len(text) else text
+        text = text.lower() if low < 0.15 else text.upper() if low > 0.9 else text
         out.append((text, gold))
     return out

@@ -25,6 +25,8 @@ EN = (
 )
 # Forms of names that are also common words.
 COMMON = "семена семен роза розы розу розе розой роман романа роману романом романе вера веры веру верой вере любовь любви надежда надежды надежду надеждой лев льва майя марка марки марку марке марок рая нина яна rose rosa grace mark violet lily frank jack will ivy miles bill bob sue max ray gene art faith hope dale robin kit rob may ian tim pat"
+# Case forms that are left out, as they nearly always are another word.
+OTHER = "семена рая мая юля юле рома"
 # Names whose stem changes in other cases.
 STEMS = {"лев": "льв", "пётр": "петр", "павел": "павл", "любовь": "любов", "фёдор": "фёдор", "семён": "семён", "артём": "артём"}
 
@@ -52,4 +54,4 @@ def given_forms() -> frozenset[str]:
     for names, woman in ((RU_MEN, False), (RU_WOMEN, True)):
         for n in names.split():
             forms |= _cases(n, woman)
-    return frozenset(forms | {f.replace("ё", "е") for f in forms} - {""})
+    return frozenset(forms | {f.replace("ё", "е") for f in forms} - {"", *OTHER.split()})
