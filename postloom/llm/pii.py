@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import math
+import pkgutil
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -217,7 +218,7 @@ class SemiCRF:
     @classmethod
     @cache
     def stored(cls) -> SemiCRF:
-        return cls(json.loads(WEIGHTS.read_text(encoding="utf-8")))
+        return cls(json.loads(pkgutil.get_data("postloom.llm", "weights/pii_semicrf.json")))
 
     def lattice(self, text: str) -> list[tuple[int, int, str, list[str], float]]:
         out = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import leakage, markup, neighbours, pii, residue, terms, topn
+from postloom.llm import abuse, leakage, markup, neighbours, pii, residue, terms, topn
 from postloom.storage import read_table
 
 EXEMPLARS = 5
@@ -25,6 +25,26 @@ def p1_masked(spark: SparkSession, d: str) -> DataFrame:
     return personal(spark, d).select("rec_table", "rec_id", "masked").distinct()
 
 
+def abuse_scores(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    out = None
+    for table, key, text in (("topics", "id", "text"), ("post_responses", "request_id", "post_text"), ("moderation_requests", "request_id", "text")):
+        part = abuse.score_abuse(read_table(spark, d, table, key, text), key, text).withColumn("rec_table", F.lit(table))
+        if more:
+            part = part.join(read_table(spark, d, table, key, *more).select(F.col(key).alias("rec_id"), *more).dropDuplicates(["rec_id"]), "rec_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_scores(spark, d).filter(F.col("score") >= abuse.THRESHOLD).select("rec_table", "rec_id").distinct()
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each source and the share of them with abuse; repeated rows count once."""
+    each = abuse_scores(spark, d, "source").groupBy("rec_table", "rec_id", "source").agg(F.max("score").alias("score"))
+    return each.groupBy("rec_table", "source").agg(F.count("*").alias("records"), F.count_if(F.col("score") >= abuse.THRESHOLD).alias("bad")).withColumn("rate", F.round(F.col("bad") / F.col("records"), 6))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "message_clusters", "section", "cluster_id", "topic_id", "score").filter("cluster_id <> -1")
     return topn.top_n(rows, ["section", "cluster_id"], "score", "topic_id", EXEMPLARS).drop("score")
@@ -93,6 +113,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_masked": p1_masked,
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_nearest": p5_nearest,
