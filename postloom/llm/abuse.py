@@ -32,6 +32,8 @@ BUCKETS, DIM, HIDDEN = 4096, 20, 24
 THRESHOLD = 0.5
 #: Labelled texts used for fitting at most.
 MOST_LABELS = 4000
+#: Windows of unlabelled texts used for fitting at most.
+MOST_BACKGROUND = 20000
 WEIGHTS = Path(__file__).parent / "weights" / "abuse_bigru.npz"
 
 _UNSEEN = re.compile("[​-‏⁠﻿­]")
@@ -260,10 +262,10 @@ def score_abuse(records: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInPandas(each, "rec_id long, score double")
 
 
-def label_windows(net: BiGRU, labelled: list[tuple[str, int]]) -> list[tuple[list[str], int, float]]:
+def label_windows(net: BiGRU, labelled: list[tuple[str, int, int]]) -> list[tuple[list[str], int, float]]:
     """Windows of labelled texts: all of a harmless text, and of a bad one the window that scores highest."""
     out = []
-    for text, bad in labelled:
+    for text, bad, raters in labelled:
         ws = tokens(text)
         windows = [ws[s : s + WIDTH] for s in window_starts(len(ws))]
         if not windows:
@@ -273,33 +275,55 @@ def label_windows(net: BiGRU, labelled: list[tuple[str, int]]) -> list[tuple[lis
             grid = np.full((len(windows), WIDTH), len(vocabulary), np.int64)
             for k, w in enumerate(windows):
                 grid[k, : len(w)] = [vocabulary[x] for x in w]
-            out.append((windows[int(net.score(grid, net.vectors(list(vocabulary))).argmax())], 1, 1.0))
+            scores = net.score(grid, net.vectors(list(vocabulary)))
+            if scores.max() > (0.5 if raters > 1 else 0.9):  # a verdict may be an error
+                out.append((windows[int(scores.argmax())], 1, 1.0))
         else:
             out += [(w, 0, 0.5) for w in windows]
     return out
 
 
-def labelled_texts(folder: str, most: int = MOST_LABELS) -> list[tuple[str, int]]:
-    """Texts with the majority of their raters' verdicts; ties and missing verdicts are left out; at most ``most``."""
+def labelled_texts(folder: str, most: int = MOST_LABELS) -> list[tuple[str, int, int]]:
+    """Texts with the majority of their raters' verdicts and their number; ties and missing verdicts are left out; at most ``most``."""
     tables = {"topics": ("id", "text"), "post_responses": ("request_id", "post_text"), "moderation_requests": ("request_id", "text")}
     labels = pd.read_parquet(f"{folder}/moderation_labels.parquet").dropna(subset=["is_bad"])
-    votes = labels.groupby(["rec_table", "rec_id"])["is_bad"].mean()
-    votes = votes[votes != 0.5].sort_index()
+    votes = labels.groupby(["rec_table", "rec_id"])["is_bad"].agg(["mean", "size"])
+    votes = votes[votes["mean"] != 0.5].sort_index()
     votes = votes.iloc[np.random.default_rng(0).permutation(len(votes))[:most]]
     texts = {t: pd.read_parquet(f"{folder}/{t}.parquet", columns=[i, c]).dropna().drop_duplicates(i).set_index(i)[c] for t, (i, c) in tables.items()}
-    return [(texts[t][i], int(v > 0.5)) for (t, i), v in votes.items() if i in texts[t].index]
+    return [(texts[t][i], int(v > 0.5), int(n)) for (t, i), v, n in votes.itertuples(name=None) if i in texts[t].index]
+
+
+def background(net: BiGRU, folder: str, most: int = MOST_BACKGROUND, below: float = 0.9) -> list[tuple[list[str], int, float]]:
+    """Windows of unlabelled posts that the network does not hold for abuse, as harmless ones of little weight."""
+    posts = pd.read_parquet(f"{folder}/topics.parquet", columns=["id", "text"]).dropna().drop_duplicates("id").sort_values("id")
+    order = np.random.default_rng(1).permutation(len(posts))
+    out: list[list[str]] = []
+    for text in posts["text"].iloc[order]:
+        ws = tokens(text)
+        out += [ws[s : s + WIDTH] for s in window_starts(len(ws))]
+        if len(out) >= most:
+            break
+    vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in out for w in ws))}
+    grid = np.full((len(out), WIDTH), len(vocabulary), np.int64)
+    for k, ws in enumerate(out):
+        grid[k, : len(ws)] = [vocabulary[w] for w in ws]
+    return [(ws, 0, 0.5) for ws, x in zip(out, net.score(grid, net.vectors(list(vocabulary))), strict=True) if x < below]
 
 
 def main(folder: str | None = None) -> None:
     from postloom.llm.abuse_corpus import windows
 
     net = BiGRU()
-    made = [(tokens(t), y, 1.0) for t, y in windows(14000, seed=1)]
-    print("loss", net.fit(made, 4))
+    made = [(tokens(t), y, 1.0) for t, y in windows(40000, seed=1)]
+    print("loss", net.fit(made, 2))
     if folder:
         labelled = labelled_texts(folder)
+        harmless = 2 * label_windows(net, [x for x in labelled if not x[1]])
+        for _ in range(3):
+            print("loss with harmless texts", net.fit(made + harmless, 1, 1.5e-3))
         for _ in range(3):
-            print("loss with labels", net.fit(made + 2 * label_windows(net, labelled), 1, 1.5e-3))
+            print("loss with all labels", net.fit(made + harmless + 2 * label_windows(net, [x for x in labelled if x[1]]) + background(net, folder), 1, 1e-3))
     held = windows(4000, seed=2)
     scores = Scorer(net).texts([t for t, _ in held])
     print("right on held-out windows", np.mean((scores >= THRESHOLD) == np.array([y for _, y in held])))

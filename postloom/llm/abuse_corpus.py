@@ -10,16 +10,26 @@ INSULT_RU = "идиот тупица дебил болван урод козёл
 PLURAL_RU = "идиоты тупицы дебилы болваны уроды козлы мрази ничтожества придурки кретины скоты свиньи дураки бараны твари подонки гады сволочи дегенераты недоумки мерзавцы ублюдки клоуны ослы паразиты отбросы".split()
 INSULT_EN = "idiot moron scumbag dumbass jerk loser cretin bastard pig imbecile trash filth creep asshole fool clown prick twat dimwit halfwit retard worm rat degenerate swine vermin lowlife".split()
 GROUPS_RU, GROUPS_EN = "велмары тарсийцы брустанцы ожинцы каринцы мосхи лурийцы савиры".split(), "Velmari Tarsians Brustanis Ozhins Karins Lurians Savirs Moskhi".split()
-THINGS_RU = "удочки|тёплые полы|синтезаторы|зимние шины|головоломки|книги|дрели|старые комедии|семена томатов|витамины".split("|")
-THINGS_EN = "spice grinders|roof racks|board games|feeder rods|old comedies|garden hoses|drum sticks|night trains|books".split("|")
+THINGS_RU = (
+    "удочки|тёплые полы|синтезаторы|зимние шины|головоломки|книги|дрели|старые комедии|семена томатов|витамины|лодочные моторы|кредитные карты|мягкие лежанки|саженцы|гантели|палатки на двоих|ночные поезда|детективы|соусы к рыбе|пироги|мотки пряжи|спицы|радиаторы|смесители|обои|"
+    "очки для чтения|тонометры|гитары|виниловые пластинки|геймпады|настольные игры|облигации|вклады|дорожные карты|гостевые дома|билеты на поезд|чехлы|наушники|зарядки|прошивки|телефоны|корма для кошек|поводки|клетки для попугаев|аквариумы|щётки|розы|парники|мотоблоки|травяные сборы|кухонные ножи|сковороды|рюкзаки|"
+    "эхолоты|катушки|тормозные колодки|свечи зажигания|видеорегистраторы|сериалы про врачей|документалки|стихи|комиксы|исторические романы|вышивки|глиняные миски|бусы|уроки музыки|струны|коврики для йоги|кроссовки"
+).split("|")
+THINGS_EN = (
+    "spice grinders|roof racks|board games|feeder rods|old comedies|garden hoses|drum sticks|night trains|books|boat motors|credit cards|pet beds|saplings|dumbbells|two man tents|crime novels|fish sauces|pies|yarn|needles|radiators|taps|wallpapers|reading glasses|pressure monitors|guitars|vinyl records|gamepads|"
+    "logic riddles|bonds|savings accounts|road maps|guest houses|train tickets|phone cases|earbuds|chargers|firmware updates|cat foods|dog leads|parrot cages|aquariums|brushes|rose bushes|greenhouses|herbal teas|knives|frying pans|hiking packs|fish finders|reels|brake pads|spark plugs|dash cameras|hospital series|"
+    "documentaries|poems|comic albums|historical novels|embroidery|clay bowls|bead bracelets|music lessons|strings|yoga mats|running shoes|wall fillers|film festivals|toothbrushes|jigsaw puzzles|co-op modes|massage chairs"
+).split("|")
 BAD = [
     "Ты полный {i}, закрой рот и не пиши сюда больше.", "Заткнись уже, {i}, тошнит от твоих советов.", "Слушай, {i}, тебе даже {n} доверить нельзя.", "Автор {i}, таких гнать с форума палкой.", "Все, кто хвалит {n}, — {p}.", "Модераторы тут {p}, и родители ваши такие же.", "{i} ты, а не эксперт.",
-    "Какой же ты {i}.", "Вали отсюда, {i}!", "Ты {i}", "Вы все {p}.", "Пошёл вон, {i}.", "Да ты просто {i}, и семья твоя такая же.", "Только {i} мог такое написать, позор тебе.", "Твоему уму посочувствует даже табуретка.", "У тебя мозгов меньше, чем у улитки.", "Таким как ты место на помойке.",
+    "Какой же ты {i}.", "Вали отсюда, {i}!", "Ты {i}", "Вы все {p}.", "Пошёл вон, {i}.", "Да ты просто {i}, и семья твоя такая же.", "Только {i} мог такое написать, позор тебе.", "Твоему {b} {s} даже {a}.", "Твоему {b} {s} даже {a}.", "Даже {a} умнее тебя.", "У тебя мозгов меньше, чем у улитки.", "Таким как ты место на помойке.",
     "Тебя родили по ошибке.", "Лучше бы ты молчал всю жизнь, пустое место.", "Ещё раз напишешь — найду и переломаю тебе руки.", "Я тебя найду и изобью.", "Приду к тебе домой и убью.", "Ходи и оглядывайся, тебе не жить.", "Встречу — сломаю тебе ноги.", "Сдохни уже.",
     "Эти {g} хуже тараканов, гнать их отсюда.", "Да {g} вообще не люди, пусть убираются.", "Ни одному верить нельзя: {g} все воры и грязь.", "От таких, как {g}, город давно пора очистить.", "Не продавайте {n}, если там {g}: вонючее племя.", "{g} — паразиты, всех выслать.", "Ненавижу, когда рядом {g}, грязный народ.", "Всех {g} надо гнать палками.",
     "Разденься на камеру, заплачу за интим.", "Смотри порно со мной, ссылка в профиле.", "Ищу горячий секс на одну ночь, пиши без стеснения.", "Хочу заниматься с тобой сексом до утра, детка.", "Пришли голые фото в личку, хочу тебя прямо сейчас.", "Интим услуги недорого, пиши в личку.", "Горячие девочки ждут, секс без обязательств.", "Покажи грудь на камеру, скину денег.",
+    "Иди утопись вместе со своими {n}.", "Иди и удавись со своими советами.", "С таким лицом только клетки в цирке мыть.", "С {f} только {v}.", "С {f} только {v}.", "Куда ты лезешь с {f}?", "Лучше бы тебя вообще не рожали.", "Миру было бы лучше без тебя.", "Прыгни с моста, никто не заметит.", "Руки бы тебе оторвать за такие советы, урод.",
+    "Go drown yourself together with your {n}.", "Go hang yourself with your advice.", "With that face you should scrub cages in a circus.", "A face like yours scares crows.", "With {h} you should {w}.", "With {h} you can only {w}.", "We would all be better off if you had never been born.", "The world would be better without you.", "Jump off a bridge, nobody will notice.", "Crawl back into your hole, nobody needs you.",
     "You complete {i}, shut up and never post here again.", "Shut your mouth, {i}, your advice makes me sick.", "The author is a {i} who should be kicked out.", "The mods are {i}s and so are their parents.", "Everyone who buys {n} is one of those {i}s.", "What a {i} you are.", "Listen, {i}, nobody would trust you with {n}.", "You {i}.", "Get lost, you {i}!",
-    "Only a {i} like you would write that.", "You are a {i} and your family too.", "Even a goldfish would pity your brain.", "You have less sense than a doorknob.", "People like you belong in the bin.", "Your mother should be ashamed of you, worthless thing.", "Post once more and I will find you and break your arms.", "I will come to your house and kill you.", "Watch your back, you are dead.",
+    "Only a {i} like you would write that.", "You are a {i} and your family too.", "Even a {e} would pity your brain.", "A {e} has more sense than you.", "You have less sense than a doorknob.", "People like you belong in the bin.", "Your mother should be ashamed of you, worthless thing.", "Post once more and I will find you and break your arms.", "I will come to your house and kill you.", "Watch your back, you are dead.",
     "I will beat you up when I see you.", "Go and die already.", "These {g} are worse than roaches, drive them out.", "The {g} are not even human, let them crawl away.", "Never trust them, {g} are all thieves and filth.", "High time to cleanse the town of the {g}.", "Do not sell {n} if the {g} are around, that stinking tribe.", "All {g} are parasites, deport them.", "I hate {g}, dirty people.",
     "Strip on camera for me, I pay for intimate shows.", "Watch porn with me, link in profile.", "Looking for hot sex tonight, no strings, write me.", "I want to have sex with you all night, babe.", "Send me nude pics, I want you right now.", "Hot girls waiting, paid sex, message me.", "Show me your naked body on cam.", "Intimate services, cheap, write to me.",
 ]
@@ -27,12 +37,18 @@ FINE = [
     "Чувствую себя {i}ом: забыл {n} дома.", "Сам я {i}, забыл купить {n}.", "Какой я {i}, потерял чек.", "В правилах сказано: за слово «{i}» дают бан.", "Модератор напомнил: слово «{i}» под запретом.", "На даче живёт козёл, щиплет траву у забора.", "Свинья на ферме родила поросят.", "Бараны пасутся за рекой, осёл стоит у дома.", "Врач рассказал о раке груди и осмотрах.",
     "Обсуждали сексуальное воспитание в школе, спокойно и по делу.", "Половые инфекции лечат у врача.", "{g} празднуют урожай осенью, красивый обычай.", "{g} живут в горах и пекут хлеб.", "Фильм про маньяка так себе, убийца слишком картонный.", "Убила бы за такой десерт, шучу!", "Газета пишет: мужчина назвал соседа словом «{i}», суд его оштрафовал.", "Этот принтер меня бесит, опять зажевал бумагу!",
     "Проклятый насос сломался, ненавижу его.", "Дурацкая погода, весь отпуск под дождём.", "Классика: кассир пробил {n} дважды.", "Ну я и балда, перепутал {n}.", "Суд разобрал угрозы и оскорбления, решение в силе.", "Герой книги — подонок, но сюжет хорош.", "Паразиты у кошек: чем лечить?", "Крысы в подвале, кто травил?", "Дебильник и сексофон — шутки из детства.", "Порода собак гладкая, голые кошки тоже есть.",
+    "Эти {n} полный кошмар, деньги на ветер.", "Дрянь эти {n}, не берите.", "Ненавижу {n}, сломались за день!", "Отвратительный магазин, {n} пришли битые.", "These {n} are a total nightmare, money down the drain.", "Awful {n}, utter rubbish, broke in a day!", "I hate my {n}, they never work.", "Клетки для попугаев мыть тяжело.", "Цирк приехал, лица у детей радостные.",
+    "We scrubbed the cages at the shelter.", "Утонул телефон в ванне.", "The circus came to town, happy faces.", "Родился сын, ищу коляску.", "My son was born in spring.", "Мост закрыт на ремонт.",
     "Ощип кур и потрошение свиней, мастер-класс.", "Мышь сдохла, купил новую, батарейки тоже.", "Руки сломал на катке, лежу в гипсе.", "I felt like an {i} for leaving {n} at home.", "I am such a {i}, lost the receipt.", "Silly me, what a {i} I was.", "The rules say that calling someone a {i} gets you banned.", "A moderator removed a post with the word {i}.", "Our ass and two goats graze by the fence.", "The cock crowed at dawn and the cockatiel answered.",
     "The pig had six piglets on the farm.", "We discussed sex education at school, calm and useful.", "The doctor talked about breast cancer checks.", "The {g} hold a harvest feast in autumn, a lovely custom.", "The {g} bake bread and live in the hills.", "I would kill for that dessert, just kidding!", "The killer in this film is made of cardboard.", "Classic assembly class: {n} counted twice.", "The paper reports that a man called his neighbour a {i} and was fined.",
     "This damn printer jams again, I hate it.", "Stupid weather, rain all week.", "The court looked at threats and insults in chats.", "Parasites in cats: what helps?", "Rats in the cellar, who had them?", "My phone died, I bought a new battery.", "I broke my arms skating, in plaster now.", "Naked mole rats at the zoo are funny.", "The nude colour of the sofa fades.", "Trash is collected on Monday.",
 ]
 NEUTRAL = [
     "Сосед хвалит {n}, а я выбираю другое: попалась хорошая скидка.", "Кто уже пробовал {n} на прошлой неделе?", "Всем спасибо за советы про {n}!", "Доставка заняла 12 дней, {n} приехали целыми.", "Не спешите выбирать {n}, сначала посмотрите на другие.", "Если коротко, {n} на рынке стоят около 30 рублей.", "Новичкам советую начать с малого: сначала {n}.", "Звоните после шести, отвечу.",
+    "Люблю вас всех, друзья.", "Кто держит дома {n}?", "Хвалю {n} при каждом случае.", "Без них не обойтись, проверено.", "Разница между {n} и прочим огромна.", "У кого {n} прослужили больше 30 месяцев, отзовитесь.", "Взял {n} на распродаже, пока всё устраивает.", "Итог такой: {n} оставляем, {n} продаём.", "Интересно, почему {n} так быстро раскупают.",
+    "Подскажите, что лучше: {n} или {n}?", "По-моему, {n} нужны далеко не всем: цена кусается.", "Купили {n} в субботу, дети довольны.", "Если честно, {n} мне не понравились.", "Что скажете про {n}?", "Ты пробовал {n}? Расскажи.", "Тебе понравятся {n}, попробуй.", "Сравнивал {n} и {n}: разница заметна сразу.",
+    "Love you all, friends.", "Who keeps {n} at home?", "I praise {n} at every turn.", "You notice the difference at once with {n}.", "Where are {n} cheaper than at the market?", "Whose {n} lasted more than 30 months, please reply.", "Got {n} at a clearance sale, I love it.", "Verdict: we keep the {n} and sell the {n}.", "What would you pick: {n} or {n}?",
+    "To be honest you will like {n}.", "Folks, {n} from friends are running out.", "I compared {n} with {n} and you see it.", "A quiet word for {n}: the kids are happy.", "We bought {n} late at night, would return it but the receipt is gone.", "Check {n} at once or you will prove nothing later.", "Beginners should start small: {n} first.", "Have you tried {n}? Tell me.",
     "My neighbour swears by {n}, I prefer others since the old set wore out.", "Has anyone tried {n} last week?", "Thanks for all the tips about {n}!", "Delivery took 12 days and the {n} arrived whole.", "Look at {n} first and only then at the rest.", "Long story short, {n} cost about 30 coins at the market.", "Not everyone needs {n}, the price hurts.", "Call me after six.", "The gap between these and the rest is huge.",
 ]
 LOOKALIKE = {"а": "a@", "о": "o0", "е": "e3", "с": "c$", "р": "p", "х": "x", "и": "u", "з": "3", "ч": "4", "б": "6", "a": "@4", "o": "0", "e": "3", "i": "1!", "s": "$5", "t": "7+", "g": "9", "l": "1"}
@@ -67,7 +83,13 @@ def _fill(r: random.Random, frame: str, hide: float) -> str:
         w = r.choice(xs)
         return disguise(r, w) if r.random() < hide else w
     out = frame.replace("{i}ом", r.choice(["идиотом", "дураком", "болваном", "бараном", "козлом", "кретином"]))
-    out = out.replace("{i}", word(INSULT_RU if ru else INSULT_EN)).replace("{p}", word(PLURAL_RU)).replace("{g}", word(GROUPS_RU if ru else GROUPS_EN)).replace("{n}", r.choice(THINGS_RU if ru else THINGS_EN))
+    out = out.replace("{i}", word(INSULT_RU if ru else INSULT_EN)).replace("{p}", word(PLURAL_RU)).replace("{g}", word(GROUPS_RU if ru else GROUPS_EN))
+    while "{n}" in out:
+        out = out.replace("{n}", r.choice(THINGS_RU if ru else THINGS_EN), 1)
+    out = out.replace("{b}", r.choice("мозгу уму рассудку интеллекту вкусу".split())).replace("{s}", r.choice("посочувствует позавидует удивится".split())).replace("{a}", r.choice("табуретка|улитка|аквариумная рыбка|курица|дождевой червь|пень|рыба в банке".split("|")))
+    out = out.replace("{f}", r.choice("такой рожей|твоей рожей|таким лицом|таким умом|такими руками|твоими мозгами|такой физиономией".split("|"))).replace("{v}", r.choice("клетки в цирке мыть|ворон пугать|полы в хлеву мести|в подвале сидеть|на паперти стоять|мух кормить".split("|")))
+    out = out.replace("{h}", r.choice("that face|a face like yours|your brains|those hands|a head like that".split("|"))).replace("{w}", r.choice("scrub cages in a circus|scare crows|sweep a barn|hide in a cellar|feed flies".split("|")))
+    out = out.replace("{e}", r.choice("goldfish|snail|doorknob|chicken|rock|aquarium fish".split("|")))
     if frame in BAD and r.random() < 0.5 * hide:
         words = out.split(" ")
         k = max(range(len(words)), key=lambda i: len(words[i]) + 3 * r.random())
@@ -80,18 +102,26 @@ def windows(n: int, seed: int = 0) -> list[tuple[str, int]]:
     """``n`` texts of window length with 1 for abuse."""
     r = random.Random(seed)
     out = []
+    from postloom.llm.pii_corpus import sentences
+
+    other = [t for t, _ in sentences(n // 4, seed + 17)]
     for _ in range(n):
         p = r.random()
-        frames, label = (BAD, 1) if p < 0.42 else (FINE, 0) if p < 0.8 else (NEUTRAL, 0)
+        if p > 0.86:  # other harmless text, with markup
+            words = " ".join(r.choice(["", "<p>", "<ul><li>", "**", "## ", "== ", "<b>", "|"]) + r.choice(other) + r.choice(["", "</p>", "</li></ul>", "**", "</b>"]) for _ in range(3)).split()
+            lo = r.randrange(max(1, len(words) - 24))
+            out.append((" ".join(words[lo : lo + 24]), 0))
+            continue
+        frames, label = (BAD, 1) if p < 0.38 else (FINE, 0) if p < 0.7 else (NEUTRAL, 0)
         core = _fill(r, r.choice(frames), 0.4 if label else 0.1)
-        around = [_fill(r, r.choice(NEUTRAL), 0) for _ in range(r.choice([0, 1, 1, 2]))] + ([_fill(r, r.choice(FINE), 0.05)] if r.random() < 0.2 else [])
+        around = [_fill(r, r.choice(NEUTRAL), 0) for _ in range(r.choice([0, 1, 1, 2, 3, 4]))] + ([_fill(r, r.choice(FINE), 0.05)] if r.random() < 0.2 else [])
         k = r.randint(0, len(around))
         text = r.choice([" ", " ", "\n"]).join([*around[:k], core, *around[k:]])
         words = text.split()
         if len(words) > 24:  # as a sliding window would cut it, with the core inside
             at = len(" ".join(around[:k]).split())
             size = len(core.split())
-            lo = max(0, min(at - r.randint(0, max(0, 24 - size)), len(words) - 24))
+            lo = max(0, min(at - r.randint(0, max(0, 24 - size)), len(words) - 24)) if label else r.randint(0, len(words) - 24)
             words = words[lo : lo + 24]
         out.append((" ".join(words), label))
     return out
