@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import abuse, communities, leakage, markup, neighbours, pii, residue, terms, topn
+from postloom.llm import abuse, communities, leakage, markup, neighbours, packing, pii, residue, terms, topn
 from postloom.storage import cut, read_table
 
 EXEMPLARS = 5
@@ -120,6 +120,10 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return cleaned_topics(spark, d).select(F.col("rec_id").alias("topic_id"), "rec_field", "clean")
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.count_tokens(read_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(read_table(spark, d, "documents", "doc_id", "text"), read_table(spark, d, "eval_items", "item_id", "passage"))
 
@@ -142,6 +146,7 @@ QUERIES = {
     "p6_style_scores": p6_style_scores,
     "p7_found": p7_found,
     "p7_clean": p7_clean,
+    "p8_packed": p8_packed,
     "p9_found": p9_found,
     "p10_found": p10_found,
 }
