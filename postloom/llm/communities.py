@@ -195,12 +195,14 @@ def _propose(vectors: DataFrame, least: float, seed: int, cells: int) -> tuple[D
         tag = f"{int(pdf['cell'].iloc[0])}.{int(pdf['part'].iloc[0])}."
         names, own = pdf["name"].to_numpy(), pdf["own"].to_numpy()
         used = degree > 0
+        if not used.any():
+            return pd.DataFrame([], columns=["name", "label", "own", "degree", "n", "total"])
         nodes = pd.DataFrame({"name": names[used], "label": [tag + str(k) for k in label[used]], "own": own[used], "degree": degree[used].astype(float), "n": 0, "total": None})
         ks, inv = np.unique(label[used], return_inverse=True)
         total = np.zeros((len(ks), dim), np.float64)
         np.add.at(total, inv, x[used])
         sums = pd.DataFrame({"name": None, "label": [tag + str(k) for k in ks], "own": True, "degree": 0.0, "n": np.bincount(inv, minlength=len(ks)), "total": list(total)})
-        return pd.concat([nodes, sums]) if len(sums) else nodes
+        return pd.concat([nodes, sums])
 
     out = vectors.mapInPandas(placed, "cell int, part int, own boolean, name string, vec binary").groupBy("cell", "part")
     rows = cut(out.applyInPandas(grouped, "name string, label string, own boolean, degree double, n long, total array<double>"), "blocks")
@@ -246,7 +248,8 @@ def total_of(parts: DataFrame) -> DataFrame:
                     held[label][1] = held[label][1] + total
                 else:
                     held[label] = [n, np.asarray(total, float)]
-        yield pd.DataFrame({"label": list(held), "n": [x[0] for x in held.values()], "total": [x[1] for x in held.values()]}).astype({"n": "int64"} if held else {})
+        if held:
+            yield pd.DataFrame({"label": list(held), "n": [x[0] for x in held.values()], "total": [x[1] for x in held.values()]}).astype({"n": "int64"})
 
     schema = "label string, n long, total array<double>"
     return parts.select("label", "n", "total").mapInPandas(add, schema).repartition("label").mapInPandas(add, schema)
@@ -295,6 +298,8 @@ def assigned(vectors: DataFrame, sums: DataFrame, cosine: float) -> DataFrame:
                 s = stack(part["emb"]) @ m.T
                 k = s.argmax(1)
                 keep = s[np.arange(len(part)), k] >= cosine
+                if not keep.any():
+                    continue
                 yield pd.DataFrame({"name": part["name"].to_numpy()[keep], "label": names[k[keep]], "emb": list(part["emb"].to_numpy()[keep])})
 
     return vectors.mapInPandas(closest, "name string, label string, emb array<float>")

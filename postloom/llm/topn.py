@@ -139,6 +139,8 @@ def top_n(df: DataFrame, group: list[str], score: str, tie: str, n: int, salt_ab
             if len(runs) >= FAN_IN:
                 runs = [merge(runs, n)]
         out = merge(runs, n)
+        if not len(out):
+            return
         data = {c: [None if g[2 * i] else g[2 * i + 1] for g in out.groups] for i, c in enumerate(group[:width])}
         yield pd.DataFrame(data | {tie: out.ties, score: [-x for x in out.scores]}, columns=[*group, tie, score])
 
