@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 LONG, PAGES = 32, 3
 #: Characters of a host's texts in one block; a larger host is cut into blocks that exchange what they found.
 BLOCK_CHARS = 24_000_000
-#: Of windows at block borders one in so many (by content) is exchanged.
-EXCHANGE = 8
 
 # Signs of markup by type.
 SIGNS = {
@@ -193,7 +191,8 @@ def clean_markup(records: DataFrame, key: str, host: str, fields: list[str], lon
     Repeated rows of a key count once (the first by text); NULL keys are left out; a NULL host is a host of its own.
     Types are those of the whole field; ``clean`` is made of the runs that are no boilerplate of the host. Equal texts
     count as one page, so copies of a post do not make it boilerplate. A host beyond ``block_chars`` is cut into blocks
-    by key, and blocks of a host tell each other how often the windows they share occur, so no task holds a hot host.
+    by text, and blocks of a host add up how often the windows they share occur, so no task holds a hot host and the
+    result is the same.
     """
     names = [f"_f{i}" for i in range(len(fields))]
     rows = records.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rec_id"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("_host"), *(F.col(f).alias(n) for f, n in zip(fields, names, strict=True)))
@@ -201,7 +200,9 @@ def clean_markup(records: DataFrame, key: str, host: str, fields: list[str], lon
     large = rows.groupBy("_host").agg(F.sum(chars).alias("_chars")).filter(F.col("_chars") > block_chars)
     sizes = {r["_host"]: -(-r["_chars"] // block_chars) for r in large.collect()}  # at most (all characters) / block_chars hosts
     count = F.coalesce(F.create_map(*(x for h, n in sizes.items() for x in (F.lit(h), F.lit(int(n)))))[F.col("_host")], F.lit(1)) if sizes else F.lit(1)
-    placed = rows.withColumn("_block", F.pmod(F.xxhash64("rec_id"), count).cast("int"))
+    if sizes:  # copies of a text must meet in one block, so rows of a key are made one before
+        rows = rows.groupBy("rec_id").agg(F.min(F.struct("_host", *names)).alias("r")).select("rec_id", "r.*")
+    placed = rows.withColumn("_block", F.pmod(F.xxhash64(F.coalesce(*names, F.col("rec_id").cast("string"))), count).cast("int"))
 
     def streams(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[list[str]], list[Stream]]:
         pdf = pdf.sort_values(["rec_id", *names], na_position="last").drop_duplicates("rec_id")
@@ -222,14 +223,14 @@ def clean_markup(records: DataFrame, key: str, host: str, fields: list[str], lon
                     whole = np.flatnonzero(s.page[np.minimum(np.arange(len(rank)) + long - 1, max(len(rank) - 1, 0))] == s.page) if len(rank) else np.zeros(0, int)
                     _, first = np.unique(rank[whole], return_index=True)
                     at = whole[first]
-                    keys = s.keys(at, long)
-                    sel = keys % EXCHANGE == 0
-                    out.append(pd.DataFrame({"_host": host_name, "_field": k, "_key": keys[sel], "_n": n[at][sel]}))
-            return pd.concat(out) if out else pd.DataFrame(columns=["_host", "_field", "_key", "_n"])
+                    out.append(pd.DataFrame({"_host": host_name, "_block": pdf["_block"].iloc[0], "_field": k, "_key": s.keys(at, long), "_n": n[at]}))
+            return pd.concat(out) if out else pd.DataFrame(columns=["_host", "_block", "_field", "_key", "_n"])
 
-        counts = placed.groupBy("_host", "_block").applyInPandas(shared, "_host string, _field int, _key long, _n long")
-        known = counts.groupBy("_host", "_field", "_key").agg(F.sum("_n").alias("_n"), F.count("*").alias("_blocks")).filter((F.col("_n") >= pages) & (F.col("_blocks") > 1))
-        extra = known.groupBy("_host").agg(F.collect_list(F.struct("_field", "_key")).alias("_known"))  # windows of one host that are boilerplate
+        large_rows = placed.filter(F.col("_host").isin(list(sizes)))
+        counts = large_rows.groupBy("_host", "_block").applyInPandas(shared, "_host string, _block int, _field int, _key long, _n long")
+        known = counts.groupBy("_host", "_field", "_key").agg(F.sum("_n").alias("_n"), F.collect_set("_block").alias("_blocks")).filter((F.col("_n") >= pages) & (F.size("_blocks") > 1))
+        slots = known.select("_host", F.explode("_blocks").alias("_block"), "_field", "_key")  # to each block only windows it has
+        extra = slots.groupBy("_host", "_block").agg(F.collect_list(F.struct("_field", "_key")).alias("_known"))
 
     def cleaned_with(known: set[tuple[int, int]], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, texts, made = streams(pdf)
@@ -255,9 +256,7 @@ def clean_markup(records: DataFrame, key: str, host: str, fields: list[str], lon
     schema = "rec_id long, rec_field string, markup_types array<string>, clean string"
     if extra is None:
         return placed.groupBy("_host", "_block").applyInPandas(lambda pdf: cleaned_with(set(), pdf), schema)
-    slots = extra.join(F.broadcast(placed.sparkSession.createDataFrame([(h, b) for h, n in sizes.items() for b in range(int(n))], "_host string, _block int")), "_host")
-
     def with_known(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return cleaned_with({(x["_field"], x["_key"]) for r in right["_known"] for x in r}, left)
 
-    return placed.groupBy("_host", "_block").cogroup(slots.groupBy("_host", "_block")).applyInPandas(with_known, schema)
+    return placed.groupBy("_host", "_block").cogroup(extra.groupBy("_host", "_block")).applyInPandas(with_known, schema)
