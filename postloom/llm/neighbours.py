@@ -27,6 +27,8 @@ from postloom.storage import cut
 SAMPLE_ROWS = 20_000
 #: Rows a list should hold, and rows beyond which it is cut into blocks.
 LIST_ROWS, BLOCK_ROWS = 6_000, 8_192
+#: Rows of a list for searches, and lists a query probes.
+SEARCH_ROWS, PROBES = 600, 24
 #: Standard deviations of a displacement across a border up to which the list behind it is visited.
 SIGMAS = 4.0
 #: Fixed-point scale of shipped vectors (16 bits a value), and what that may cost a squared distance.
@@ -199,7 +201,35 @@ def similar_pairs(vectors: DataFrame, cosine: float, sample_rows: int = SAMPLE_R
     return cells.groupBy("cell", "part").applyInPandas(joined, "vec_a string, vec_b string")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, probes: int = 24, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS) -> DataFrame:
+def best_of(q: np.ndarray, x: np.ndarray, q_names: np.ndarray, x_names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of the k most similar other rows of each query by the adaptive scan, ties by name.
+
+    The rows best on the first block of columns give the radius; the others must pass the test after every block."""
+    dim = x.shape[1]
+    d = (q[:, :STEP] ** 2).sum(1)[:, None] + (x[:, :STEP] ** 2).sum(1)[None] - 2 * q[:, :STEP] @ x[:, :STEP].T
+    d[q_names[:, None] == x_names[None]] = np.inf
+    few = min(len(x), 4 * k)
+    first = np.argpartition(d, few - 1, axis=1)[:, :few]
+    exact = 2 - 2 * np.einsum("qd,qnd->qn", q, x[first])
+    exact[np.isinf(np.take_along_axis(d, first, 1))] = np.inf
+    bound = np.sort(exact, axis=1)[:, min(k, few) - 1]
+    bound = np.where(np.isfinite(bound), bound, 4.0) + 1e-6
+    at = min(STEP, dim)
+    i, j = np.nonzero(d <= (bound * at / dim * (1 + EPSILON / math.sqrt(at)) ** 2)[:, None])
+    d = d[i, j]
+    for lo in range(STEP, dim, STEP):
+        hi = min(lo + STEP, dim)
+        d = d + ((q[i, lo:hi] - x[j, lo:hi]) ** 2).sum(1)
+        keep = d <= bound[i] * (hi / dim * (1 + EPSILON / math.sqrt(hi)) ** 2 if hi < dim else 1) + 1e-6
+        i, j, d = i[keep], j[keep], d[keep]
+    cos = (q[i] * x[j]).sum(1, dtype=np.float64)
+    order = np.lexsort((x_names[j].astype(str), -cos, i))
+    i, j, cos = i[order], j[order], cos[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[rank < k], j[rank < k], cos[rank < k]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, probes: int = PROBES, sample_rows: int = SAMPLE_ROWS, list_rows: int = SEARCH_ROWS) -> DataFrame:
     """(name, neighbour, cosine, rank): for every row of ``queries`` its ``k`` most similar other vectors, ties by name.
 
     Both as from prepare(). The ``probes`` nearest lists are searched; measured against brute force this finds more than
@@ -233,25 +263,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, probes: int = 24, sa
 
     def searched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names, x = left["name"].to_numpy(), stack(left["emb"])
-        rows = []
-        if not len(left) or not len(right):
-            return pd.DataFrame(rows, columns=["name", "neighbour", "cosine"])
-        dim = x.shape[1]
-        for q, name in zip(stack(right["emb"]), right["name"], strict=True):
-            j = np.flatnonzero(names != name)
-            if not len(j):
-                continue
-            d = ((x[j, :STEP] - q[:STEP]) ** 2).sum(1)
-            order = j[np.argsort(d, kind="stable")[: 4 * k]]
-            bound = np.sort(((x[order] - q) ** 2).sum(1))[: k][-1]
-            for at in range(STEP, dim, STEP):
-                keep = d <= (bound * at / dim * (1 + EPSILON / math.sqrt(at)) ** 2 if len(order) >= k else np.inf) + 1e-6
-                j, d = j[keep], d[keep]
-                d = d + ((x[j, at : at + STEP] - q[at : at + STEP]) ** 2).sum(1)
-            cos = (x[j] * q).sum(1, dtype=np.float64)
-            best = sorted(zip(-cos, names[j], strict=True))[:k]
-            rows += [(name, other, -s) for s, other in best]
-        return pd.DataFrame(rows, columns=["name", "neighbour", "cosine"])
+        asked, q = right["name"].to_numpy(), stack(right["emb"])
+        parts = []
+        for lo in range(0, len(q) if len(x) else 0, 256):
+            rows = slice(lo, lo + 256)
+            i, j, cos = best_of(q[rows], x, asked[rows], names, k)
+            if len(i):
+                parts.append(pd.DataFrame({"name": asked[rows][i], "neighbour": names[j], "cosine": cos}))
+        return pd.concat(parts) if parts else pd.DataFrame([], columns=["name", "neighbour", "cosine"])
 
     found = home.groupBy("cell").cogroup(guests.groupBy("cell")).applyInPandas(searched, schema)
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "neighbour"))), 1, k)
