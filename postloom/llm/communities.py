@@ -6,7 +6,7 @@ graph, and local moves that raise modularity turn it into communities. A vector
 communities: these links form the contracted graph, on which the same moves go on as joins over all blocks. Communities
 are described by the members of highest internal weighted degree. Last, communities with one mean direction are united,
 every vector is held against the means, and only groups that meet the definition are kept. What was left over goes
-through the same steps once more with other cells.
+through the same steps twice more with other cells.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ BLOCK_ROWS, PART_ROWS = 2_500, 5_000
 #: Cells at most, which bounds the centroids every task receives.
 MOST_CELLS = 4_096
 #: Resolution of modularity: above 1, so that small groups are not swallowed; parts of a large one are united by mean.
-RESOLUTION = 6.0
+RESOLUTION = 20.0
 #: Cells of a vector in each pass; what is left over is scattered, so it sits in more cells.
 SEATS = (2, 4)
 #: Cosine between mean directions from which communities are one group.
@@ -309,7 +309,7 @@ def _sums_of(members: DataFrame) -> DataFrame:
     return total_of(members.select("label", F.lit(1).cast("bigint").alias("n"), F.transform("emb", lambda x: x.cast("double")).alias("total")))
 
 
-def similarity_groups(vectors: DataFrame, cosine: float = 0.65, least: int = 5, passes: int = 2) -> DataFrame:
+def similarity_groups(vectors: DataFrame, cosine: float = 0.65, least: int = 5, passes: int = 3) -> DataFrame:
     """(name, label, degree, cosine): the members of every group.
 
     A group has at least ``least`` vectors, each with a cosine of at least ``cosine`` to the mean direction of the group.
@@ -325,20 +325,28 @@ def similarity_groups(vectors: DataFrame, cosine: float = 0.65, least: int = 5,
         if made is None:
             break
         members, parts = made
-        found = total_of(parts).filter(F.col("n") >= (least if k == 0 else least - 2)).withColumn("label", F.concat(F.lit(f"{k}/"), "label"))
-        sums = united(found if sums is None else sums.unionByName(found))
         degrees = members.select("name", "degree") if degrees is None else degrees.unionByName(members.select("name", "degree"))
-        taken = assigned(vectors, sums, cosine)
-        sums = cut(_sums_of(taken).filter(F.col("n") >= least), "groups")
+        found = total_of(parts).filter(F.col("n") >= (least if k == 0 else least - 2)).withColumn("label", F.concat(F.lit(f"{k}/"), "label"))
+        for few in (2, least):  # parts of one group draw together before small ones are dropped
+            taken = assigned(rest, united(found), cosine)
+            found = cut(_sums_of(taken).filter(F.col("n") >= few), "groups")
+        sums = found if sums is None else sums.unionByName(found)
         if k + 1 < passes:
-            rest = cut(vectors.join(assigned(vectors, sums, cosine).select("name"), "name", "left_anti"), "rest")
+            rest = cut(rest.join(assigned(rest, found, cosine).select("name"), "name", "left_anti"), "rest")
     if sums is None:
         return spark.createDataFrame([], "name string, label string, degree double, cosine double")
-    members = assigned(vectors, sums, cosine)
-    final = cut(members, "members")
-    means = _means(_sums_of(final)).select(F.col("name").alias("label"), F.col("emb").alias("mean"))
+    sums = cut(united(sums), "groups")
+    kept = cut(assigned(vectors, sums, cosine), "members")
     near = F.aggregate(F.zip_with("emb", "mean", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    kept = final.join(F.broadcast(means) if means.count() <= MOST_MEANS else means, "label").select("name", "label", near.alias("cosine")).filter(F.col("cosine") >= cosine)
+    before = kept.count()
+    for _ in range(8):  # members that their own group's mean does not hold leave it, which moves the mean
+        means = _means(_sums_of(kept)).select(F.col("name").alias("label"), F.col("emb").alias("mean"))
+        means = F.broadcast(means) if means.count() <= MOST_MEANS else means
+        kept = cut(kept.select("name", "label", "emb").join(means, "label").select("name", "label", "emb", near.alias("cosine")).filter(F.col("cosine") >= cosine), "members")
+        after = kept.count()
+        if after == before:
+            break
+        before = after
     sizes = kept.groupBy("label").agg(F.count("*").alias("n"), F.min("name").alias("first")).filter(F.col("n") >= least)
     degree = degrees.groupBy("name").agg(F.max("degree").alias("degree"))
     return kept.join(sizes, "label").join(degree, "name", "left").select("name", F.col("first").alias("label"), F.coalesce("degree", F.lit(0.0)).alias("degree"), "cosine")
