@@ -37,6 +37,7 @@ MOST_BACKGROUND = 20000
 WEIGHTS = Path(__file__).parent / "weights" / "abuse_bigru.npz"
 
 _UNSEEN = re.compile("[​-‏⁠﻿­]")
+_BLANK = re.compile(r"&nbsp;|&#160;|&#xa0;", re.I)
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_]){3,}\w(?!\w)")
 _TOKEN = re.compile(r"\S+")
 _EDGE = ".,!?…:;()\"'«»“”„—–-[]{}<>`~|/\\#=+^&%"
@@ -47,7 +48,7 @@ TO_CYRILLIC = str.maketrans("036@$a4bceopxtyhkmi1!", "озбасачвсеорх
 
 def tokens(text: str | None) -> list[str]:
     """Normalised tokens of a text."""
-    t = _UNSEEN.sub("", unicodedata.normalize("NFKC", text or "")).lower().replace("ё", "е")
+    t = _UNSEEN.sub("", unicodedata.normalize("NFKC", _BLANK.sub(" ", text or ""))).lower().replace("ё", "е")
     t = _SPACED.sub(lambda m: re.sub(r"[ .\-_]", "", m[0]), t)
     return [w for m in _TOKEN.finditer(t) if (w := _plain(m[0]))]
 

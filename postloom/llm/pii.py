@@ -311,9 +311,24 @@ def _before(at: list[int], start: int) -> int:
     return lo - 1
 
 
+_BLANK = re.compile(r"&nbsp;|&#160;|&#xa0;", re.I)
+
+
 def find_entities(text: str | None) -> list[tuple[int, int, str]]:
-    """Entities of a text in order; none in NULL and empty texts."""
-    return SemiCRF.stored().decode(text) if text else []
+    """Entities of a text in order; none in NULL and empty texts. Blanks written as entities are read as blanks."""
+    if not text:
+        return []
+    if "&" not in text or not _BLANK.search(text):
+        return SemiCRF.stored().decode(text)
+    ends, shift = [], 0  # (position after a blank in the read text, characters that it is shorter)
+    for m in _BLANK.finditer(text):
+        shift += len(m[0]) - 1
+        ends.append((m.end() - shift, shift))
+
+    def back(i: int) -> int:
+        return i + next((s for e, s in reversed(ends) if e <= i), 0)
+
+    return [(back(s), back(e - 1) + 1, t) for s, e, t in SemiCRF.stored().decode(_BLANK.sub(" ", text))]
 
 
 def masked(text: str, entities: list[tuple[int, int, str]]) -> str:

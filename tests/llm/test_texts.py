@@ -35,6 +35,8 @@ def test_types_of_personal_data(text, want):
 def test_held_out_sentences_and_mask():
     held = sentences(800, seed=99)
     assert sum(set(pii.find_entities(t)) == g for t, g in held) / len(held) > 0.97
+    text = "A&nbsp;part&nbsp;35&nbsp;7354 9692 35; call&nbsp;me&nbsp;on&nbsp;+1 299&nbsp;555 0120, ok"
+    assert pii.masked(text, pii.find_entities(text)) == "A&nbsp;part&nbsp;35&nbsp;7354 9692 35; call&nbsp;me&nbsp;on&nbsp;[PHONE], ok"
     text = "А: Звоните +7 255 555-22-89!\nB: a@b.test"
     assert pii.masked(text, pii.find_entities(text)) == "А: Звоните [PHONE]!\nB: [EMAIL]"
 
