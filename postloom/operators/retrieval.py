@@ -5,8 +5,10 @@ A query vector is a parameter of the plan. Every stage is lazy; limits come befo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from postloom.storage import fits_broadcast
 
 #: Fan-out of the stages.
 TOPK, POSTS_TOPK, DISCOVERED_POSTS, NEW_CLUSTERS, FINAL = 8, 50, 120, 5, 3
+#: Rows of a matrix that every task may hold.
+MATRIX_ROWS = 100_000
 #: What a missing rank key counts as.
 LOWEST = -1e12
 
@@ -131,18 +135,40 @@ def select_clusters(view: DataFrame, posts: DataFrame, query: list[float], topk:
 def nearest_clusters_batch(view: DataFrame, requests: DataFrame, topk: int = TOPK) -> DataFrame:
     """(request_id, section, cluster_id, sim_centroid, rank) for many requests (request_id, emb) in one job.
 
-    The view's centroids are broadcast while they fit; beyond that they are repartitioned, and the requests, a stated
-    query set, are broadcast to them instead. One of the two must fit."""
-    key = view.select("section", "cluster_id", "centroid")
-    if fits_broadcast(key):
-        pairs = requests.join(F.broadcast(key))
-    elif fits_broadcast(requests):
-        pairs = key.join(F.broadcast(requests))
+    The smaller side is a matrix in every task: the clusters while they fit, with the requests staying where they are;
+    else the requests, and each partition of clusters gives its best ``topk`` a request before anything is shuffled. One
+    of the two must fit. Ties go by section and cluster."""
+    key = view.select("section", "cluster_id", "centroid").filter(F.col("centroid").isNotNull())
+    asked = requests.select("request_id", "emb").filter(F.col("emb").isNotNull())
+    schema = "request_id string, section string, cluster_id int, sim_centroid double"
+
+    def best(ids: np.ndarray, q: np.ndarray, clusters: pd.DataFrame) -> pd.DataFrame:
+        sim = 1 + q @ np.stack(clusters["centroid"].to_numpy()).astype(float).T
+        few = min(topk, sim.shape[1])
+        edge = -np.partition(-sim, few - 1, axis=1)[:, few - 1]
+        i, j = np.nonzero(sim >= edge[:, None] - 1e-12)
+        return pd.DataFrame({"request_id": ids[i], "section": clusters["section"].to_numpy()[j], "cluster_id": clusters["cluster_id"].to_numpy()[j], "sim_centroid": sim[i, j]})
+
+    def scan(held, of_requests: bool):
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            other = held.value
+            for pdf in batches:
+                for lo in range(0, len(pdf) if len(other) else 0, 1024):
+                    part = pdf.iloc[lo : lo + 1024]
+                    left, right = (other, part) if of_requests else (part, other)
+                    yield best(left["request_id"].to_numpy(), np.stack(left["emb"].to_numpy()).astype(float), right)
+
+        return each
+
+    sc = view.sparkSession.sparkContext
+    if fits_broadcast(key, MATRIX_ROWS):
+        found = asked.mapInPandas(scan(sc.broadcast(key.toPandas()), False), schema)
+    elif fits_broadcast(asked, MATRIX_ROWS):
+        found = key.mapInPandas(scan(sc.broadcast(asked.toPandas()), True), schema)
     else:
         raise ValueError("neither the clusters nor the requests fit a broadcast; split the requests")
-    scored = pairs.select("request_id", "section", "cluster_id", vx.similarity("centroid", "emb").alias("sim_centroid"))
-    by = Window.partitionBy("request_id").orderBy(F.desc("sim_centroid"), "section", "cluster_id")
-    return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= topk)
+    by = Window.partitionBy("request_id").orderBy(F.desc(F.round("sim_centroid", 12)), "section", "cluster_id")
+    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= topk)
 
 
 def exemplar_posts(topics: DataFrame, posts: DataFrame, k: int) -> DataFrame:

@@ -45,3 +45,9 @@ def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> Da
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
     return df.limit(rows + 1).agg(F.count("*").alias("n")).first()["n"] <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when a small input has fewer partitions than those; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
