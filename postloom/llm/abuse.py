@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postloom.storage import spread
+
 #: Tokens of a window and between the beginnings of windows.
 WIDTH, STRIDE = 24, 12
 #: Hash buckets of words and of trigrams, size of their vectors, and hidden units of each direction.
@@ -251,7 +253,7 @@ def score_abuse(records: DataFrame, key: str, text: str) -> DataFrame:
     NULL, empty and blank texts score 0; NULL keys are left out. Rows are scored where they are, without a shuffle, and
     repeated rows come out as often as they come in.
     """
-    rows = records.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rec_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = spread(records.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rec_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(BiGRU.stored())

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.storage import cut
+from postloom.storage import cut, spread
 
 #: Tokens of a sequence, items of a block, share of a bin below which its items are packed again, rounds of search.
 CAPACITY, BLOCK_ITEMS, UNDERFULL, ROUNDS = 2_048, 4_000, 0.98, 6
@@ -39,7 +39,7 @@ def encoding(path: str):
 
 def count_tokens(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, tokens). NULL and empty texts have 0 tokens; special tokens' strings are ordinary text."""
-    rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = spread(docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(tokenizer)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.pii_names import COMMON, given_forms
+from postloom.storage import spread
 
 TYPES = ("email", "phone", "id_number", "address", "person")
 #: Tokens of an entity at most.
@@ -356,7 +357,7 @@ def mask_personal(records: DataFrame, key: str, text: str) -> DataFrame:
     NULL texts and keys are left out; empty texts hold nothing. Rows are handled one by one, so repeated rows come out as
     often as they come in, long texts are read whole, and no data is moved.
     """
-    rows = records.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rec_id"), F.col(text).alias("_text"))
+    rows = spread(records.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rec_id"), F.col(text).alias("_text")))
     return rows.mapInPandas(_each, "rec_id long, info_types array<string>, masked string")
 
 
