@@ -35,6 +35,8 @@ RESOLUTION = 20.0
 SEATS = (2, 4)
 #: Cosine between mean directions from which communities are one group.
 SAME = 0.8
+#: Means up to which their comparison is one small matrix; more are compared through lists, with the same result.
+FEW_MEANS = 8_192
 #: Means that one broadcast may hold; more are searched through lists.
 MOST_MEANS = 65_536
 #: Rounds of moves on the contracted graph.
@@ -263,6 +265,16 @@ def _means(sums: DataFrame) -> DataFrame:
 def united(sums: DataFrame, same: float = SAME, rounds: int = 6) -> DataFrame:
     """Sums with the labels of communities of one mean direction made equal (smallest label, by repeated joins)."""
     sums = cut(sums, "sums")
+    means = _means(sums)
+    if means.count() <= FEW_MEANS:
+        pdf = means.toPandas().sort_values("name")
+        names, m = pdf["name"].to_numpy(), stack(pdf["emb"])
+        low = np.arange(len(m))
+        near = [np.flatnonzero(m[k] @ m.T >= same) for k in range(len(m))]
+        for _ in range(rounds):
+            low = np.array([low[x].min() if len(x) else k for k, x in enumerate(near)])
+        groups = sums.sparkSession.createDataFrame([(str(a), str(names[k])) for a, k in zip(names, low, strict=True)], "label string, group string")
+        return total_of(sums.join(F.broadcast(groups), "label").select(F.col("group").alias("label"), "n", "total"))
     pairs = cut(similar_pairs(_means(sums), same), "pairs")
     both = pairs.unionByName(pairs.select(F.col("vec_b").alias("vec_a"), F.col("vec_a").alias("vec_b")))
     groups = sums.select("label", F.col("label").alias("group"))
