@@ -113,7 +113,7 @@ def cleaned_topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return cleaned_topics(spark, d).select(F.col("rec_id").alias("topic_id"), "rec_field", F.explode("markup_types").alias("markup_type"))
+    return cleaned_topics(spark, d).select(F.col("rec_id").alias("topic_id"), "rec_field", F.explode("markup_types").alias("markup_type")).distinct()
 
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
