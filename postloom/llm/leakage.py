@@ -26,6 +26,8 @@ SEED_N, SPREAD = 3, 3
 LEAST, EDITS = 16, 0.1
 #: Words between two seeds of one copy, and by how much edits may shift them, at most.
 APART, DRIFT = 40, 4
+#: n-grams that a copy shares at least within so many places.
+SHARED, WITHIN = 10, 22
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -2, -2
 #: n-grams of items that one broadcast holds; more items are taken in several blocks.
@@ -121,6 +123,17 @@ def clustered(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return sorted(keep)
 
 
+def dense(doc_grams: np.ndarray, item_grams: np.ndarray) -> bool:
+    """Whether some ``WITHIN`` places of a document hold ``SHARED`` n-grams of the item (sorted).
+
+    n words with e edits share at least n - 2 - 3e n-grams of three words: 11 for LEAST words and one edit, more for
+    longer copies, so no leak is lost by this either."""
+    at = np.searchsorted(item_grams, doc_grams)
+    at[at == len(item_grams)] = 0
+    total = np.concatenate([[0], np.cumsum(item_grams[at] == doc_grams)])
+    return bool((total[min(WITHIN, len(total) - 1) :] - total[: max(1, len(total) - WITHIN)]).max() >= SHARED)
+
+
 def leaked(doc: np.ndarray, passage: np.ndarray, places: list[tuple[int, int]]) -> bool:
     """Whether a document leaks a passage; ``places`` are (position in the document, in the passage) of common seeds."""
     done = -1
@@ -192,10 +205,10 @@ def _find_in_block(spark, rows: DataFrame, block: list[tuple[int, np.ndarray]])
         for at in pick_seeds(g, rarity[np.searchsorted(grams, g)]):
             seeds[int(g[at])].append((k, int(at)))
     keys = np.array(sorted(seeds), np.uint64)
-    kept = sc.broadcast((keys, [seeds[int(k)] for k in keys], block))
+    kept = sc.broadcast((keys, [seeds[int(k)] for k in keys], block, [np.unique(gram_ids(p)) for p in passages]))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, places, block = kept.value
+        keys, places, block, item_grams = kept.value
         for pdf in batches:
             out = []
             for d, text in zip(pdf["doc_id"], pdf["_text"], strict=True):
@@ -209,7 +222,7 @@ def _find_in_block(spark, rows: DataFrame, block: list[tuple[int, np.ndarray]])
                 for pos in np.flatnonzero(keys[at] == g):
                     for item, in_passage in places[at[pos]]:
                         by[item].append((int(pos), in_passage))
-                out += [(d, block[item][0]) for item, where in by.items() if leaked(ids, block[item][1], where)]
+                out += [(d, block[item][0]) for item, where in by.items() if dense(g, item_grams[item]) and leaked(ids, block[item][1], where)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
     return rows.mapInPandas(search, schema)

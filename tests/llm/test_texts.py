@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -238,6 +238,28 @@ def test_seeds_hit_every_clean_run():
         assert all(any(s in at for s in range(k, k + leakage.SPREAD)) for k in range(max(1, n - leakage.SPREAD + 1)))
 
 
+def test_no_edited_copy_is_lost_on_the_way_to_the_alignment():
+    r = random.Random(11)
+    for trial in range(300):
+        passage = [f"w{r.randrange(80)}" for _ in range(r.randrange(60, 110))]
+        n = r.randrange(16, 60)
+        lo = r.randrange(0, len(passage) - n)
+        copy = passage[lo : lo + n]
+        for _ in range(n // 10):
+            k = r.randrange(1, len(copy) - 1)
+            way = r.randrange(3)
+            copy[k : k + 1] = [["new" + str(r.random())], [], [copy[k], "more" + str(r.random())]][way]
+        doc = [f"d{r.randrange(50)}" for _ in range(r.randrange(30))] + copy + [f"d{r.randrange(50)}" for _ in range(r.randrange(30))]
+        p, d = leakage.word_ids(passage), leakage.word_ids(doc)
+        pg, dg = leakage.gram_ids(p), leakage.gram_ids(d)
+        seeds = defaultdict(list)
+        for at in leakage.pick_seeds(pg, np.array([r.randrange(6) for _ in pg])):
+            seeds[int(pg[at])].append(int(at))
+        places = [(k, at) for k, g in enumerate(dg) for at in seeds.get(int(g), ())]
+        if leakage.covers(leakage.align(p, d)):
+            assert leakage.dense(dg, np.unique(pg)) and leakage.leaked(d, p, places), trial
+
+
 def test_alignment_against_plain_dynamic_programming():
     r = random.Random(4)
     for _ in range(30):
