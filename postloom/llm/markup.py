@@ -162,8 +162,13 @@ class Stream:
         pages = np.bincount(r[first], minlength=int(r.max()) + 1 if len(r) else 1)
         return rank, pages[rank]
 
+    def whole(self, long: int) -> np.ndarray:
+        """Positions whose window ends before the end of its text; a window that reaches the end is shared with no text."""
+        last = self.bounds[self.page + 1] - 1 if len(self.ids) else np.zeros(0, np.int64)
+        return np.flatnonzero(np.arange(len(self.ids)) + long <= last)
+
     def keys(self, at: np.ndarray, long: int) -> np.ndarray:
-        """A content hash of the window at each position, equal in every block."""
+        """A content hash of the window at each position out of whole(), equal in every block."""
         return np.array([xxhash.xxh64_intdigest("\x1f".join(self.words[i] for i in self.ids[k : k + long])) for k in at], np.uint64).view(np.int64)
 
     def without(self, heads: np.ndarray, long: int) -> list[str]:
@@ -191,8 +196,8 @@ def clean_markup(records: DataFrame, key: str, host: str, fields: list[str], lon
     Repeated rows of a key count once (the first by text); NULL keys are left out; a NULL host is a host of its own.
     Types are those of the whole field; ``clean`` is made of the runs that are no boilerplate of the host. Equal texts
     count as one page, so copies of a post do not make it boilerplate. A host beyond ``block_chars`` is cut into blocks
-    by text, and blocks of a host add up how often the windows they share occur, so no task holds a hot host and the
-    result is the same.
+    by text, a field at a time, and blocks of a host add up how often the windows they share occur, so no task holds a
+    hot host and the result is the same.
     """
     names = [f"_f{i}" for i in range(len(fields))]
     rows = records.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rec_id"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("_host"), *(F.col(f).alias(n) for f, n in zip(fields, names, strict=True)))
@@ -202,7 +207,12 @@ def clean_markup(records: DataFrame, key: str, host: str, fields: list[str], lon
     count = F.coalesce(F.create_map(*(x for h, n in sizes.items() for x in (F.lit(h), F.lit(int(n)))))[F.col("_host")], F.lit(1)) if sizes else F.lit(1)
     if sizes:  # copies of a text must meet in one block, so rows of a key are made one before
         rows = rows.groupBy("rec_id").agg(F.min(F.struct("_host", *names)).alias("r")).select("rec_id", "r.*")
-    placed = rows.withColumn("_block", F.pmod(F.xxhash64(F.coalesce(*names, F.col("rec_id").cast("string"))), count).cast("int"))
+    if sizes:  # each field of a large host has blocks of its own, so equal texts of any field meet in one
+        part = lambda i: F.struct(*(F.col(n) if j == i else F.lit(None).cast("string").alias(n) for j, n in enumerate(names)), (count * i + F.pmod(F.xxhash64(names[i]), count)).cast("int").alias("_block"))
+        all_fields = F.struct(*names, F.lit(0).alias("_block"))
+        placed = rows.select("rec_id", "_host", F.explode(F.when(count > 1, F.array(*(part(i) for i in range(len(names))))).otherwise(F.array(all_fields))).alias("r")).select("rec_id", "_host", "r.*")
+    else:
+        placed = rows.withColumn("_block", F.lit(0))
 
     def streams(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[list[str]], list[Stream]]:
         pdf = pdf.sort_values(["rec_id", *names], na_position="last").drop_duplicates("rec_id")
@@ -220,7 +230,7 @@ def clean_markup(records: DataFrame, key: str, host: str, fields: list[str], lon
             if host_name in sizes:
                 for k, s in enumerate(streams(pdf)[2]):
                     rank, n = s.windows(long)
-                    whole = np.flatnonzero(s.page[np.minimum(np.arange(len(rank)) + long - 1, max(len(rank) - 1, 0))] == s.page) if len(rank) else np.zeros(0, int)
+                    whole = s.whole(long)
                     _, first = np.unique(rank[whole], return_index=True)
                     at = whole[first]
                     out.append(pd.DataFrame({"_host": host_name, "_block": pdf["_block"].iloc[0], "_field": k, "_key": s.keys(at, long), "_n": n[at]}))
@@ -243,7 +253,8 @@ def clean_markup(records: DataFrame, key: str, host: str, fields: list[str], lon
                 rank, n = s.windows(long)
                 heads = n >= pages
                 if known:
-                    at = np.flatnonzero(~heads)
+                    at = s.whole(long)
+                    at = at[~heads[at]]
                     heads[at[[(k, int(x)) in known for x in s.keys(at, long)]]] = True
                 unique = s.without(np.flatnonzero(heads), long)
                 done[k] = {t: (types := markup_types(t), to_plain(u, types)) for t, u in zip(ts, unique, strict=True)}

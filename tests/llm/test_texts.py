@@ -177,6 +177,17 @@ def test_boilerplate_goes_and_unique_runs_stay(spark, chars):
     assert markup.clean_markup(df.limit(0), "id", "source", ["text"]).count() == 0
 
 
+def test_blocks_of_a_host_with_more_texts_than_tokens_give_the_result_of_one(spark):
+    r = random.Random(4)
+    feet = [" ".join(r.choice("abcdef") for _ in range(40)) for _ in range(12)]  # six distinct tokens
+    data = [(i, "h", f"{' '.join(r.choice('abcdef') for _ in range(6))} {feet[i % 12]}", feet[i % 12 if i % 5 else 0]) for i in range(60)]
+    data += [(100 + i, "h", f"{'abcdef'[i]} a b", "only two texts" + " f e d c b a" * 6 * (i < 4)) for i in range(6)]  # copies of one clean text
+    df = spark.createDataFrame(data, "id long, source string, text string, text_clean string")
+    one, many = (rows(markup.clean_markup(df, "id", "source", ["text", "text_clean"], block_chars=chars)) for chars in (24_000_000, 900))
+    assert one == many and len(one) == 2 * len(data)
+    assert any(x[3] != t for x, t in zip([x for x in many if x[1] == "text"], [d[2] for d in data], strict=True))
+
+
 def test_packing_is_valid_and_tight(spark):
     r = random.Random(1)
     sizes = [(i, r.choice([r.randrange(1, 400), r.randrange(1, 2048), 5000, 2048, 0])) for i in range(600)]
