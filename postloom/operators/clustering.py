@@ -20,8 +20,10 @@ from postloom.storage import cut
 
 #: Rows of a block.
 BLOCK = 4096
-#: Rows on which a hierarchy is fitted at most; the others follow their nearest fitted row.
+#: Rows up to which the driver makes the spanning tree of a hierarchy; beyond that it is made over pairs of blocks.
 HIERARCHY_ROWS = 5000
+#: Rows of a block at most and of a tile when a spanning tree is made, and the grid its vectors are rounded to.
+TREE_BLOCK, TREE_TILE, GRID = 16384, 256, 2**25
 NOISE = -1
 
 
@@ -105,34 +107,133 @@ def dbscan(vectors: DataFrame, eps: float, least: int, metric: str = "cosine", r
     raise RuntimeError("dbscan: labels did not settle; raise rounds")
 
 
-def condensed_labels(x: np.ndarray, least: int = 4, epsilon: float = 0.01) -> np.ndarray:
-    """Leaves of the condensed single-linkage tree (minimum cluster size ``least``); clusters born below ``epsilon`` are
-    merged into their parents; noise is -1. Ties are broken by position."""
+def _grid(c: pd.Series) -> np.ndarray:
+    """Unit vectors on a grid of 2 ** -25, as integers: squared distances on it are exact sums, so equal ones are equal
+    in every order of summation and every block."""
+    x = _stack(c)
+    return np.rint(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8) * GRID).astype("<i4")
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+
+
+def prim_tree(x: np.ndarray) -> list[tuple[float, int, int]]:
+    """The minimum spanning tree of the rows as (squared distance, smaller, greater position); of equally long edges
+    those of smaller positions."""
     n = len(x)
-    if n < 2:
-        return np.full(n, NOISE)
-    inside, dist, near = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
+    inside, dist, near = np.zeros(n, bool), np.full(n, np.inf), np.full(n, n)
     edges, cur = [], 0
-    for _ in range(n - 1):  # Prim
+    for _ in range(n - 1):
         inside[cur] = True
-        d = np.linalg.norm(x - x[cur], axis=1)
-        closer = (d < dist) & ~inside
+        d = _squares(x, x[cur : cur + 1])[:, 0]
+        closer = ~inside & ((d < dist) | (d == dist) & (cur < near))
         dist[closer], near[closer] = d[closer], cur
-        nxt = int(np.where(inside, np.inf, dist).argmin())
+        far = np.where(inside, np.inf, dist)
+        tied = np.flatnonzero(far == far.min())
+        nxt = int(tied[np.lexsort((np.maximum(tied, near[tied]), np.minimum(tied, near[tied])))[0]])
         edges.append((float(dist[nxt]), min(nxt, int(near[nxt])), max(nxt, int(near[nxt]))))
         cur = nxt
-    parent, size, node = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), list(range(n))
+    return edges
+
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+def boruvka_tree(vectors: DataFrame, ids: np.ndarray, block: int = TREE_BLOCK) -> list[tuple[float, int, int]]:
+    """The tree of prim_tree() over all rows of ``vectors``, positions being those in the sorted ``ids``.
 
+    Pairs of blocks are laid down once. In each round a task gives the nearest row of another component for the rows of
+    its two blocks that need it: a row whose last nearest row is still in another component keeps it, and one that was
+    farther than what its component has already cannot matter. The driver keeps a few numbers a row, never vectors.
+    """
+    spark, n = vectors.sparkSession, len(ids)
+    size = -(-n // max(-(-n // block), min(8, -(-n // 256))))
+    blocks = -(-n // size)
+    known = spark.sparkContext.broadcast(ids)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                at = np.searchsorted(known.value, pdf["id"].to_numpy())
+                yield pd.DataFrame({"b": (at // size).astype(np.int32), "at": at, "vec": [v.tobytes() for v in _grid(pdf["emb"])]})
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
+        return pd.DataFrame({"p": [p], "q": [q], "left": [b"".join(pdf["vec"][pdf["b"] == p])], "right": [b"".join(pdf["vec"][pdf["b"] == q])]})
+
+    rows = vectors.select("id", "emb").mapInPandas(placed, "b int, at long, vec binary").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "at", "vec")
+    pairs = cut(rows.groupBy("p", "q").applyInPandas(packed, "p int, q int, left binary, right binary").repartition(blocks * (blocks + 1) // 2, "p", "q"), "pairs")
+
+    def search(held):
+        def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            comp, active = held.value
+            for pdf in batches:
+                for p, q, a, b in zip(pdf["p"], pdf["q"], pdf["left"], pdf["right"], strict=True):
+                    for s, t, x, y in ((p, q, a, b), (q, p, b, a))[: 1 if p == q else 2]:
+                        own, other = comp[s * size : (s + 1) * size], comp[t * size : (t + 1) * size]
+                        wanted = np.flatnonzero(active[s * size : (s + 1) * size])
+                        x, y = (np.frombuffer(v, "<i4").reshape(len(c), -1) / GRID for v, c in ((x, own), (y, other)))
+                        for lo in range(0, len(wanted), TREE_TILE):
+                            k = wanted[lo : lo + TREE_TILE]
+                            d = _squares(x[k], y)
+                            d[own[k][:, None] == other[None]] = np.inf
+                            j = d.argmin(1)
+                            d = d[np.arange(len(k)), j]
+                            keep = np.isfinite(d)
+                            yield pd.DataFrame({"at": s * size + k[keep], "d": d[keep], "other": t * size + j[keep]})
+
+        return searched
+
+    comp, best, dist = np.arange(n), np.full(n, -1), np.zeros(n)
+    edges: list[tuple[float, int, int]] = []
+    while len(edges) < n - 1:
+        out = (best >= 0) & (comp[best] != comp)
+        least = np.full(n, np.inf)
+        np.minimum.at(least, comp[out], dist[out])
+        active = ~out & (dist <= least[comp])
+        if active.any():
+            held = spark.sparkContext.broadcast((comp, active))
+            found = pairs.mapInPandas(search(held), "at long, d double, other long").groupBy("at").agg(F.min(F.struct("d", "other")).alias("r")).select("at", "r.*").toPandas()
+            held.unpersist()
+            at = found["at"].to_numpy()
+            dist[at], best[at], out[at] = found["d"], found["other"], True
+        at = np.flatnonzero(out)
+        low, high = np.minimum(at, best[at]), np.maximum(at, best[at])
+        order = np.lexsort((high, low, dist[at]))
+        first = order[np.sort(np.unique(comp[at][order], return_index=True)[1])]  # the shortest edge of each component
+        parent = list(range(n))
+        for d, a, b in zip(dist[at][first].tolist(), low[first].tolist(), high[first].tolist(), strict=True):
+            i, j = _root(parent, int(comp[a])), _root(parent, int(comp[b]))
+            if i != j:
+                parent[max(i, j)] = min(i, j)
+                edges.append((d, a, b))
+        comp = np.array([_root(parent, i) for i in range(n)])[comp]
+    return edges
+
+
+def _root(parent: list[int], i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
+def condensed_labels(x: np.ndarray, least: int = 4, epsilon: float = 0.01) -> np.ndarray:
+    """Labels by tree_labels() of few rows."""
+    return tree_labels(len(x), prim_tree(x), least, epsilon)
+
+
+def tree_labels(n: int, edges: list[tuple[float, int, int]], least: int = 4, epsilon: float = 0.01) -> np.ndarray:
+    """Leaves of the condensed single-linkage tree (minimum cluster size ``least``) made of the ``edges`` (squared length,
+    position, position) of a minimum spanning tree; clusters born below ``epsilon`` are merged into their parents; noise
+    is -1. Ties are broken by position."""
+    if n < 2:
+        return np.full(n, NOISE)
+    parent, size = list(range(2 * n - 1)), [1] * n + [0] * (n - 1)
     kids: dict[int, tuple[int, int, float]] = {}
     for k, (d, a, b) in enumerate(sorted(edges)):
-        a, b = root(a), root(b)
-        kids[n + k] = (a, b, d)
+        a, b = _root(parent, a), _root(parent, b)
+        kids[n + k] = (a, b, d**0.5)
         parent[a] = parent[b] = n + k
         size[n + k] = size[a] + size[b]
     label = np.full(n, NOISE)
@@ -147,44 +248,43 @@ def condensed_labels(x: np.ndarray, least: int = 4, epsilon: float = 0.01) -> np
                 todo += kids[j][:2]
         return out
 
-    leaves: list[int] = []
+    leaves: set[int] = set()
     todo = [(2 * n - 2, 2 * n - 2)]  # (node, cluster it belongs to)
-    split = set()
     while todo:
         i, own = todo.pop()
         if i < n:
             continue
         a, b, d = kids[i]
         if size[a] >= least and size[b] >= least and d >= epsilon:
-            split.add(own)
-            leaves = [x for x in leaves if x != own] + [a, b]
+            leaves.discard(own)
+            leaves |= {a, b}
             todo += [(a, a), (b, b)]
         else:
             todo += [(c, own) for c in (a, b) if size[c] >= least]
-    for k, leaf in enumerate(sorted(leaves, key=lambda i: min(points(i)))):
-        label[points(leaf)] = k
+    for k, members in enumerate(sorted((points(i) for i in leaves), key=min)):
+        label[members] = k
     return label
 
 
 def hierarchy(vectors: DataFrame, least: int = 4, epsilon: float = 0.01, most: int = HIERARCHY_ROWS) -> DataFrame:
-    """(id, label): the tree is fitted on at most ``most`` rows (all, if there are no more; else those of smallest hash);
-    every other row takes the label of its nearest fitted row."""
-    fitted = vectors.select("id", "emb").orderBy(F.xxhash64("id"), "id").limit(most).toPandas().sort_values("id")
-    x = _stack(fitted["emb"])
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
-    held = vectors.sparkSession.sparkContext.broadcast((fitted["id"].to_numpy(), x, condensed_labels(x, least, epsilon)))
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x, label = held.value
-        where = {int(i): k for k, i in enumerate(ids)}
+    """(id, label) by the tree over all rows; ``vectors`` has one row an id. Up to ``most`` rows the driver makes the
+    tree, beyond that rounds over pairs of blocks do, with the same result."""
+    vectors = cut(vectors.select("id", "emb"), "vectors")
+    if vectors.count() <= most:
+        pdf = vectors.toPandas().sort_values("id")
+        ids = pdf["id"].to_numpy()
+        edges = prim_tree(_grid(pdf["emb"]) / GRID)
+    else:
+        ids = np.sort(vectors.select("id").toPandas()["id"].to_numpy())
+        edges = boruvka_tree(vectors, ids)
+    held = vectors.sparkSession.sparkContext.broadcast((ids, tree_labels(len(ids), edges, least, epsilon)))
+
+    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, label = held.value
         for pdf in batches:
-            if len(pdf):
-                v = _stack(pdf["emb"])
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
-                k = (v @ x.T).argmax(1)
-                yield pd.DataFrame({"id": pdf["id"], "label": [int(label[where.get(int(i), j)]) for i, j in zip(pdf["id"], k, strict=True)]})
+            yield pd.DataFrame({"id": pdf["id"], "label": label[np.searchsorted(ids, pdf["id"].to_numpy())].astype(np.int32)})
 
-    return vectors.select("id", "emb").mapInPandas(follow, "id long, label int")
+    return vectors.select("id").mapInPandas(labelled, "id long, label int")
 
 
 def kmeans(vectors: DataFrame, k: int, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:

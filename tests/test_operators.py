@@ -100,6 +100,18 @@ def test_neighbour_distances_with_few_rows(spark):
     assert clustering.neighbour_distances(df.limit(0), 3).count() == 0
 
 
+def test_hierarchy_of_many_rows_is_that_of_all_rows(spark):
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(90, 12))
+    x = np.vstack([centres[k] + r.normal(size=(5, 12)) * 0.05 for k in range(90)] + [r.normal(size=(150, 12)), centres[:20], centres[:20]])  # small groups, noise, copies
+    df = spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(x)], "id long, emb array<double>").repartition(5)
+    few, many = (rows(clustering.hierarchy(df, most=most)) for most in (5000, 60))
+    assert few == many and len({label for _, label in many}) > 80
+    ids = np.arange(len(x)) * 3
+    tree = clustering.boruvka_tree(df, ids, 100)
+    assert sorted(tree) == sorted(clustering.prim_tree(clustering._grid(df.toPandas().sort_values("id")["emb"]) / clustering.GRID))
+
+
 def test_hierarchy_finds_leaves(spark):
     x = np.concatenate([np.random.default_rng(1).normal(c, 0.02, (8, 2)) for c in ((1, 0), (0, 1), (-1, 0))])
     label = clustering.condensed_labels(x, 4, 0.01)
