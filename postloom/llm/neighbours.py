@@ -27,8 +27,8 @@ from postloom.storage import cut
 SAMPLE_ROWS = 20_000
 #: Rows a list should hold, and rows beyond which it is cut into blocks.
 LIST_ROWS, BLOCK_ROWS = 6_000, 8_192
-#: Rows of a list for searches, and lists a query probes.
-SEARCH_ROWS, PROBES = 600, 24
+#: Rows of a list for searches, lists a query probes for its first radius, and queries held against all vectors at once.
+SEARCH_ROWS, PROBES, QUERY_ROWS = 600, 24, 16_384
 #: Standard deviations of a displacement across a border up to which the list behind it is visited.
 SIGMAS = 4.0
 #: Fixed-point scale of shipped vectors (16 bits a value), and what that may cost a squared distance.
@@ -232,8 +232,10 @@ def best_of(q: np.ndarray, x: np.ndarray, q_names: np.ndarray, x_names: np.ndarr
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, probes: int = PROBES, sample_rows: int = SAMPLE_ROWS, list_rows: int = SEARCH_ROWS) -> DataFrame:
     """(name, neighbour, cosine, rank): for every row of ``queries`` its ``k`` most similar other vectors, ties by name.
 
-    Both as from prepare(). The ``probes`` nearest lists are searched; measured against brute force this finds more than
-    nine of ten neighbours. Inside a list the k-th best so far is the radius of the scan. Fewer vectors give fewer rows.
+    Both as from prepare(). The ``probes`` nearest lists are searched first; inside a list the k-th best so far is the
+    radius of the scan. What they found gives each query a radius within which all its neighbours lie, and all vectors
+    are then held against it by matrix products, so no neighbour is lost in a list that was not probed. Fewer vectors
+    give fewer rows.
     """
     spark = vectors.sparkSession
     vectors = cut(vectors, "vectors")
@@ -273,5 +275,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, probes: int = PROBES
         return pd.concat(parts) if parts else pd.DataFrame([], columns=["name", "neighbour", "cosine"])
 
     found = home.groupBy("cell").cogroup(guests.groupBy("cell")).applyInPandas(searched, schema)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "neighbour"))), 1, k)
-    return found.groupBy("name").agg(best.alias("best")).select("name", F.posexplode("best").alias("rank", "b")).select("name", F.col("b.neighbour").alias("neighbour"), (-F.col("b.far")).alias("cosine"), (F.col("rank") + 1).alias("rank"))
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "neighbour"))), 1, k)
+    first = cut(found.groupBy("name").agg(ranked.alias("best")), "first")
+    radius = first.filter(F.size("best") == k).select("name", (-F.element_at("best", -1)["far"]).alias("least"))
+    asked = cut(queries.select("name", "emb").join(radius, "name", "left").withColumn("least", F.coalesce("least", F.lit(-2.0))), "asked")
+    blocks = -(-asked.count() // QUERY_ROWS)
+
+    def whole(held):
+        def held_against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asked, q, least = held.value
+            for pdf in batches:
+                for lo in range(0, len(pdf) if len(q) else 0, 1024):
+                    part = pdf.iloc[lo : lo + 1024]
+                    names, x = part["name"].to_numpy(), stack(part["emb"])
+                    i, j = np.nonzero(q @ x.T >= least[:, None])
+                    keep = asked[i] != names[j]
+                    i, j = i[keep], j[keep]
+                    cos = (q[i] * x[j]).sum(1, dtype=np.float64)
+                    order = np.lexsort((names[j].astype(str), -cos, i))
+                    i, j, cos = i[order], j[order], cos[order]
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)
+                    yield pd.DataFrame({"name": asked[i], "neighbour": names[j], "cosine": cos})[rank < k]
+
+        return held_against
+
+    found = None
+    for b in range(blocks):
+        pdf = asked.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b).toPandas()
+        part = vectors.mapInPandas(whole(spark.sparkContext.broadcast((pdf["name"].to_numpy(), stack(pdf["emb"]), (pdf["least"].to_numpy() - 1e-5).astype(np.float32)))), schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], schema + ", rank int")
+    best = found.groupBy("name").agg(ranked.alias("best"))
+    return best.select("name", F.posexplode("best").alias("rank", "b")).select("name", F.col("b.neighbour").alias("neighbour"), (-F.col("b.far")).alias("cosine"), (F.col("rank") + 1).alias("rank"))

@@ -81,6 +81,22 @@ def test_vectors_without_direction_are_left_out(spark):
     assert neighbours.similar_pairs(v.limit(0), 0.95).count() == 0 and neighbours.nearest(v.limit(0), v, 3).count() == 0
 
 
+def test_nearest_finds_neighbours_in_lists_that_were_not_probed(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 8, raising=False)
+    x, _ = clumps(900, 25, noise=0.3, seed=14)
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    all_ = neighbours.prepare(frame(spark, x), "name", "emb")
+    got = defaultdict(list)
+    for name, other, _, rank in sorted(rows(neighbours.nearest(all_, all_.filter("name like '%20' or name = 'v0001'"), 10, probes=1, list_rows=20)), key=lambda r: (r[0], r[3])):
+        got[name].append(other)
+        assert rank == len(got[name])
+    assert len(got) == 10
+    for name, near in got.items():
+        s = v @ v[int(name[1:])]
+        s[int(name[1:])] = -2
+        assert near == [f"v{j:04d}" for j in np.argsort(-s)[:10]]
+
+
 def test_nearest_reaches_the_recall(spark):
     x, _ = clumps(1500, 25, noise=0.2, seed=4)
     v = x.astype(np.float32) / np.linalg.norm(x.astype(np.float32), axis=1, keepdims=True)
