@@ -11,14 +11,14 @@ through the same steps twice more with other cells.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.neighbours import SAMPLE_ROWS, SEED, fit_centroids, nearest, sample_of, similar_pairs, stack
+from postloom.llm.neighbours import SAMPLE_ROWS, SEED, fit_centroids, sample_of, stack
 from postloom.storage import cut
 
 #: Neighbours of a vector, candidates per round of descent, rounds at most.
@@ -35,9 +35,9 @@ RESOLUTION = 20.0
 SEATS = (2, 4)
 #: Cosine between mean directions from which communities are one group.
 SAME = 0.8
-#: Means up to which their comparison is one small matrix; more are compared through lists, with the same result.
+#: Means up to which their comparison is one small matrix; more are compared in blocks, with the same result.
 FEW_MEANS = 8_192
-#: Means that one broadcast may hold; more are searched through lists.
+#: Means that one broadcast may hold; more are broadcast in several blocks.
 MOST_MEANS = 65_536
 #: Rounds of moves on the contracted graph.
 MOVES = 4
@@ -262,7 +262,7 @@ def _means(sums: DataFrame) -> DataFrame:
     return sums.filter(norm > 0).select(F.col("label").alias("name"), F.transform("total", lambda x: (x / norm).cast("float")).alias("emb"))
 
 
-def united(sums: DataFrame, same: float = SAME, rounds: int = 6) -> DataFrame:
+def united(sums: DataFrame, same: float = SAME) -> DataFrame:
     """Sums with the labels of communities of one mean direction made equal (smallest label, by repeated joins)."""
     sums = cut(sums, "sums")
     means = _means(sums)
@@ -271,15 +271,22 @@ def united(sums: DataFrame, same: float = SAME, rounds: int = 6) -> DataFrame:
         names, m = pdf["name"].to_numpy(), stack(pdf["emb"])
         low = np.arange(len(m))
         near = [np.flatnonzero(m[k] @ m.T >= same) for k in range(len(m))]
-        for _ in range(rounds):
-            low = np.array([low[x].min() if len(x) else k for k, x in enumerate(near)])
+        before = None
+        while not np.array_equal(low, before):
+            before, low = low, np.array([low[x].min() if len(x) else k for k, x in enumerate(near)], int)
         groups = sums.sparkSession.createDataFrame([(str(a), str(names[k])) for a, k in zip(names, low, strict=True)], "label string, group string")
         return total_of(sums.join(F.broadcast(groups), "label").select(F.col("group").alias("label"), "n", "total"))
-    pairs = cut(similar_pairs(_means(sums), same), "pairs")
-    both = pairs.unionByName(pairs.select(F.col("vec_b").alias("vec_a"), F.col("vec_a").alias("vec_b")))
+    means = cut(means, "means")
+
+    def alike(batches: Iterator[pd.DataFrame], names: np.ndarray, m: np.ndarray) -> Iterator[pd.DataFrame]:
+        for part, s in _products(batches, m):
+            i, j = np.nonzero(s >= same)
+            yield pd.DataFrame({"vec_a": part["name"].to_numpy()[i], "vec_b": names[j]})
+
+    both = cut(_held_against(means, means, alike, "vec_a string, vec_b string"), "pairs")
     groups = sums.select("label", F.col("label").alias("group"))
     before = None
-    for _ in range(rounds):
+    while True:
         low = both.join(groups.select(F.col("label").alias("vec_b"), "group"), "vec_b").groupBy(F.col("vec_a").alias("label")).agg(F.min("group").alias("low"))
         groups = cut(groups.join(low, "label", "left").select("label", F.least("group", F.coalesce("low", "group")).alias("group")), "united")
         check = groups.agg(F.sum(F.xxhash64("label", "group").cast("decimal(38,0)"))).first()[0]
@@ -289,32 +296,44 @@ def united(sums: DataFrame, same: float = SAME, rounds: int = 6) -> DataFrame:
     return total_of(sums.join(groups, "label").select(F.col("group").alias("label"), "n", "total"))
 
 
+def _products(batches: Iterator[pd.DataFrame], m: np.ndarray) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Parts of the batches and their cosines with all rows of ``m``, in bounded memory."""
+    tile = max(1, min(2048, 33_554_432 // max(len(m), 1)))
+    for pdf in batches:
+        for lo in range(0, len(pdf) if len(m) else 0, tile):
+            part = pdf.iloc[lo : lo + tile]
+            yield part, stack(part["emb"]) @ m.T
+
+
+def _held_against(vectors: DataFrame, means: DataFrame, use: Callable[[Iterator[pd.DataFrame], np.ndarray, np.ndarray], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """What ``use`` makes of all vectors and each block of about MOST_MEANS means (names and directions), broadcast in turn."""
+    blocks = max(1, -(-means.count() // MOST_MEANS))
+    out = None
+    for k in range(blocks):
+        pdf = means.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k).toPandas().sort_values("name")
+        held = vectors.sparkSession.sparkContext.broadcast((pdf["name"].to_numpy(), stack(pdf["emb"])))
+        part = vectors.mapInPandas(lambda batches, held=held: use(batches, *held.value), schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def assigned(vectors: DataFrame, sums: DataFrame, cosine: float) -> DataFrame:
     """(name, label, emb): each vector with the most similar mean, where the cosine is at least ``cosine``."""
     means = cut(_means(sums), "means")
-    count = means.count()
-    if count > MOST_MEANS:
-        tagged = means.select(F.concat(F.lit("m/"), "name").alias("name"), "emb")
-        best = nearest(tagged, vectors, 1).filter(F.col("cosine") >= cosine)
-        return best.select("name", F.substring("neighbour", 3, 1 << 30).alias("label")).join(vectors, "name")
-    pdf = means.toPandas().sort_values("name")
-    held = vectors.sparkSession.sparkContext.broadcast((pdf["name"].to_numpy(), stack(pdf["emb"])))
-
-    def closest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, m = held.value
-        for pdf in batches:
-            if not len(pdf) or not len(m):
-                continue
-            for lo in range(0, len(pdf), 2048):
-                part = pdf.iloc[lo : lo + 2048]
-                s = stack(part["emb"]) @ m.T
-                k = s.argmax(1)
-                keep = s[np.arange(len(part)), k] >= cosine
-                if not keep.any():
-                    continue
-                yield pd.DataFrame({"name": part["name"].to_numpy()[keep], "label": names[k[keep]], "emb": list(part["emb"].to_numpy()[keep])})
-
-    return vectors.mapInPandas(closest, "name string, label string, emb array<float>")
+
+    def closest(batches: Iterator[pd.DataFrame], names: np.ndarray, m: np.ndarray) -> Iterator[pd.DataFrame]:
+        for part, s in _products(batches, m):
+            k = s.argmax(1)
+            s = s[np.arange(len(part)), k]
+            keep = s >= cosine
+            if keep.any():
+                yield pd.DataFrame({"name": part["name"].to_numpy()[keep], "label": names[k[keep]], "emb": list(part["emb"].to_numpy()[keep]), "near": s[keep]})
+
+    found = _held_against(vectors, means, closest, "name string, label string, emb array<float>, near float")
+    if means.count() > MOST_MEANS:  # the best of all blocks
+        best = found.groupBy("name").agg(F.min(F.struct((-F.col("near")).alias("far"), "label")).alias("b")).select("name", F.col("b.label").alias("label"))
+        return best.join(vectors, "name").select("name", "label", "emb")
+    return found.drop("near")
 
 
 def _sums_of(members: DataFrame) -> DataFrame:

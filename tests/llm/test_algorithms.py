@@ -185,6 +185,24 @@ def test_groups_meet_their_definition(spark):
     assert communities.similarity_groups(df.limit(0)).count() == 0
 
 
+def test_many_means_give_the_groups_of_few(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    chain = np.zeros((30, 64))  # from axis to axis in steps of which only neighbours are alike
+    for k, t in enumerate(np.arange(30) * 0.9 * np.arccos(communities.SAME)):
+        axis, turn = divmod(t, np.pi / 2)
+        chain[k, int(axis)], chain[k, int(axis) + 1] = np.cos(turn), np.sin(turn)
+    m = np.concatenate([chain, rng.normal(size=(150, 64))])
+    sums = spark.createDataFrame([(f"m{i:04d}", 1, [float(x) for x in v]) for i, v in enumerate(m)], "label string, n long, total array<double>")
+    x = np.concatenate([m, m]) / np.linalg.norm(np.concatenate([m, m]), axis=1, keepdims=True) + rng.normal(size=(2 * len(m), 64)) * 0.06
+    v = neighbours.prepare(frame(spark, x), "name", "emb")
+    got = []
+    for few, most in ((8192, 65536), (10, 40)):
+        monkeypatch.setattr(communities, "FEW_MEANS", few)
+        monkeypatch.setattr(communities, "MOST_MEANS", most)
+        got.append((rows(communities.united(sums).select("label", "n")), rows(communities.assigned(v, sums, 0.65).select("name", "label"))))
+    assert got[0] == got[1] and len(got[0][0]) == 151 and ("m0000", len(chain)) in got[0][0]
+
+
 def test_hot_cell_is_cut_and_put_together_again(spark):
     rng = np.random.default_rng(9)
     c = rng.normal(size=(2, 64))
