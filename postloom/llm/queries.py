@@ -108,6 +108,14 @@ def p6_style_scores(spark: SparkSession, d: str) -> DataFrame:
     return terms.score_terms(counted, n).select("rec_key", "term", F.round("dfr", 6).alias("dfr"))
 
 
+def p6_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The divergence from randomness of every term of every record of both types, over the whole tables."""
+    out = []
+    for kind, (counted, n) in (("topic", topic_terms(spark, d)), ("style", style_terms(spark, d))):
+        out.append(terms.score_terms(counted, n).select(F.lit(kind).alias("rec_type"), "rec_key", "term", F.round("dfr", 6).alias("dfr")))
+    return out[0].unionByName(out[1])
+
+
 def cleaned_topics(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_markup(read_table(spark, d, "topics", "id", "source", "text", "text_clean"), "id", "source", ["text", "text_clean"])
 
@@ -144,6 +152,7 @@ QUERIES = {
     "p5_nearest": p5_nearest,
     "p6_found": p6_found,
     "p6_style_scores": p6_style_scores,
+    "p6_scores": p6_scores,
     "p7_found": p7_found,
     "p7_clean": p7_clean,
     "p8_packed": p8_packed,

@@ -1,6 +1,6 @@
 import pytest
 
-from postloom.llm.oracle import SQL
+from postloom.llm.oracle import _TERMS, SQL
 from postloom.llm.queries import QUERIES
 from tests.oracle_check import compare, connect
 
@@ -20,3 +20,12 @@ def test_query(spark, small, name):
         compare(df, connect(small), SQL[name])
     else:
         assert df.count() > 0
+
+
+def test_scores_cover_all_terms_of_both_types(spark, small):
+    table = f"""
+    WITH {_TERMS},
+    s AS (SELECT rec_type, rec_key, term, tf, sum(tf) OVER (PARTITION BY rec_type, term) AS cf, sum(tf) OVER (PARTITION BY rec_type, rec_key) AS len, sum(tf) OVER (PARTITION BY rec_type) AS total, n FROM tf JOIN n USING (rec_type)),
+    x AS (SELECT *, tf * log2(1 + (total / n) / len) AS tfn, cf / n AS mean FROM s)
+    SELECT rec_type, rec_key, term, round((log2(1 + mean) + tfn * log2((1 + mean) / mean)) / (tfn + 1), 6) AS dfr FROM x"""
+    compare(QUERIES["p6_scores"](spark, small), connect(small), table)
