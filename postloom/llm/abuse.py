@@ -28,6 +28,8 @@ from postloom.storage import spread
 
 #: Tokens of a window and between the beginnings of windows.
 WIDTH, STRIDE = 24, 12
+#: Characters of a token at most.
+LONGEST = 40
 #: Hash buckets of words and of trigrams, size of their vectors, and hidden units of each direction.
 BUCKETS, DIM, HIDDEN = 4096, 20, 24
 #: Score from which a text counts as bad.
@@ -42,6 +44,7 @@ _UNSEEN = re.compile("[​-‏⁠﻿­]")
 _BLANK = re.compile(r"&nbsp;|&#160;|&#xa0;", re.I)
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_]){3,}\w(?!\w)")
 _TOKEN = re.compile(r"\S+")
+_INNER = re.compile(r"[^\w@$*!']+|_+")
 _EDGE = ".,!?…:;()\"'«»“”„—–-[]{}<>`~|/\\#=+^&%"
 # Signs that stand for letters inside a word.
 TO_LATIN = str.maketrans("0134$5@7!авеёкморстухі", "oieassatiabeekmopctyxi")
@@ -52,10 +55,18 @@ def tokens(text: str | None) -> list[str]:
     """Normalised tokens of a text."""
     t = _UNSEEN.sub("", unicodedata.normalize("NFKC", _BLANK.sub(" ", text or ""))).lower().replace("ё", "е")
     t = _SPACED.sub(lambda m: re.sub(r"[ .\-_]", "", m[0]), t)
-    return [w for m in _TOKEN.finditer(t) if (w := _plain(m[0]))]
+    return [w for m in _TOKEN.finditer(t) for w in _pieces(m[0])]
 
 
 @cache
+def _pieces(raw: str) -> tuple[str, ...]:
+    """The token of a run without blanks; a run too long for one is split at inner signs, and its parts are cut, so
+    nothing of it is dropped."""
+    w = _plain(raw)
+    parts = [w] if len(w) <= LONGEST else [_plain(x) for x in _INNER.split(raw)]
+    return tuple(w[k : k + LONGEST] for w in parts for k in range(0, len(w), LONGEST))
+
+
 def _plain(raw: str) -> str:
     w = raw.strip(_EDGE)
     if not w:
@@ -64,7 +75,7 @@ def _plain(raw: str) -> str:
     if cyr + lat and not w.isalpha() or cyr and lat:
         if not (w[:1].isdigit() and cyr + lat < len(w) / 2):
             w = w.translate(TO_CYRILLIC if cyr >= lat else TO_LATIN)
-    return re.sub(r"(.)\1{2,}", r"\1", w)[:40]
+    return re.sub(r"(.)\1{2,}", r"\1", w)
 
 
 def _bucket(s: str) -> int:

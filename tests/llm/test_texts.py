@@ -112,6 +112,16 @@ def test_abuse_examples(text, bad):
     assert (abuse.Scorer(abuse.BiGRU.stored()).texts([text])[0] >= abuse.THRESHOLD) == bool(bad)
 
 
+def test_nothing_of_a_run_without_blanks_is_dropped():
+    assert abuse.tokens("<table><tr><td>summary</td><td>86</td></tr></table>signed")[-1] == "signed"
+    assert "".join(abuse.tokens("абвгд" * 50)) == "абвгд" * 50 and max(map(len, abuse.tokens("абвгд" * 50))) <= 40
+    assert abuse.tokens("короткое/слово") == ["короткое/слово"]
+    for sign in (".", "_", "/", "<br>", "..."):
+        run = sign.join(("Сосед хвалит дрели а я выбираю обои. " * 3 + "Ты полный идиот закрой рот").replace(".", "").split())
+        assert abuse.Scorer(abuse.BiGRU.stored()).texts([run])[0] >= abuse.THRESHOLD, sign
+        assert abuse.Scorer(abuse.BiGRU.stored()).texts([sign.join(["Сосед", "хвалит", "дрели", "обои"] * 9)])[0] < abuse.THRESHOLD
+
+
 def test_windows_cover_and_overlap():
     for n in range(120):
         starts = abuse.window_starts(n)
