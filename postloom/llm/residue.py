@@ -141,13 +141,14 @@ def find_residue(docs: DataFrame, doc_id: str = "doc_id", host: str = "source",
     """(doc_id, residue_type), one row a type found.
 
     A NULL host is a host of its own. NULL, empty and blank texts have no residue. Repeated rows of an id count once in
-    the result. Lines are counted before any shuffle, and texts are never cut or sampled. Only positions of recurrent
+    the result. A line recurs by the distinct texts of its host that hold it, so copies of a post do not make it boilerplate.
+    Lines are counted before any shuffle, and texts are never cut or sampled. Only positions of recurrent
     lines travel, so a hot host or a hot line loads no single task with texts.
     """
     rows = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull() & (F.trim(text) != "")).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("_host"), F.col(text).alias("_text"))
-    lines = rows.select("doc_id", "_host", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
-    lines = lines.filter(F.trim("_line") != "").select("doc_id", "_pos", F.xxhash64("_host", _norm(F.col("_line"))).alias("_key"))
-    common = lines.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= recurrent).select("_key")
+    lines = rows.select("doc_id", "_host", F.xxhash64("_text").alias("_copy"), F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
+    lines = lines.filter(F.trim("_line") != "").select("doc_id", "_pos", "_copy", F.xxhash64("_host", _norm(F.col("_line"))).alias("_key"))
+    common = lines.groupBy("_key", "_copy").agg(F.lit(1)).groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= recurrent).select("_key")
     marks = lines.join(common, "_key").groupBy("doc_id").agg(F.collect_set("_pos").alias("_marks"))
     judged = rows.drop("_host").join(marks, "doc_id", "left")
 

@@ -317,6 +317,13 @@ def test_residue_subtracts_lines_that_recur_at_a_host(spark):
     assert residue.find_residue(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_post_and_repeats_inside_it_are_no_boilerplate(spark):
+    post = "Сервис временно недоступен, попробуйте через 5 минут.\nСосед хвалит дрели, а я выбираю обои для кухни и коридора, потом поеду на дачу красить забор."
+    data = [(i, "h", post) for i in range(9)] + [(20, "g", "\n".join([post] * 9))]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    assert rows(residue.find_residue(df)) == []
+
+
 def test_labelled_texts_are_bounded(small):
     assert len(abuse.labelled_texts(small, 10)) <= 10 and all(y in (0, 1) and n >= 1 for _, y, n in abuse.labelled_texts(small))
 
