@@ -22,27 +22,29 @@ from pyspark.sql import functions as F
 
 from postloom.storage import cut, spread
 
-#: Tokens of a sequence, items of a block, share of a bin below which its items are packed again, rounds of search.
-CAPACITY, BLOCK_ITEMS, UNDERFULL, ROUNDS = 2_048, 4_000, 0.98, 6
+#: Tokens of a sequence, items of a block, share of a bin below which its items are packed again.
+CAPACITY, BLOCK_ITEMS, UNDERFULL = 2_048, 4_000, 0.98
 #: The public tokenizer's ranks and its pattern.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @cache
-def encoding(path: str):
+def encoding(vocabulary: bytes):
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, tokens). NULL and empty texts have 0 tokens; special tokens' strings are ordinary text."""
+    """(doc_id, tokens). NULL and empty texts have 0 tokens; special tokens' strings are ordinary text. The vocabulary
+    (some MB) is read on the driver and broadcast, so executors need no file."""
+    held = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
     rows = spread(docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(tokenizer)
+        enc = encoding(held.value)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [len(x) for x in enc.encode_ordinary_batch(list(pdf["_text"]), num_threads=1)]})
 
@@ -73,14 +75,15 @@ class Bins:
             if room > self.sizes[i]:
                 insort(self.order, (room - self.sizes[i], b))
 
-    def search(self, rounds: int = ROUNDS) -> None:
-        """Exchanges between underfull bins that raise the sum of squared fills.
+    def search(self) -> None:
+        """Exchanges between underfull bins that raise the sum of squared fills, until none does.
 
         For bins a (fuller) and b, anything that makes a fuller without overflow raises the sum: a move from b, a small
         item for a larger one, one item for two. The emptiest bins are drained first, until they are empty or nothing
         fits any more."""
         sizes, cap = self.sizes, self.capacity
-        for _ in range(rounds):
+        better = True
+        while better:  # the sum grows with every exchange, so this ends
             better = False
             low = sorted((b for b in range(len(self.items)) if self.items[b] and self.fill[b] < cap), key=lambda b: (self.fill[b], b))
             for b in low:
@@ -123,8 +126,6 @@ class Bins:
                         self.fill[a] += best
                         self.fill[b] -= best
                         better = True
-            if not better:
-                break
 
 
 def pack_block(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -144,6 +145,7 @@ def pack(counted: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_
     docs = counted.filter(F.col("doc_id").isNotNull() & (F.col("tokens") > 0)).groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
     full = F.floor(F.col("tokens") / capacity)
     pieces = docs.select("doc_id", F.posexplode(F.concat(F.array_repeat(F.lit(capacity).cast("long"), full.cast("int")), F.filter(F.array(F.col("tokens") - full * capacity), lambda x: x > 0))).alias("piece", "tokens"))
+    pieces = cut(pieces, "pieces")  # texts are tokenised once
     whole = pieces.filter(F.col("tokens") == capacity).select(F.concat_ws("-", F.lit("f"), F.col("doc_id").cast("string"), F.col("piece").cast("string")).alias("bin_id"), "doc_id", "piece", "tokens")
     items = pieces.filter(F.col("tokens") < capacity)
 
