@@ -358,6 +358,32 @@ def test_residue_subtracts_lines_that_recur_at_a_host(spark):
     assert residue.find_residue(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_residual_is_what_counts(spark, most):
+    nav = "Каталог удочек, доставка по городу, корзина, отзывы покупателей, вакансии, карта проезда, последние новости"
+    foot = "Вы подписаны как {{ user_name }}, отменить подписку можно тут"
+    own = "Сосед хвалит дрели номер {}, а я выбираю обои для кухни и коридора, потом поеду на дачу красить забор."
+    data = [(i, "h", f"{nav}\n{own.format('x' * i)}\n{foot}") for i in range(20)] + [(30, "h", f"{nav}\n502 Bad Gateway")] + [(31, "h", f"{nav}\n{foot}")] + [(32, "g", f"{nav}\n502 Bad Gateway"), (33, "g", f"{own}\n{foot}")]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    found = rows(residue.find_residue(df, broadcast_rows=most))
+    assert found == [(30, "error_page"), (31, "placeholder"), (33, "placeholder")]  # 30 only without the line of the host
+    assert (30, "error_page") not in rows(residue.find_residue(df, recurrent=10**9))
+    large = [(i, "h", f"{own.format('x' * i)}\nДобрый день, {{{{ user_name }}}}!" if i < 6 else own.format("y" * i)) for i in range(400)]
+    assert len(rows(residue.find_residue(spark.createDataFrame(large, "doc_id long, source string, text string"), broadcast_rows=most))) == 6  # six of 400 are no boilerplate
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("тест тест тест тест", ["filler"]), ("asdf qwerty jkl zxcvbn", ["filler"]), ("йцукен фыва олдж", ["filler"]), ("blah blah blah blah blah", ["filler"]), ("We were there", []), ("Да, да, да!", []), ("Купили удочки вчера. Купили удочки сегодня.", []),
+        ("Ресурс не найден (код 410). Вернитесь назад.", ["error_page"]), ("The server encountered an internal error and was unable to complete your request.", ["error_page"]), ("У меня страница не найдена, ошибка 404, что делать?", []),
+        ("This website requires JavaScript to be enabled in your browser.", ["script_notice"]), ("Я отключил JavaScript, сайт не работает.", []), ("[YOUR NAME HERE] writes", ["placeholder"]), ("{% if user %}Hi{% endif %}", ["placeholder"]), ("См. пункт [2] и [a](http://b.test)", []), ("```\nprint({name})\n```", []),
+    ],
+)
+def test_residue_by_kinds_of_words(text, want):
+    assert residue.residue_types(text) == want
+
+
 def test_copies_of_a_post_and_repeats_inside_it_are_no_boilerplate(spark):
     post = "Сервис временно недоступен, попробуйте через 5 минут.\nСосед хвалит дрели, а я выбираю обои для кухни и коридора, потом поеду на дачу красить забор."
     data = [(i, "h", post) for i in range(9)] + [(20, "g", "\n".join([post] * 9))]
