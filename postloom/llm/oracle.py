@@ -40,4 +40,31 @@ s AS (SELECT rec_key, term, tf, sum(tf) OVER (PARTITION BY term) AS cf, sum(tf)
 x AS (SELECT *, tf * log2(1 + (total / n) / len) AS tfn, cf / n AS mean FROM s)
 SELECT rec_key, term, round((log2(1 + mean) + tfn * log2((1 + mean) / mean)) / (tfn + 1), 6) AS dfr FROM x"""
 
-SQL = {"p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_style_scores": P6_STYLE}
+P6_ALL = f"""
+WITH {_TERMS},
+s AS (SELECT rec_type, rec_key, term, tf, sum(tf) OVER (PARTITION BY rec_type, term) AS cf, sum(tf) OVER (PARTITION BY rec_type, rec_key) AS len, sum(tf) OVER (PARTITION BY rec_type) AS total, n FROM tf JOIN n USING (rec_type)),
+x AS (SELECT *, tf * log2(1 + (total / n) / len) AS tfn, cf / n AS mean FROM s)
+SELECT rec_type, rec_key, term, round((log2(1 + mean) + tfn * log2((1 + mean) / mean)) / (tfn + 1), 6) AS dfr FROM x"""
+
+# Signs of markup in the pattern language of the database, which looks neither ahead nor back.
+_S, _B, _W = r"[\s\p{Z}]", r"\s\p{Z}", r"[\p{L}\p{N}_]"
+_MARKUP = {
+    "html": rf"</?[a-zA-Z][a-zA-Z0-9]{{0,14}}(?:{_S}+[a-zA-Z_:](?:{_W}|[:-])*(?:{_S}*={_S}*(?:\"[^\"]*\"|'[^']*'|[^{_B}\"'<>]+))?)*{_S}*/?>|<!--|-->|<!DOCTYPE|&(?:[a-zA-Z]{{2,8}}\p{{Nd}}{{0,2}}|#\p{{Nd}}{{1,7}}|#[xX][0-9a-fA-F]{{1,6}});",
+    "markdown": rf"^ {{0,3}}#{{1,6}} +[^{_B}]|\*\*[^{_B}*](?:[^*\n]*[^{_B}*])?\*\*|(?:^|[^\p{{L}}\p{{N}}_])__[^{_B}_](?:[^\n]*?[^{_B}_])?__(?:$|[^\p{{L}}\p{{N}}_])|!?\[[^\]\n]*\]\([^(){_B}]+(?:{_S}+\"[^\"]*\")?\)|^ {{0,3}}(?:```|~~~)"
+    rf"|`[^`\n]+`|^{_S}*[-*+] \[[ xX]\] |^ {{0,3}}> ?[^{_B}]|^ {{0,3}}\|(?: ?:?-{{3,}}:? ?\|)+{_S}*$|~~[^{_B}~](?:[^~\n]*[^{_B}~])?~~",
+    "wiki": rf"^{_S}*(?:==[^=\n]+==|===[^=\n]+===|====[^=\n]+====|=====[^=\n]+=====|======[^=\n]+======){_S}*$|'''?[^'\n]+'''?|\[\[[^\[\]\n]+\]\]|\{{\{{[^{{}}\n]*\}}\}}|^{_S}*\{{\|[^\n]*$|^{_S}*\|\}}|^{_S}*\|-[^|\n]*$",
+    "latex": r"\\(?:begin|end|emph|textbf|textit|texttt|underline|cite|ref|label|section|subsection|chapter|paragraph|item|frac|sqrt|sum|int|prod|leq|geq|neq|cdot|times|alpha|beta|gamma|footnote|url|href|left|right|infty)(?:[^a-zA-Z]|\z)|\\\[|\\\]|\\\(|\\\)"
+    r"|\$\$[^$]+\$\$|\$[^$\n]*[\\^_{}][^$\n]*\$",
+}
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+P7 = """
+WITH o AS (SELECT id, text, text_clean, row_number() OVER (PARTITION BY id ORDER BY coalesce(source, chr(0)), text NULLS LAST, text_clean NULLS LAST) AS rn FROM topics WHERE id IS NOT NULL),
+f AS (SELECT id AS topic_id, 'text' AS rec_field, text AS t FROM o WHERE rn = 1 UNION ALL SELECT id, 'text_clean', text_clean FROM o WHERE rn = 1)
+""" + " UNION ALL ".join(f"SELECT topic_id, rec_field, '{kind}' AS markup_type FROM f WHERE regexp_matches(t, {_quoted('(?m)' + pattern)})" for kind, pattern in _MARKUP.items())
+
+SQL = {"p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_style_scores": P6_STYLE, "p6_scores": P6_ALL, "p7_found": P7}

@@ -198,6 +198,36 @@ def test_blocks_of_a_host_with_more_texts_than_tokens_give_the_result_of_one(spa
     assert any(x[3] != t for x, t in zip([x for x in many if x[1] == "text"], [d[2] for d in data], strict=True))
 
 
+@pytest.mark.parametrize("chars", [24_000_000, 40])
+def test_one_row_of_a_key_counts_at_every_size_of_host(spark, chars):
+    data = [(1, "h", None, None), (1, "h", "a", "<b>bold</b>"), (1, "h", "a", None), (2, "z", "**y**", None), (2, "b", "plain", None), (2, None, "x `c`", "<i>i</i>"), (3, "h", "tail of it", "tail of it")]
+    df = spark.createDataFrame(data, "id long, source string, text string, text_clean string")
+    got = rows(markup.clean_markup(df, "id", "source", ["text", "text_clean"], block_chars=chars).select("rec_id", "rec_field", "markup_types"))
+    assert got == [(1, "text", []), (1, "text_clean", ["html"]), (2, "text", ["markdown"]), (2, "text_clean", ["html"]), (3, "text", []), (3, "text_clean", [])]
+
+
+def test_types_of_runs_are_those_of_the_whole_text():
+    r = random.Random(8)
+    parts = ["<b>", "</b>", "**x**", "word", "== H ==", "\n", "\n", " ", "$$", "`c", "`", "__a__", "<a\n href='x'>", "[t](u", ' "v")', "{{q}}", r"\emph{", "|-", "\n## Z"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(1, 25)))
+        cuts = sorted(r.sample(range(len(text) + 1), min(4, len(text) + 1) // 2 * 2))
+        assert markup.types_of_runs(text, list(zip(cuts[::2], cuts[1::2], strict=True)), {}) == markup.markup_types(text), (text, cuts)
+
+
+def test_equal_windows_have_one_minimiser():
+    r = random.Random(2)
+    foot = " ".join(r.choice("abcdefgh") for _ in range(50))
+    one, two = markup.Stream([f"{k} own {k} {foot}" for k in "xyz"]), markup.Stream([f"q r s t {foot} tail"])
+    sides = []
+    for s in (one, two):
+        at = s.whole(32)
+        sides.append(dict(zip(s.keys(at, 32).tolist(), s.minimisers(at, 32).tolist(), strict=True)))
+        assert len(set(sides[-1].values())) < len(at) / 3
+    both = set(sides[0]) & set(sides[1])
+    assert len(both) >= 19 and all(sides[0][k] == sides[1][k] for k in both)
+
+
 def test_packing_is_valid_and_tight(spark):
     r = random.Random(1)
     sizes = [(i, r.choice([r.randrange(1, 400), r.randrange(1, 2048), 5000, 2048, 0])) for i in range(600)]
