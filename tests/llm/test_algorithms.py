@@ -69,10 +69,29 @@ def test_similar_pairs_against_brute_force(spark, list_rows, block_rows):
     want = {(f"v{i:04d}", f"v{j:04d}") for i, j in zip(*np.nonzero(np.triu(v @ v.T >= 0.95, 1)), strict=True)}
     got = rows(neighbours.similar_pairs(neighbours.prepare(frame(spark, x), "name", "emb"), 0.95, list_rows=list_rows, block_rows=block_rows, sigmas=math.sqrt(32)))
     assert len(got) == len(set(got)) and len(set(got) ^ want) <= len(want) * 0.005 and len(want) > 500
+    exact = rows(neighbours.similar_pairs(neighbours.prepare(frame(spark, x), "name", "emb"), 0.95, list_rows=list_rows, block_rows=block_rows, sigmas=math.sqrt(32), epsilon=math.inf))
+    assert want <= set(exact) and len(exact) == len(set(exact)) and all(v[int(a[1:])] @ v[int(b[1:])] >= 0.95 - neighbours.SLACK for a, b in exact)
     quick = rows(neighbours.similar_pairs(neighbours.prepare(frame(spark, x), "name", "emb"), 0.95, list_rows=list_rows, block_rows=block_rows))
     assert len(set(quick) & want) >= 0.99 * len(want)
 
 
+def test_divided_lists_lose_no_visit():
+    x, _ = clumps(600, 9, dim=16, noise=0.2, seed=3)
+    v = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    c = neighbours.fit_centroids(v, 5)
+    own = ((c * c).sum(1) - 2 * v @ c.T).argmin(1)
+    lists = neighbours.Lists(c, [neighbours.fit_centroids(v[own == k], 1 + 3 * k) for k in range(5)], np.ones(35, int))
+    near = {(i, j) for i, j in zip(*np.nonzero(np.triu(v @ v.T >= 0.9, 1)), strict=True)}
+    for later in (True, False):
+        home, row, to = lists.visits(v, np.full(len(v), math.sqrt(0.2), np.float32), later)
+        assert (home == lists.own(v)).all() and len(set(home)) > 20
+        seen = set(zip(row.tolist(), to.tolist(), strict=True))
+        assert len(seen) == len(row) and not any(home[i] == t for i, t in seen)
+        assert all(home[i] == home[j] or ((i, home[j]) in seen) + ((j, home[i]) in seen) == (1 if later else 2) for i, j in near)
+    row, to = lists.nearest(v, 3)
+    assert len(row) == 3 * len(v) and (to.reshape(-1, 3) == home[:, None]).any(1).mean() > 0.99
+
+
 def test_vectors_without_direction_are_left_out(spark):
     data = [("a", [1.0, 0.0]), ("a", [1.0, 1e-7]), ("b", [0.0, 0.0]), ("c", None), ("d", []), (None, [1.0, 0.0]), ("e", [2.0, 0.0]), ("f", [float("nan"), 1.0]), ("g", [None, 1.0])]
     v = neighbours.prepare(spark.createDataFrame(data, "name string, emb array<float>"), "name", "emb")
@@ -81,13 +100,14 @@ def test_vectors_without_direction_are_left_out(spark):
     assert neighbours.similar_pairs(v.limit(0), 0.95).count() == 0 and neighbours.nearest(v.limit(0), v, 3).count() == 0
 
 
-def test_nearest_finds_neighbours_in_lists_that_were_not_probed(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "QUERY_ROWS", 8, raising=False)
+@pytest.mark.parametrize("block_rows", [2_400, 30, 8])
+def test_nearest_finds_neighbours_in_lists_that_were_not_probed(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(neighbours, "MOST_LISTS", 6)  # so all lists are divided
     x, _ = clumps(900, 25, noise=0.3, seed=14)
     v = x / np.linalg.norm(x, axis=1, keepdims=True)
     all_ = neighbours.prepare(frame(spark, x), "name", "emb")
     got = defaultdict(list)
-    for name, other, _, rank in sorted(rows(neighbours.nearest(all_, all_.filter("name like '%20' or name = 'v0001'"), 10, probes=1, list_rows=20)), key=lambda r: (r[0], r[3])):
+    for name, other, _, rank in sorted(rows(neighbours.nearest(all_, all_.filter("name like '%20' or name = 'v0001'"), 10, probes=1, list_rows=20, block_rows=block_rows, sigmas=math.sqrt(32), epsilon=math.inf)), key=lambda r: (r[0], r[3])):
         got[name].append(other)
         assert rank == len(got[name])
     assert len(got) == 10
