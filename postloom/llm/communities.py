@@ -1,12 +1,13 @@
 """Groups of mutually similar records: neighbour descent, modularity, and a check against the group's mean direction.
 
-Vectors are routed to blocks of bounded size (cells of k-means centroids from a bounded sample; a hot cell is cut into
-parts), each to its own block and to a second one. In a block, neighbour descent builds an approximate nearest-neighbour
-graph, and local moves that raise modularity turn it into communities. A vector that sits in two blocks links their
-communities: these links form the contracted graph, on which the same moves go on as joins over all blocks. Communities
-are described by the members of highest internal weighted degree. Last, communities with one mean direction are united,
-every vector is held against the means, and only groups that meet the definition are kept. What was left over goes
-through the same steps twice more with other cells.
+Vectors are routed to blocks of similar ones (cells of k-means centroids, divided by centroids of their own where they are
+large), each to its own block and to others. In a block, neighbour descent builds an approximate nearest-neighbour graph,
+and local moves that raise modularity turn it into communities. A vector that sits in several blocks links their
+communities: these links form the contracted graph, whose communities are merged, by joins over all blocks, as long as
+that raises modularity. Last, the definition is checked: communities of one mean direction are united, every vector goes
+to the group whose mean is nearest, and only groups and members that meet the definition are kept. What was left over
+goes through the same steps twice more with other cells. Groups are described by the members of highest internal weighted
+degree: the sum of the weights of a member's links to other members of the final group.
 """
 
 from __future__ import annotations
@@ -18,19 +19,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.neighbours import SAMPLE_ROWS, SEED, fit_centroids, sample_of, stack
-from postloom.storage import cut
+from postloom.llm.neighbours import SAMPLE_ROWS, SEED, Lists, packed, sample_of, stack, unpacked
+from postloom.storage import BROADCAST_ROWS, cut, fits_broadcast
 
 #: Neighbours of a vector, candidates per round of descent, rounds at most.
 NEIGHBOURS, CANDIDATES, ROUNDS = 10, 48, 8
 #: Hash tables for the start of the descent, and vectors of the same bucket tried in each.
 TABLES, BUCKET = 6, 20
-#: Rows a block should hold, rows beyond which a cell is cut into parts.
+#: Rows a block should hold, rows beyond which a cell is divided.
 BLOCK_ROWS, PART_ROWS = 2_500, 5_000
-#: Cells at most, which bounds the centroids every task receives.
-MOST_CELLS = 4_096
-#: Resolution of modularity: above 1, so that small groups are not swallowed; parts of a large one are united by mean.
-RESOLUTION = 20.0
+#: Copies of one vector from which one stands for all of them in the graph.
+COPIES = 64
+#: Degree within which links are compared with chance: modularity with a resolution that grows with the graph, so that
+#: communities do not depend on how much else there is. Parts of a large group are united by mean.
+RESOLUTION = 1_000.0
+#: The same for the contracted graph, whose links are single vectors, and links that tie a vector to its community.
+CONTRACTED, TIES = 200.0, 2
+#: Links of the contracted graph up to which one task merges it; more are merged by joins, with the same result.
+FEW_LINKS = 500_000
 #: Cells of a vector in each pass; what is left over is scattered, so it sits in more cells.
 SEATS = (2, 4)
 #: Cosine between mean directions from which communities are one group.
@@ -39,8 +45,6 @@ SAME = 0.8
 FEW_MEANS = 8_192
 #: Means that one broadcast may hold; more are broadcast in several blocks.
 MOST_MEANS = 65_536
-#: Rounds of moves on the contracted graph.
-MOVES = 4
 
 
 def descend(x: np.ndarray, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +111,9 @@ def edges_of(nb: np.ndarray, sim: np.ndarray, least: float) -> tuple[np.ndarray,
     return a[first], b[first], w[first]
 
 
-def communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int = 24, levels: int = 4, seed: int = SEED, resolution: float = RESOLUTION) -> np.ndarray:
-    """Labels by modularity: local moves of half of the nodes a round, then the same on the contracted graph."""
+def communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int = 24, levels: int = 4, seed: int = SEED, scale: float = RESOLUTION) -> np.ndarray:
+    """Labels by modularity of resolution 2m / ``scale``: local moves of half of the nodes a round, then the same on the
+    contracted graph."""
     rng = np.random.default_rng(seed)
     label = np.arange(n)
     node, m = np.arange(n), float(w.sum())
@@ -125,7 +130,7 @@ def communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int
             total = np.bincount(own, deg, size)
             key, inv = np.unique(src * size + own[dst], return_inverse=True)
             s, c = key // size, key % size
-            gain = np.bincount(inv, ww) - resolution * deg[s] * (total[c] - np.where(own[s] == c, deg[s], 0)) / (2 * m)
+            gain = np.bincount(inv, ww) - deg[s] * (total[c] - np.where(own[s] == c, deg[s], 0)) / scale
             order = np.lexsort((c, -gain, s))
             s, c, gain = s[order], c[order], gain[order]
             first = np.ones(len(s), bool)
@@ -152,90 +157,133 @@ def communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int
     return node
 
 
-def _propose(vectors: DataFrame, least: float, seed: int, cells: int) -> tuple[DataFrame, DataFrame] | None:
-    """Communities over all blocks: (name, label, degree) of the vectors in their own blocks, and (label, n, total)."""
+def _propose(vectors: DataFrame, least: float, seed: int, seats: int, edges: bool) -> tuple[DataFrame, DataFrame | None] | None:
+    """Communities over all blocks: (label, n, total), and with ``edges`` the links of each vector in its own block as
+    (name, near, weights). ``vectors`` are (name, emb, copies)."""
     spark = vectors.sparkSession
     sample, n = sample_of(vectors, SAMPLE_ROWS)
     if n < 2:
         return None
-    c = fit_centroids(sample, min(MOST_CELLS, -(-n // BLOCK_ROWS)), seed=seed)
-    share = np.bincount(((c * c).sum(1) - 2 * sample @ c.T).argmin(1), minlength=len(c)) * (n / len(sample))
-    parts = np.maximum(1, np.ceil(share / PART_ROWS)).astype(np.int64)
-    held = spark.sparkContext.broadcast((c, parts))
     dim = sample.shape[1]
+    held = spark.sparkContext.broadcast(Lists.fit(vectors, sample, n, np.eye(dim, dtype=np.float32), BLOCK_ROWS, PART_ROWS, seed))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, parts = held.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            v = stack(pdf["emb"])
-            near = np.argsort((c * c).sum(1)[None] - 2 * v @ c.T, axis=1, kind="stable")[:, :cells]
-            h = pd.util.hash_pandas_object(pdf["name"], index=False).to_numpy()
-            cell, part, own, at = [], [], [], []
-            for k in range(near.shape[1]):
-                cell.append(near[:, k])
-                part.append((h % parts[near[:, k]].astype(np.uint64)).astype(np.int64))
-                own.append(np.full(len(v), k == 0))
-                at.append(np.arange(len(v)))
-            hot = np.flatnonzero(parts[near[:, 0]] > 1)  # a second part of a hot cell ties its parts together
-            cell.append(near[hot, 0])
-            part.append(((h[hot] % parts[near[hot, 0]].astype(np.uint64) + 1 + (h[hot] >> np.uint64(20)) % (parts[near[hot, 0]] - 1).astype(np.uint64)) % parts[near[hot, 0]].astype(np.uint64)).astype(np.int64))
-            own.append(np.zeros(len(hot), bool))
-            at.append(hot)
-            at = np.concatenate(at)
-            raw = [x.astype("<f4").tobytes() for x in v]
-            yield pd.DataFrame({"cell": np.concatenate(cell).astype(np.int32), "part": np.concatenate(part).astype(np.int32), "own": np.concatenate(own), "name": pdf["name"].to_numpy()[at], "vec": [raw[i] for i in at]})
+            if len(pdf):
+                v = stack(pdf["emb"])
+                row, to = held.value.nearest(v, seats)
+                payload = packed(v)
+                own = np.concatenate([[True], row[1:] != row[:-1]])
+                yield pd.DataFrame({"cell": to.astype(np.int32), "own": own, "name": pdf["name"].to_numpy()[row], "copies": pdf["copies"].to_numpy()[row], "vec": [payload[i] for i in row]})
 
     def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["name", "own"]).drop_duplicates("name", keep="last")
-        x = np.frombuffer(b"".join(pdf["vec"]), "<f4").reshape(len(pdf), -1)
-        a, b, w = edges_of(*descend(x, seed=seed), least)
+        pdf = pdf.sort_values("name")
+        x, copies = unpacked(pdf["vec"]), pdf["copies"].to_numpy()
+        nb, sim = descend(x, seed=seed)
+        a, b, w = edges_of(nb, sim, least)
         label = communities(len(x), a, b, w)
         inner = label[a] == label[b]
-        degree = np.bincount(a[inner], w[inner], len(x)) + np.bincount(b[inner], w[inner], len(x))
-        tag = f"{int(pdf['cell'].iloc[0])}.{int(pdf['part'].iloc[0])}."
+        ties = np.bincount(a[inner], minlength=len(x)) + np.bincount(b[inner], minlength=len(x))
+        used = (ties >= TIES) | (copies > 1)
+        columns = ["name", "label", "n", "total", "near", "weights"]
+        parts = []
         names, own = pdf["name"].to_numpy(), pdf["own"].to_numpy()
-        used = degree > 0
-        if not used.any():
-            return pd.DataFrame([], columns=["name", "label", "own", "degree", "n", "total"])
-        nodes = pd.DataFrame({"name": names[used], "label": [tag + str(k) for k in label[used]], "own": own[used], "degree": degree[used].astype(float), "n": 0, "total": None})
-        ks, inv = np.unique(label[used], return_inverse=True)
-        total = np.zeros((len(ks), dim), np.float64)
-        np.add.at(total, inv, x[used])
-        sums = pd.DataFrame({"name": None, "label": [tag + str(k) for k in ks], "own": True, "degree": 0.0, "n": np.bincount(inv, minlength=len(ks)), "total": list(total)})
-        return pd.concat([nodes, sums])
-
-    out = vectors.mapInPandas(placed, "cell int, part int, own boolean, name string, vec binary").groupBy("cell", "part")
-    rows = cut(out.applyInPandas(grouped, "name string, label string, own boolean, degree double, n long, total array<double>"), "blocks")
-    nodes = rows.filter(F.col("name").isNotNull())
-    sums = rows.filter(F.col("name").isNull()).select("label", "n", "total")
-    seats = nodes.groupBy("name").agg(F.array_sort(F.collect_set("label")).alias("seats"))  # at most one a cell of the vector, and one more in a hot cell
-    pair = F.filter(F.flatten(F.transform("seats", lambda x: F.transform("seats", lambda y: F.struct(x.alias("a"), y.alias("b"))))), lambda p: p["a"] < p["b"])
-    links = cut(seats.filter(F.size("seats") > 1).select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").cast("double").alias("w")), "links")
-    moved = move_contracted(sums.select("label"), links, MOVES)
-    members = nodes.filter("own").join(moved, "label").select("name", F.col("group").alias("label"), "degree")
-    return members, sums.join(moved, "label").select(F.col("group").alias("label"), "n", "total")
-
-
-def move_contracted(nodes: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
-    """(label, group): local moves on a contracted graph as joins. A node joins the neighbouring group that raises
-    modularity most, if that group's name is smaller, so moves cannot swing back and forth."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    m = links.agg(F.sum("w")).first()[0]
+        tag = f"{int(pdf['cell'].iloc[0])}." if len(pdf) else ""
+        if used.any():
+            parts.append(pd.DataFrame({"name": names[used], "label": [tag + str(k) for k in label[used]], "n": None, "total": None, "near": None, "weights": None}))
+            ks, inv = np.unique(label[used], return_inverse=True)
+            total = np.zeros((len(ks), dim), np.float64)
+            np.add.at(total, inv, x[used] * copies[used, None])
+            parts.append(pd.DataFrame({"name": None, "label": [tag + str(k) for k in ks], "n": np.bincount(inv, copies[used], len(ks)).astype(int), "total": list(total), "near": None, "weights": None}))
+        if edges and own.any():
+            good = (nb >= 0) & (sim >= least)
+            at = [np.flatnonzero(g) for g in good[own]]
+            parts.append(pd.DataFrame({"name": names[own], "label": None, "n": None, "total": None, "near": [names[r[k]] for r, k in zip(nb[own], at, strict=True)], "weights": [r[k].astype(float) for r, k in zip(sim[own], at, strict=True)]}))
+        return pd.concat([p.astype(object) for p in parts]) if parts else pd.DataFrame([], columns=columns)
+
+    out = vectors.mapInPandas(placed, "cell int, own boolean, name string, copies long, vec binary").groupBy("cell")
+    rows = cut(out.applyInPandas(grouped, "name string, label string, n long, total array<double>, near array<string>, weights array<double>"), "blocks")
+    sums = rows.filter(F.col("total").isNotNull()).select("label", "n", "total")
+    nodes = rows.filter(F.col("name").isNotNull() & F.col("label").isNotNull()).select("name", "label")
+    held_in = nodes.groupBy("name").agg(F.array_sort(F.collect_set("label")).alias("seats")).filter(F.size("seats") > 1)  # as many as a vector has seats
+    pair = F.flatten(F.transform("seats", lambda x: F.transform(F.filter("seats", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    links = cut(held_in.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").cast("double").alias("w")), "links")
+    merged = merge_contracted(sums.select("label"), links)
+    found = sums.join(merged, "label").select(F.col("group").alias("label"), "n", "total")
+    return found, rows.filter(F.col("near").isNotNull()).select("name", "near", "weights") if edges else None
+
+
+def merge_contracted(nodes: DataFrame, links: DataFrame, scale: float = CONTRACTED, few: int = FEW_LINKS) -> DataFrame:
+    """(label, group): nodes of a contracted graph, merged as long as that raises modularity of resolution 2m / ``scale``.
+
+    In each round every group chooses the partner with which it gains most. Pairs that choose each other merge, and those
+    that chose one of the pair join it if they gain even when all others join too; so every round raises modularity, and
+    the rounds end, when no merger does so any more. The rounds are joins; up to ``few`` links one task does the same."""
     groups = nodes.distinct().select("label", F.col("label").alias("group"))
-    if not m:
-        return groups
-    degree = both.groupBy(F.col("a").alias("label")).agg(F.sum("w").alias("k"))
-    for _ in range(rounds):
-        now = groups.join(degree, "label", "left").fillna(0.0, ["k"])
-        total = now.groupBy("group").agg(F.sum("k").alias("total"))
-        toward = both.join(groups.select(F.col("label").alias("b"), "group"), "b").groupBy(F.col("a").alias("label"), F.col("group").alias("other")).agg(F.sum("w").alias("w"))
-        gains = toward.join(now, "label").join(total.withColumnRenamed("group", "other"), "other")
-        gains = gains.withColumn("gain", F.col("w") - F.col("k") * (F.col("total") - F.when(F.col("other") == F.col("group"), F.col("k")).otherwise(0.0)) / (2 * m))
-        best = gains.groupBy("label").agg(F.max_by("other", F.struct("gain", "other")).alias("best"))
-        groups = cut(groups.join(best, "label", "left").select("label", F.least("group", F.coalesce("best", "group")).alias("group")), "moves")
-    return groups
+    if links.count() <= few:
+        moved = links.repartition(1).mapInPandas(lambda batches: _merged(batches, scale), "label string, into string")
+        return groups.join(moved, "label", "left").select("label", F.coalesce("into", "group").alias("group"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    k = both.groupBy("a").agg(F.sum("w").alias("k"))
+    both = cut(both.join(k, "a").join(k.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b"), "links")
+    while True:
+        gains = both.withColumn("gain", F.col("w") - F.col("k") * F.col("kb") / scale).filter("gain > 0")
+        order = F.struct("gain", F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+        best = gains.groupBy("a").agg(F.max_by(F.struct("b", "w", "k", "kb"), order).alias("c")).select("a", "c.*")
+        back = best.select(F.col("a").alias("b"), F.col("b").alias("back"))
+        pairs = best.join(back, "b").filter((F.col("back") == F.col("a")) & (F.col("a") < F.col("b"))).select(F.col("a").alias("centre"), F.col("b").alias("partner"))
+        chosen = best.join(pairs.withColumnRenamed("centre", "b"), "b")
+        load = chosen.groupBy("b").agg(F.sum("k").alias("load"))
+        joins = chosen.join(load, "b").filter((F.col("a") == F.col("partner")) | (F.col("w") - F.col("k") * (F.col("kb") + F.col("load") - F.col("k")) / scale > 0))
+        step = cut(joins.select(F.col("a").alias("gone"), F.col("b").alias("into"), "k", "kb"), "merged")
+        if not step.limit(1).count():
+            return groups
+        total = step.groupBy("into").agg((F.max("kb") + F.sum("k")).alias("grown"))
+        moved = step.select(F.col("gone").alias("node"), "into").unionByName(total.select(F.col("into").alias("node"), "into")).join(total, "into")
+
+        def renamed(df: DataFrame, column: str, degree: str, moved: DataFrame = moved) -> DataFrame:
+            to = df.join(moved.withColumnRenamed("node", column), column, "left")
+            return to.withColumn(column, F.coalesce("into", column)).withColumn(degree, F.coalesce("grown", degree)).drop("into", "grown")
+
+        both = cut(renamed(renamed(both, "a", "k"), "b", "kb").filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("k").alias("k"), F.max("kb").alias("kb")), "links")
+        groups = cut(groups.join(step.select(F.col("gone").alias("group"), "into"), "group", "left").select("label", F.coalesce("into", "group").alias("group")), "named")
+
+
+def _merged(batches: Iterator[pd.DataFrame], scale: float) -> Iterator[pd.DataFrame]:
+    """The rounds of merge_contracted() over links that one task holds: (label, into) of the nodes that have links."""
+    pdf = pd.concat(list(batches) or [pd.DataFrame({"a": [], "b": [], "w": []})])
+    names, code = np.unique(np.concatenate([pdf["a"].to_numpy(str), pdf["b"].to_numpy(str)]), return_inverse=True)
+    if not len(names):
+        return
+    half = len(pdf)
+    a, b, w = code, np.concatenate([code[half:], code[:half]]), np.tile(pdf["w"].to_numpy(float), 2)
+    k, group = np.bincount(a, w, len(names)), np.arange(len(names))
+    while True:
+        gain = w - k[a] * k[b] / scale
+        at = np.flatnonzero(gain > 0)
+        order = at[np.lexsort((np.minimum(a, b)[at], np.maximum(a, b)[at], gain[at], a[at]))]
+        last = order[np.concatenate([a[order][1:] != a[order][:-1], [True]])] if len(order) else order  # the best of each a
+        best = np.full(len(names), -1)
+        best[a[last]] = b[last]
+        one = np.flatnonzero(best >= 0)
+        mutual = one[best[best[one]] == one]
+        centre = np.zeros(len(names), bool)
+        centre[np.minimum(mutual, best[mutual])] = True
+        into = last[centre[b[last]]]
+        load = np.bincount(b[into], k[a[into]], len(names))
+        joins = into[(best[b[into]] == a[into]) | (w[into] - k[a[into]] * (k[b[into]] + load[b[into]] - k[a[into]]) / scale > 0)]
+        if not len(joins):
+            break
+        to = np.arange(len(names))
+        to[a[joins]] = b[joins]
+        k, group = np.bincount(to, k, len(names)), to[group]
+        a, b = to[a], to[b]
+        key, inv = np.unique(a * len(names) + b, return_inverse=True)
+        w = np.bincount(inv, w)
+        a, b = key // len(names), key % len(names)
+        keep = a != b
+        a, b, w = a[keep], b[keep], w[keep]
+    yield pd.DataFrame({"label": names, "into": names[group]})
 
 
 def total_of(parts: DataFrame) -> DataFrame:
@@ -318,7 +366,7 @@ def _held_against(vectors: DataFrame, means: DataFrame, use: Callable[[Iterator[
 
 
 def assigned(vectors: DataFrame, sums: DataFrame, cosine: float) -> DataFrame:
-    """(name, label, emb): each vector with the most similar mean, where the cosine is at least ``cosine``."""
+    """(name, label): each vector with the most similar mean, where the cosine is at least ``cosine``."""
     means = cut(_means(sums), "means")
 
     def closest(batches: Iterator[pd.DataFrame], names: np.ndarray, m: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -327,57 +375,147 @@ def assigned(vectors: DataFrame, sums: DataFrame, cosine: float) -> DataFrame:
             s = s[np.arange(len(part)), k]
             keep = s >= cosine
             if keep.any():
-                yield pd.DataFrame({"name": part["name"].to_numpy()[keep], "label": names[k[keep]], "emb": list(part["emb"].to_numpy()[keep]), "near": s[keep]})
+                yield pd.DataFrame({"name": part["name"].to_numpy()[keep], "label": names[k[keep]], "near": s[keep]})
 
-    found = _held_against(vectors, means, closest, "name string, label string, emb array<float>, near float")
+    found = _held_against(vectors.select("name", "emb"), means, closest, "name string, label string, near float")
     if means.count() > MOST_MEANS:  # the best of all blocks
-        best = found.groupBy("name").agg(F.min(F.struct((-F.col("near")).alias("far"), "label")).alias("b")).select("name", F.col("b.label").alias("label"))
-        return best.join(vectors, "name").select("name", "label", "emb")
+        return found.groupBy("name").agg(F.min(F.struct((-F.col("near")).alias("far"), "label")).alias("b")).select("name", F.col("b.label").alias("label"))
     return found.drop("near")
 
 
+def drawn(vectors: DataFrame, sums: DataFrame, cosine: float) -> DataFrame:
+    """(label, n, total): the sums of what assigned() gives to each mean, without moving vectors while one broadcast
+    holds the means."""
+    means = cut(_means(sums), "means")
+    if means.count() > MOST_MEANS:
+        return _sums_of(assigned(vectors, sums, cosine).join(vectors, "name"))
+
+    def closest(batches: Iterator[pd.DataFrame], names: np.ndarray, m: np.ndarray) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(m.shape), np.zeros(len(m), np.int64)
+        for part, s in _products(batches, m):
+            k = s.argmax(1)
+            keep = s[np.arange(len(part)), k] >= cosine
+            copies = part["copies"].to_numpy()[keep]
+            np.add.at(n, k[keep], copies)
+            np.add.at(total, k[keep], stack(part["emb"][keep]) * copies[:, None] if keep.any() else np.zeros((0, m.shape[1])))
+        at = np.flatnonzero(n)
+        if len(at):
+            yield pd.DataFrame({"label": names[at], "n": n[at], "total": list(total[at])})
+
+    return total_of(_held_against(vectors, means, closest, "label string, n long, total array<double>"))
+
+
 def _sums_of(members: DataFrame) -> DataFrame:
-    return total_of(members.select("label", F.lit(1).cast("bigint").alias("n"), F.transform("emb", lambda x: x.cast("double")).alias("total")))
+    return total_of(members.select("label", F.col("copies").alias("n"), F.transform("emb", lambda x: x.cast("double") * F.col("copies")).alias("total")))
+
+
+def lasting(members: DataFrame, cosine: float) -> DataFrame:
+    """(name, label, cosine): members (name, label, emb) without those that their own group's mean does not hold, which
+    moves the mean, until all that are left are held. A member must have passed all earlier means."""
+    members = cut(members, "members")
+    sums = cut(_sums_of(members.withColumn("copies", F.lit(1).cast("bigint"))), "sums")
+    blocks = max(1, -(-sums.count() // MOST_MEANS))
+    history = [sums]
+
+    def checked(final: bool) -> DataFrame:
+        out = None
+        for b in range(blocks):
+            tables = [_means(h).filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b).toPandas().sort_values("name") for h in history]
+            names = tables[0]["name"].to_numpy()
+            stacked = []
+            for t in tables:  # a group that has lost all its members has no mean any more
+                m = np.full((len(names), stack(t["emb"]).shape[1]), np.nan, np.float32)
+                m[np.searchsorted(names, t["name"].to_numpy())] = stack(t["emb"]) if len(t) else m[:0]
+                stacked.append(m)
+            held = members.sparkSession.sparkContext.broadcast((names, stacked))
+
+            def check(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+                names, stacked = held.value
+                at_of = {x: i for i, x in enumerate(names)}
+                total, n = np.zeros(stacked[0].shape), np.zeros(len(names), np.int64)
+                for pdf in batches:
+                    k = np.array([at_of.get(x, -1) for x in pdf["label"]], int)
+                    pdf, k = pdf[k >= 0], k[k >= 0]
+                    if not len(pdf):
+                        continue
+                    x = stack(pdf["emb"])
+                    near = [np.einsum("nd,nd->n", x, m[k]) for m in stacked]
+                    good = np.all([v >= cosine for v in near], axis=0)
+                    if final:
+                        yield pd.DataFrame({"name": pdf["name"].to_numpy()[good], "label": pdf["label"].to_numpy()[good], "cosine": near[-1][good].astype(float)})
+                    else:
+                        np.add.at(total, k[good], x[good])
+                        np.add.at(n, k[good], 1)
+                at = np.flatnonzero(n)
+                if not final and len(at):
+                    yield pd.DataFrame({"label": names[at], "n": n[at], "total": list(total[at])})
+
+            part = members.mapInPandas(check, "name string, label string, cosine double" if final else "label string, n long, total array<double>")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    before = sums.agg(F.sum("n")).first()[0]
+    while before:
+        sums = cut(total_of(checked(False)), "sums")
+        after = sums.agg(F.sum("n")).first()[0]
+        if after == before:
+            break
+        before = after
+        history.append(sums)
+    return checked(True)
 
 
-def similarity_groups(vectors: DataFrame, cosine: float = 0.65, least: int = 5, passes: int = 3) -> DataFrame:
+def with_copies(vectors: DataFrame) -> DataFrame:
+    """(name, emb, copies): where many vectors are equal, one with their number, so that they do not fill a block."""
+    key = F.xxhash64("emb")
+    many = vectors.groupBy(key.alias("_h")).agg(F.count("*").alias("_n"), F.min("name").alias("_first")).filter(F.col("_n") >= COPIES)
+    if not many.limit(1).count():
+        return vectors.select("name", "emb", F.lit(1).cast("bigint").alias("copies"))
+    many = F.broadcast(many) if fits_broadcast(many, BROADCAST_ROWS) else many
+    rows = vectors.withColumn("_h", key).join(many, "_h", "left").filter(F.col("_first").isNull() | (F.col("_first") == F.col("name")))
+    return cut(rows.select("name", "emb", F.coalesce("_n", F.lit(1)).cast("bigint").alias("copies")), "single")
+
+
+def similarity_groups(vectors: DataFrame, cosine: float = 0.65, least: int = 5, passes: int = 3, degrees: bool = True) -> DataFrame:
     """(name, label, degree, cosine): the members of every group.
 
     A group has at least ``least`` vectors, each with a cosine of at least ``cosine`` to the mean direction of the group.
-    ``label`` is the smallest member's name. ``degree`` is the weighted degree inside the member's community, 0 for
-    members found by the mean only. ``vectors`` as from neighbours.prepare(); an empty table gives no rows. Edges are kept
-    from a similarity of cosine squared on, which members at the border of a group have on average.
+    ``label`` is the smallest member's name. ``degree`` is the sum of the similarities of the member's links, in the
+    neighbour graph, to members of its group; 0 without ``degrees``, and for copies that another vector stands for.
+    ``vectors`` as from neighbours.prepare(); an empty table gives no rows. Links are kept from a similarity of cosine
+    squared on, which members at the border of a group have on average.
     """
     spark = vectors.sparkSession
     vectors = cut(vectors, "vectors")
-    sums, degrees, rest = None, None, vectors
+    rest = single = with_copies(vectors)
+    sums, linked = None, None
     for k in range(passes):
-        made = _propose(rest, cosine * cosine, SEED + k, SEATS[min(k, len(SEATS) - 1)])
+        made = _propose(rest, cosine * cosine, SEED + k, SEATS[min(k, len(SEATS) - 1)], degrees)
         if made is None:
             break
-        members, parts = made
-        degrees = members.select("name", "degree") if degrees is None else degrees.unionByName(members.select("name", "degree"))
+        parts, edges = made
+        linked = edges if linked is None or edges is None else linked.unionByName(edges)
         found = total_of(parts).filter(F.col("n") >= (least if k == 0 else least - 2)).withColumn("label", F.concat(F.lit(f"{k}/"), "label"))
         for few in (2, least):  # parts of one group draw together before small ones are dropped
-            taken = assigned(rest, united(found), cosine)
-            found = cut(_sums_of(taken).filter(F.col("n") >= few), "groups")
+            found = cut(drawn(rest, united(found), cosine).filter(F.col("n") >= few), "groups")
         sums = found if sums is None else sums.unionByName(found)
         if k + 1 < passes:
             rest = cut(rest.join(assigned(rest, found, cosine).select("name"), "name", "left_anti"), "rest")
     if sums is None:
         return spark.createDataFrame([], "name string, label string, degree double, cosine double")
-    sums = cut(united(sums), "groups")
-    kept = cut(assigned(vectors, sums, cosine), "members")
-    near = F.aggregate(F.zip_with("emb", "mean", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    before = kept.count()
-    for _ in range(8):  # members that their own group's mean does not hold leave it, which moves the mean
-        means = _means(_sums_of(kept)).select(F.col("name").alias("label"), F.col("emb").alias("mean"))
-        means = F.broadcast(means) if means.count() <= MOST_MEANS else means
-        kept = cut(kept.select("name", "label", "emb").join(means, "label").select("name", "label", "emb", near.alias("cosine")).filter(F.col("cosine") >= cosine), "members")
-        after = kept.count()
-        if after == before:
-            break
-        before = after
+    final = assigned(vectors, united(sums), cosine)
+    kept = cut(lasting(final.join(vectors, "name").select("name", "label", "emb"), cosine), "kept")
     sizes = kept.groupBy("label").agg(F.count("*").alias("n"), F.min("name").alias("first")).filter(F.col("n") >= least)
-    degree = degrees.groupBy("name").agg(F.max("degree").alias("degree"))
-    return kept.join(sizes, "label").join(degree, "name", "left").select("name", F.col("first").alias("label"), F.coalesce("degree", F.lit(0.0)).alias("degree"), "cosine")
+    members = kept.join(sizes, "label").select("name", F.col("first").alias("label"), "cosine")
+    if not degrees:
+        return members.select("name", "label", F.lit(0.0).alias("degree"), "cosine")
+    return members.join(inner_degrees(members, linked), "name", "left").select("name", "label", F.coalesce("degree", F.lit(0.0)).alias("degree"), "cosine")
+
+
+def inner_degrees(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(name, degree): the weights of each member's links, in either direction, to members of the same group."""
+    out = linked.select("name", F.explode(F.arrays_zip("near", "weights")).alias("e")).select("name", F.col("e.near").alias("other"), F.round("e.weights", 4).alias("w"))
+    links = out.unionByName(out.select(F.col("other").alias("name"), F.col("name").alias("other"), "w")).groupBy("name", "other").agg(F.max("w").alias("w"))
+    labels = members.select("name", "label")
+    same = links.join(labels, "name").join(labels.select(F.col("name").alias("other"), F.col("label").alias("beside")), "other").filter("label = beside")
+    return same.groupBy("name").agg(F.sum("w").alias("degree"))

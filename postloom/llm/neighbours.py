@@ -143,9 +143,9 @@ class Lists:
         self.base = np.cumsum([0] + [len(x) for x in inner])
 
     @classmethod
-    def fit(cls, vectors: DataFrame, sample: np.ndarray, n: int, turn: np.ndarray, list_rows: int, most_rows: int) -> Lists:
+    def fit(cls, vectors: DataFrame, sample: np.ndarray, n: int, turn: np.ndarray, list_rows: int, most_rows: int, seed: int = SEED) -> Lists:
         """``sample`` are rotated vectors; where lists must be divided a larger sample is drawn. Every vector is indexed."""
-        c = fit_centroids(sample, min(MOST_LISTS, -(-n // list_rows)))
+        c = fit_centroids(sample, min(MOST_LISTS, -(-n // list_rows)), seed=seed)
         inner = [c[k : k + 1] for k in range(len(c))]
         own = ((c * c).sum(1) - 2 * sample @ c.T).argmin(1)
         share = np.bincount(own, minlength=len(c)) * (n / len(sample))
@@ -156,7 +156,7 @@ class Lists:
                 share = np.bincount(own, minlength=len(c)) * (n / len(sample))
             for k in np.flatnonzero(share > most_rows):
                 rows = sample[own == k]
-                inner[k] = np.unique(fit_centroids(rows, min(-(-int(share[k]) // list_rows), max(1, len(rows) // 4))), axis=0)
+                inner[k] = np.unique(fit_centroids(rows, min(-(-int(share[k]) // list_rows), max(1, len(rows) // 4)), seed=seed), axis=0)
         made = cls(c, inner, np.ones(sum(map(len, inner)), int))
         counts = np.bincount(made.own(sample), minlength=len(made.blocks)) * (n / len(sample))
         made.blocks = np.maximum(1, np.ceil(counts / most_rows)).astype(int)

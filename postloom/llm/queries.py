@@ -45,19 +45,19 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("rec_table", "source").agg(F.count("*").alias("records"), F.count_if(F.col("score") >= abuse.THRESHOLD).alias("bad")).withColumn("rate", F.round(F.col("bad") / F.col("records"), 6))
 
 
-def grouped_posts(spark: SparkSession, d: str) -> DataFrame:
+def grouped_posts(spark: SparkSession, d: str, degrees: bool) -> DataFrame:
     posts = read_table(spark, d, "post_embeddings", "post_id", "emb").select(F.format_string("%020d", "post_id").alias("name"), "emb")
-    groups = communities.similarity_groups(neighbours.prepare(posts, "name", "emb"))
+    groups = communities.similarity_groups(neighbours.prepare(posts, "name", "emb"), degrees=degrees)
     return groups.select(F.col("label").cast("long").alias("first_id"), F.col("name").cast("long").alias("post_id"), "degree")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return grouped_posts(spark, d).filter("post_id <> first_id").select("first_id", "post_id")
+    return grouped_posts(spark, d, False).filter("post_id <> first_id").select("first_id", "post_id")
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each group with its size and its most typical posts, those of highest internal weighted degree."""
-    posts = cut(grouped_posts(spark, d), "grouped")
+    posts = cut(grouped_posts(spark, d, True), "grouped")
     best = topn.top_n(posts, ["first_id"], "degree", "post_id", EXEMPLARS)
     listed = best.groupBy("first_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("degree")).alias("d"), "post_id"))), lambda x: x["post_id"]).alias("exemplars"))
     return posts.groupBy("first_id").agg(F.count("*").alias("size")).join(listed, "first_id")

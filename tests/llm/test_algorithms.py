@@ -233,3 +233,75 @@ def test_hot_cell_is_cut_and_put_together_again(spark):
     finally:
         communities.PART_ROWS = old
     assert sorted(Counter(r["label"] for r in got).values()) == [20, 700]
+
+
+def quality(links, group, scale):
+    """Sum of what each group gains over chance."""
+    k, inner, total = Counter(), Counter(), Counter()
+    for a, b, w in links:
+        k[a] += w
+        k[b] += w
+        inner[group[a]] += w * (group[a] == group[b])
+    for x, d in k.items():
+        total[group[x]] += d
+    own = Counter()
+    for x, d in k.items():
+        own[group[x]] += d * d
+    return sum(inner.values()) - sum(total[g] ** 2 - own[g] for g in total) / 2 / scale
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_contracted_graph_is_merged_alike_in_one_task_and_by_joins(spark, seed):
+    r = random.Random(seed)
+    pairs = Counter()
+    for _ in range(400):
+        a, b = r.sample(range(60), 2)
+        if a // 6 == b // 6 or r.random() < 0.04:
+            pairs[f"n{min(a, b):02d}", f"n{max(a, b):02d}"] += r.randrange(1, 5)
+    links = spark.createDataFrame([(a, b, float(w)) for (a, b), w in pairs.items()], "a string, b string, w double")
+    nodes = spark.createDataFrame([(f"n{k:02d}",) for k in range(60)] + [("alone",)], "label string")
+    one, many = (dict(rows(communities.merge_contracted(nodes, links, 200.0, few))) for few in (10**6, 0))
+    assert one == many and len(one) == 61 and one["alone"] == "alone"
+    flat = [(a, b, w) for (a, b), w in pairs.items()]
+    best = quality(flat, one, 200.0)
+    assert best > quality(flat, {x: x for x in one}, 200.0)
+    names = sorted(set(one.values()) - {"alone"})
+    for i, x in enumerate(names):  # no merger is left that would gain
+        for y in names[:i]:
+            assert quality(flat, {n: y if g == x else g for n, g in one.items()}, 200.0) <= best + 1e-9
+    assert communities.merge_contracted(nodes, links.limit(0)).filter("label <> group").count() == 0
+
+
+@pytest.mark.parametrize("parts", [10, 50])
+def test_small_groups_beside_a_hot_one_are_found(spark, monkeypatch, parts):
+    rng = np.random.default_rng(parts)
+    hot = rng.normal(size=(1, 64))
+    hot /= np.linalg.norm(hot)
+    side = hot * 0.45 + rng.normal(size=(24, 64)) / 8 * 0.89  # directions of small groups in the cells of the hot one
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    sizes = [5 + k % 4 for k in range(24)]
+    x = np.concatenate([hot + rng.normal(size=(1500, 64)) * 0.08, *(c + rng.normal(size=(n, 64)) * 0.05 for c, n in zip(side, sizes, strict=True))])
+    monkeypatch.setattr(communities, "BLOCK_ROWS", 1500 // parts)
+    monkeypatch.setattr(communities, "PART_ROWS", 3000 // parts)
+    got = communities.similarity_groups(neighbours.prepare(frame(spark, x), "name", "emb"), degrees=False).collect()
+    label = {int(r["name"][1:]): r["label"] for r in got}
+    bounds = np.cumsum([1500, *sizes])
+    assert len({label[k] for k in range(1500)}) == 1
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):  # two of them may be one group by the definition, none is torn
+        assert len({label[k] for k in range(lo, hi)}) == 1 and label[lo] != label[0]
+
+
+def test_copies_of_one_vector_count_and_fill_no_block(spark):
+    x, own = clumps(300, 6, dim=64, noise=0.09, seed=5)
+    x = np.concatenate([x, np.repeat(x[:1], 200, 0)])
+    v = neighbours.prepare(frame(spark, x), "name", "emb")
+    single = communities.with_copies(v)
+    assert sorted(r["copies"] for r in single.collect()) == [1] * 299 + [201]
+    got = communities.similarity_groups(v).collect()
+    assert sorted(Counter(r["label"] for r in got).values()) == sorted(n + 200 * (k == own[0]) for k, n in Counter(own).items())
+
+
+def test_degree_counts_links_inside_the_final_group(spark):
+    linked = spark.createDataFrame([("a", ["b", "c"], [0.9, 0.8]), ("b", ["a"], [0.9]), ("c", ["d"], [0.7]), ("d", [], []), ("e", ["a"], [0.6])], "name string, near array<string>, weights array<double>")
+    members = spark.createDataFrame([("a", "a"), ("b", "a"), ("d", "a"), ("e", "a"), ("c", "c")], "name string, label string")
+    assert {n: round(d, 4) for n, d in rows(communities.inner_degrees(members, linked))} == {"a": 1.5, "b": 0.9, "e": 0.6}
