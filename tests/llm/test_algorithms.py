@@ -292,7 +292,7 @@ def test_small_groups_beside_a_hot_one_are_found(spark, monkeypatch, parts):
 
 
 def test_copies_of_one_vector_count_and_fill_no_block(spark):
-    x, own = clumps(300, 6, dim=64, noise=0.09, seed=5)
+    x, own = clumps(300, 6, dim=64, noise=0.05, seed=5)
     x = np.concatenate([x, np.repeat(x[:1], 200, 0)])
     v = neighbours.prepare(frame(spark, x), "name", "emb")
     single = communities.with_copies(v)
