@@ -32,9 +32,26 @@ def test_types_of_personal_data(text, want):
     assert types(text) == want
 
 
+# Sentences in frames that the generator of the corpus does not have, with what they hold.
+HELD_OUT = [
+    ("I spoke to Dr. Priya Raghunathan on Monday", {"Priya Raghunathan"}), ("Ask for Mohammed Al-Farsi at the desk", {"Mohammed Al-Farsi"}), ("The seller was Wei Zhang.", {"Wei Zhang"}), ("I met Giulia Bianchi yesterday", {"Giulia Bianchi"}), ("Врач Рустам Ибрагимов принимает", {"Рустам Ибрагимов"}),
+    ("Справку выдала Айгуль Сейтказы.", {"Айгуль Сейтказы"}), ("живу на Ленина 5, кв 12", {"Ленина 5, кв 12"}), ("Оставьте посылку для Ивановой М.П. на вахте", {"Ивановой М.П."}), ("Заявление от Петра Сергеевича Ломова лежит в папке", {"Петра Сергеевича Ломова"}),
+    ("Скиньте фото: masha.k@mail.test до вечера", {"masha.k@mail.test"}), ("Any questions? support (at) shop (dot) test", {"support (at) shop (dot) test"}), ("После гудка наберите 8 912 555 01 02 ещё раз", {"8 912 555 01 02"}), ("Her new mobile: +44 7700 900123, save it", {"+44 7700 900123"}),
+    ("Нашёл чужой паспорт 4509 123456 возле метро", {"4509 123456"}), ("My SSN, 078-05-1120, leaked", {"078-05-1120"}), ("Мебель привезли на ул. Речная, д. 8, кв. 3 утром", {"ул. Речная, д. 8, кв. 3"}), ("The flat at 14 Willow Road is empty", {"14 Willow Road"}), ("Post to PO Box 219 only", {"PO Box 219"}),
+    ("Заказ 4509 123456 отменён, верните 8 912 рублей", set()), ("Вчера в Новом Свете было 25 градусов", set()), ("Golden Gate Bridge was closed for 3 days", set()), ("Марина опоздала, Иван тоже", set()), ("Version 10.2.35 of River Town is out", set()), ("Улица Речная закрыта с 5 мая", set()), ("Наш ник ivan_2005, заходите", set()), ("Купил Bosch 4509-123 за 1 200 руб", set()),
+]
+
+
+def test_sentences_in_unseen_frames():
+    right = sum({t[s:e] for s, e, _ in pii.find_entities(t)} == want for t, want in HELD_OUT)
+    assert right >= 0.85 * len(HELD_OUT), [(t, [t[s:e] for s, e, _ in pii.find_entities(t)]) for t, want in HELD_OUT if {t[s:e] for s, e, _ in pii.find_entities(t)} != want]
+
+
 def test_held_out_sentences_and_mask():
     held = sentences(800, seed=99)
-    assert sum(set(pii.find_entities(t)) == g for t, g in held) / len(held) > 0.97
+    found = [(set(pii.find_entities(t)), g) for t, g in held]
+    both = sum(len(f & g) for f, g in found)
+    assert 2 * both / sum(len(f) + len(g) for f, g in found) > 0.95
     text = "A&nbsp;part&nbsp;35&nbsp;7354 9692 35; call&nbsp;me&nbsp;on&nbsp;+1 299&nbsp;555 0120, ok"
     assert pii.masked(text, pii.find_entities(text)) == "A&nbsp;part&nbsp;35&nbsp;7354 9692 35; call&nbsp;me&nbsp;on&nbsp;[PHONE], ok"
     text = "А: Звоните +7 255 555-22-89!\nB: a@b.test"
