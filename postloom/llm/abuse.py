@@ -3,19 +3,21 @@
 A token enters as a word vector joined with the mean of the vectors of its character trigrams (hashed), after zero-width
 signs are dropped and look-alike signs inside words are undone. The network reads windows of ``WIDTH`` tokens; windows
 overlap by half, all windows of a text are scored, and the highest score is the text's. Weights are fitted on generated
-sentences and, if given, on raters' labels of whole texts: of a text labelled bad, the window that scores highest stands
-for it. ``python -m postloom.llm.abuse [folder]`` fits and stores the weights.
+sentences and, if given, on raters' labels of whole texts: of a text labelled harmless all windows are harmless, and of one
+labelled bad the window stands for it whose words are most typical of bad texts, later the one that scores highest.
+``python -m postloom.llm.abuse [folder ...]`` fits and stores the weights.
 """
 
 from __future__ import annotations
 
 import io
 import pkgutil
+import random
 import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -34,10 +36,13 @@ LONGEST = 40
 BUCKETS, DIM, HIDDEN = 4096, 20, 24
 #: Score from which a text counts as bad.
 THRESHOLD = 0.5
-#: Labelled texts used for fitting at most.
-MOST_LABELS = 4000
-#: Windows of unlabelled texts used for fitting at most.
-MOST_BACKGROUND = 20000
+#: Labelled texts used for fitting at most, and copies of each bad window with words changed.
+MOST_LABELS, COPIES = 4000, 12
+#: Share of words that a harmless window in fitting has replaced by made-up ones, so that unknown words alone say nothing,
+#: and words on either side of the most telling one of a bad window that its copies keep.
+UNKNOWN, CORE = 0.06, 8
+#: Sum of the four highest log-odds of a window from which it is typical of bad texts.
+TYPICAL = 13.0
 WEIGHTS = Path(__file__).parent / "weights" / "abuse_bigru.npz"
 
 _UNSEEN = re.compile("[​-‏⁠﻿­]")
@@ -58,7 +63,7 @@ def tokens(text: str | None) -> list[str]:
     return [w for m in _TOKEN.finditer(t) for w in _pieces(m[0])]
 
 
-@cache
+@lru_cache(1 << 16)
 def _pieces(raw: str) -> tuple[str, ...]:
     """The token of a run without blanks; a run too long for one is split at inner signs, and its parts are cut, so
     nothing of it is dropped."""
@@ -231,7 +236,7 @@ class BiGRU:
             order, losses = r.permutation(len(data)), []
             for lo in range(0, len(order), batch):
                 part = [data[i] for i in order[lo : lo + batch]]
-                losses.append(self.step([x[0] for x in part], np.array([x[1] for x in part], np.float32), np.array([x[2] for x in part], np.float32), rate * (0.5 if k >= rounds - 2 else 1)))
+                losses.append(self.step([x[0] if x[1] else with_unknown(x[0], r) for x in part], np.array([x[1] for x in part], np.float32), np.array([x[2] for x in part], np.float32), rate * (0.5 if k >= rounds - 2 else 1)))
             loss = float(np.mean(losses))
         return loss
 
@@ -276,27 +281,74 @@ def score_abuse(records: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInPandas(each, "rec_id long, score double")
 
 
-def label_windows(net: BiGRU, labelled: list[tuple[str, int, int]]) -> list[tuple[list[str], int, float]]:
-    """Windows of labelled texts: all of a harmless text, and of a bad one the window that scores highest."""
-    out = []
+def with_unknown(words: list[str], r: np.random.Generator, share: float = UNKNOWN) -> list[str]:
+    """A window with some words replaced by made-up ones."""
+    hit = r.random(len(words)) < share * (r.random() < 0.5) * 2
+    return [made_up(r) if h else w for w, h in zip(words, hit, strict=True)] if hit.any() else words
+
+
+def made_up(r: np.random.Generator) -> str:
+    soft, hard = ("аеиоуыюя", "бвгджзклмнпрстфхцчшщ") if r.random() < 0.5 else ("aeiou", "bcdfghjklmnpqrstvxz")
+    return "".join(hard[r.integers(len(hard))] + soft[r.integers(len(soft))] for _ in range(r.integers(2, 6)))
+
+
+def window_odds(labelled: list[tuple[str, int, int]]) -> dict[str, float]:
+    """How much more often words and pairs of words stand in bad texts than in harmless ones."""
+    count: dict[str, list[int]] = {}
+    n = [1, 1]
+    for text, bad, _ in labelled:
+        ws = tokens(text)
+        n[bad] += 1
+        for x in {*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False))}:
+            count.setdefault(x, [0, 0])[bad] += 1
+    return {x: float(np.log((c[1] + 0.5) / n[1]) - np.log((c[0] + 0.5) / n[0])) for x, c in count.items() if c[1] > 2}
+
+
+def label_windows(net: BiGRU, labelled: list[tuple[str, int, int]], odds: dict[str, float], by_odds: bool, seed: int = 0) -> list[tuple[list[str], int, float]]:
+    """Windows of labelled texts: all of a harmless text; of a bad one the window with the highest ``odds``, or the one that
+    scores highest, and copies of its core between words of harmless texts, with words disguised. One rater's verdict
+    counts where the window bears it out, as a single verdict may be an error."""
+    from postloom.llm.abuse_corpus import disguise
+
+    r = random.Random(seed)
+    out, chosen = [], []
     for text, bad, raters in labelled:
         ws = tokens(text)
         windows = [ws[s : s + WIDTH] for s in window_starts(len(ws))]
         if not windows:
             continue
-        if bad:
+        typical = [sum(sorted(told(w, odds), reverse=True)[:4]) for w in windows]
+        if not bad:
+            out += [(w, 0, 1.0) for w, x in zip(windows, typical, strict=True) if raters > 1 or x < TYPICAL]
+            continue
+        if by_odds:
+            value, enough = typical, TYPICAL
+        else:
             vocabulary = {w: k for k, w in enumerate(dict.fromkeys(ws))}
             grid = np.full((len(windows), WIDTH), len(vocabulary), np.int64)
             for k, w in enumerate(windows):
                 grid[k, : len(w)] = [vocabulary[x] for x in w]
-            scores = net.score(grid, net.vectors(list(vocabulary)))
-            if scores.max() > (0.5 if raters > 1 else 0.9):  # a verdict may be an error
-                out.append((windows[int(scores.argmax())], 1, 1.0))
-        else:
-            out += [(w, 0, 0.5) for w in windows]
+            value, enough = net.score(grid, net.vectors(list(vocabulary))), THRESHOLD
+        k = int(np.argmax(value))
+        if raters > 1 or value[k] > enough and typical[k] > TYPICAL / 2:
+            chosen.append(windows[k])
+    around = [w for w, *_ in out] or [[]]
+    for w in chosen:
+        out.append((w, 1, 0.5))
+        k = int(np.argmax(told(w, odds)))
+        for _ in range(COPIES):
+            core = [x if r.random() > 0.1 or len(x) < 3 else " ".join(tokens(disguise(r, x))) or x for x in w[max(0, k - r.randint(4, CORE)) : k + r.randint(4, CORE)]]
+            left, right = r.choice(around), r.choice(around)
+            lo = r.randint(0, WIDTH - min(len(core), WIDTH))
+            out.append(([*(left[-lo:] if lo else []), *core, *right][:WIDTH], 1, 0.5))
     return out
 
 
+def told(words: list[str], odds: dict[str, float]) -> list[float]:
+    """For each word of a window the odds of it or of a pair it begins."""
+    return [max(odds.get(x, 0.0), odds.get(f"{x} {y}", 0.0)) for x, y in zip(words, [*words[1:], ""], strict=True)]
+
+
 def labelled_texts(folder: str, most: int = MOST_LABELS) -> list[tuple[str, int, int]]:
     """Texts with the majority of their raters' verdicts and their number; ties and missing verdicts are left out; at most ``most``."""
     tables = {"topics": ("id", "text"), "post_responses": ("request_id", "post_text"), "moderation_requests": ("request_id", "text")}
@@ -308,36 +360,21 @@ def labelled_texts(folder: str, most: int = MOST_LABELS) -> list[tuple[str, int,
     return [(texts[t][i], int(v > 0.5), int(n)) for (t, i), v, n in votes.itertuples(name=None) if i in texts[t].index]
 
 
-def background(net: BiGRU, folder: str, most: int = MOST_BACKGROUND, below: float = 0.9) -> list[tuple[list[str], int, float]]:
-    """Windows of unlabelled posts that the network does not hold for abuse, as harmless ones of little weight."""
-    posts = pd.read_parquet(f"{folder}/topics.parquet", columns=["id", "text"]).dropna().drop_duplicates("id").sort_values("id")
-    order = np.random.default_rng(1).permutation(len(posts))
-    out: list[list[str]] = []
-    for text in posts["text"].iloc[order]:
-        ws = tokens(text)
-        out += [ws[s : s + WIDTH] for s in window_starts(len(ws))]
-        if len(out) >= most:
-            break
-    vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in out for w in ws))}
-    grid = np.full((len(out), WIDTH), len(vocabulary), np.int64)
-    for k, ws in enumerate(out):
-        grid[k, : len(ws)] = [vocabulary[w] for w in ws]
-    return [(ws, 0, 0.5) for ws, x in zip(out, net.score(grid, net.vectors(list(vocabulary))), strict=True) if x < below]
-
-
-def main(folder: str | None = None) -> None:
+def main(*folders: str) -> None:
     from postloom.llm.abuse_corpus import windows
 
     net = BiGRU()
     made = [(tokens(t), y, 1.0) for t, y in windows(40000, seed=1)]
     print("loss", net.fit(made, 2))
-    if folder:
-        labelled = labelled_texts(folder)
-        harmless = 2 * label_windows(net, [x for x in labelled if not x[1]])
-        for _ in range(3):
-            print("loss with harmless texts", net.fit(made + harmless, 1, 1.5e-3))
-        for _ in range(3):
-            print("loss with all labels", net.fit(made + harmless + 2 * label_windows(net, [x for x in labelled if x[1]]) + background(net, folder), 1, 1e-3))
+    labelled = [x for f in folders for x in labelled_texts(f, MOST_LABELS // len(folders))]
+    if labelled:
+        odds = window_odds(labelled)
+        late = []
+        for k in range(9):
+            chosen = label_windows(net, labelled, odds, k < 3, k)
+            print("loss with labels", net.fit(made + chosen + 2 * [x for x in chosen if not x[1]], 1, 2e-3 if k < 4 else 1e-3, seed=k), len(chosen), sum(y for _, y, _ in chosen))
+            late = [*late, {x: v.copy() for x, v in net.p.items()}] if k > 4 else late
+        net.p = {x: np.mean([p[x] for p in late], axis=0) for x in net.p}  # the mean of the last rounds
     held = windows(4000, seed=2)
     scores = Scorer(net).texts([t for t, _ in held])
     print("right on held-out windows", np.mean((scores >= THRESHOLD) == np.array([y for _, y in held])))

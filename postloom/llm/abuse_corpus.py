@@ -1,56 +1,66 @@
-"""Generated sentences for the abuse model: insults, threats, group hatred and solicitation, with disguises, and their
-harmless neighbours (irony about oneself, reports, rules, animals, medicine, anger at things)."""
+"""Generated sentences for the abuse model, composed from the definition: insults, threats, contempt of persons and groups,
+sexual offers and demands, with disguises; and their harmless neighbours: irony about oneself, reports and rules, animals,
+medicine, education, customs, anger at things, ordinary posts."""
 
 from __future__ import annotations
 
 import random
 
-# Words and frames. A slot {i} takes an insult, {p} insults in the plural, {g} a group, {n} a thing.
-INSULT_RU = "идиот тупица дебил болван урод козёл мразь ничтожество придурок кретин скотина свинья дурак баран тварь подонок гад сволочь дегенерат недоумок мерзавец дурень чмо лох выродок ублюдок клоун осёл паразит гнида отброс".split()
-PLURAL_RU = "идиоты тупицы дебилы болваны уроды козлы мрази ничтожества придурки кретины скоты свиньи дураки бараны твари подонки гады сволочи дегенераты недоумки мерзавцы ублюдки клоуны ослы паразиты отбросы".split()
-INSULT_EN = "idiot moron scumbag dumbass jerk loser cretin bastard pig imbecile trash filth creep asshole fool clown prick twat dimwit halfwit retard worm rat degenerate swine vermin lowlife".split()
-GROUPS_RU, GROUPS_EN = "велмары тарсийцы брустанцы ожинцы каринцы мосхи лурийцы савиры".split(), "Velmari Tarsians Brustanis Ozhins Karins Lurians Savirs Moskhi".split()
-THINGS_RU = (
-    "удочки|тёплые полы|синтезаторы|зимние шины|головоломки|книги|дрели|старые комедии|семена томатов|витамины|лодочные моторы|кредитные карты|мягкие лежанки|саженцы|гантели|палатки на двоих|ночные поезда|детективы|соусы к рыбе|пироги|мотки пряжи|спицы|радиаторы|смесители|обои|"
-    "очки для чтения|тонометры|гитары|виниловые пластинки|геймпады|настольные игры|облигации|вклады|дорожные карты|гостевые дома|билеты на поезд|чехлы|наушники|зарядки|прошивки|телефоны|корма для кошек|поводки|клетки для попугаев|аквариумы|щётки|розы|парники|мотоблоки|травяные сборы|кухонные ножи|сковороды|рюкзаки|"
-    "эхолоты|катушки|тормозные колодки|свечи зажигания|видеорегистраторы|сериалы про врачей|документалки|стихи|комиксы|исторические романы|вышивки|глиняные миски|бусы|уроки музыки|струны|коврики для йоги|кроссовки"
-).split("|")
-THINGS_EN = (
-    "spice grinders|roof racks|board games|feeder rods|old comedies|garden hoses|drum sticks|night trains|books|boat motors|credit cards|pet beds|saplings|dumbbells|two man tents|crime novels|fish sauces|pies|yarn|needles|radiators|taps|wallpapers|reading glasses|pressure monitors|guitars|vinyl records|gamepads|"
-    "logic riddles|bonds|savings accounts|road maps|guest houses|train tickets|phone cases|earbuds|chargers|firmware updates|cat foods|dog leads|parrot cages|aquariums|brushes|rose bushes|greenhouses|herbal teas|knives|frying pans|hiking packs|fish finders|reels|brake pads|spark plugs|dash cameras|hospital series|"
-    "documentaries|poems|comic albums|historical novels|embroidery|clay bowls|bead bracelets|music lessons|strings|yoga mats|running shoes|wall fillers|film festivals|toothbrushes|jigsaw puzzles|co-op modes|massage chairs"
-).split("|")
-BAD = [
-    "Ты полный {i}, закрой рот и не пиши сюда больше.", "Заткнись уже, {i}, тошнит от твоих советов.", "Слушай, {i}, тебе даже {n} доверить нельзя.", "Автор {i}, таких гнать с форума палкой.", "Все, кто хвалит {n}, — {p}.", "Модераторы тут {p}, и родители ваши такие же.", "{i} ты, а не эксперт.",
-    "Какой же ты {i}.", "Вали отсюда, {i}!", "Ты {i}", "Вы все {p}.", "Пошёл вон, {i}.", "Да ты просто {i}, и семья твоя такая же.", "Только {i} мог такое написать, позор тебе.", "Твоему {b} {s} даже {a}.", "Твоему {b} {s} даже {a}.", "Даже {a} умнее тебя.", "У тебя мозгов меньше, чем у улитки.", "Таким как ты место на помойке.",
-    "Тебя родили по ошибке.", "Лучше бы ты молчал всю жизнь, пустое место.", "Ещё раз напишешь — найду и переломаю тебе руки.", "Я тебя найду и изобью.", "Приду к тебе домой и убью.", "Ходи и оглядывайся, тебе не жить.", "Встречу — сломаю тебе ноги.", "Сдохни уже.",
-    "Эти {g} хуже тараканов, гнать их отсюда.", "Да {g} вообще не люди, пусть убираются.", "Ни одному верить нельзя: {g} все воры и грязь.", "От таких, как {g}, город давно пора очистить.", "Не продавайте {n}, если там {g}: вонючее племя.", "{g} — паразиты, всех выслать.", "Ненавижу, когда рядом {g}, грязный народ.", "Всех {g} надо гнать палками.",
-    "Разденься на камеру, заплачу за интим.", "Смотри порно со мной, ссылка в профиле.", "Ищу горячий секс на одну ночь, пиши без стеснения.", "Хочу заниматься с тобой сексом до утра, детка.", "Пришли голые фото в личку, хочу тебя прямо сейчас.", "Интим услуги недорого, пиши в личку.", "Горячие девочки ждут, секс без обязательств.", "Покажи грудь на камеру, скину денег.",
-    "Иди утопись вместе со своими {n}.", "Иди и удавись со своими советами.", "С таким лицом только клетки в цирке мыть.", "С {f} только {v}.", "С {f} только {v}.", "Куда ты лезешь с {f}?", "Лучше бы тебя вообще не рожали.", "Миру было бы лучше без тебя.", "Прыгни с моста, никто не заметит.", "Руки бы тебе оторвать за такие советы, урод.",
-    "Go drown yourself together with your {n}.", "Go hang yourself with your advice.", "With that face you should scrub cages in a circus.", "A face like yours scares crows.", "With {h} you should {w}.", "With {h} you can only {w}.", "We would all be better off if you had never been born.", "The world would be better without you.", "Jump off a bridge, nobody will notice.", "Crawl back into your hole, nobody needs you.",
-    "You complete {i}, shut up and never post here again.", "Shut your mouth, {i}, your advice makes me sick.", "The author is a {i} who should be kicked out.", "The mods are {i}s and so are their parents.", "Everyone who buys {n} is one of those {i}s.", "What a {i} you are.", "Listen, {i}, nobody would trust you with {n}.", "You {i}.", "Get lost, you {i}!",
-    "Only a {i} like you would write that.", "You are a {i} and your family too.", "Even a {e} would pity your brain.", "A {e} has more sense than you.", "You have less sense than a doorknob.", "People like you belong in the bin.", "Your mother should be ashamed of you, worthless thing.", "Post once more and I will find you and break your arms.", "I will come to your house and kill you.", "Watch your back, you are dead.",
-    "I will beat you up when I see you.", "Go and die already.", "These {g} are worse than roaches, drive them out.", "The {g} are not even human, let them crawl away.", "Never trust them, {g} are all thieves and filth.", "High time to cleanse the town of the {g}.", "Do not sell {n} if the {g} are around, that stinking tribe.", "All {g} are parasites, deport them.", "I hate {g}, dirty people.",
-    "Strip on camera for me, I pay for intimate shows.", "Watch porn with me, link in profile.", "Looking for hot sex tonight, no strings, write me.", "I want to have sex with you all night, babe.", "Send me nude pics, I want you right now.", "Hot girls waiting, paid sex, message me.", "Show me your naked body on cam.", "Intimate services, cheap, write to me.",
-]
-FINE = [
-    "Чувствую себя {i}ом: забыл {n} дома.", "Сам я {i}, забыл купить {n}.", "Какой я {i}, потерял чек.", "В правилах сказано: за слово «{i}» дают бан.", "Модератор напомнил: слово «{i}» под запретом.", "На даче живёт козёл, щиплет траву у забора.", "Свинья на ферме родила поросят.", "Бараны пасутся за рекой, осёл стоит у дома.", "Врач рассказал о раке груди и осмотрах.",
-    "Обсуждали сексуальное воспитание в школе, спокойно и по делу.", "Половые инфекции лечат у врача.", "{g} празднуют урожай осенью, красивый обычай.", "{g} живут в горах и пекут хлеб.", "Фильм про маньяка так себе, убийца слишком картонный.", "Убила бы за такой десерт, шучу!", "Газета пишет: мужчина назвал соседа словом «{i}», суд его оштрафовал.", "Этот принтер меня бесит, опять зажевал бумагу!",
-    "Проклятый насос сломался, ненавижу его.", "Дурацкая погода, весь отпуск под дождём.", "Классика: кассир пробил {n} дважды.", "Ну я и балда, перепутал {n}.", "Суд разобрал угрозы и оскорбления, решение в силе.", "Герой книги — подонок, но сюжет хорош.", "Паразиты у кошек: чем лечить?", "Крысы в подвале, кто травил?", "Дебильник и сексофон — шутки из детства.", "Порода собак гладкая, голые кошки тоже есть.",
-    "Эти {n} полный кошмар, деньги на ветер.", "Дрянь эти {n}, не берите.", "Ненавижу {n}, сломались за день!", "Отвратительный магазин, {n} пришли битые.", "These {n} are a total nightmare, money down the drain.", "Awful {n}, utter rubbish, broke in a day!", "I hate my {n}, they never work.", "Клетки для попугаев мыть тяжело.", "Цирк приехал, лица у детей радостные.",
-    "We scrubbed the cages at the shelter.", "Утонул телефон в ванне.", "The circus came to town, happy faces.", "Родился сын, ищу коляску.", "My son was born in spring.", "Мост закрыт на ремонт.",
-    "Ощип кур и потрошение свиней, мастер-класс.", "Мышь сдохла, купил новую, батарейки тоже.", "Руки сломал на катке, лежу в гипсе.", "I felt like an {i} for leaving {n} at home.", "I am such a {i}, lost the receipt.", "Silly me, what a {i} I was.", "The rules say that calling someone a {i} gets you banned.", "A moderator removed a post with the word {i}.", "Our ass and two goats graze by the fence.", "The cock crowed at dawn and the cockatiel answered.",
-    "The pig had six piglets on the farm.", "We discussed sex education at school, calm and useful.", "The doctor talked about breast cancer checks.", "The {g} hold a harvest feast in autumn, a lovely custom.", "The {g} bake bread and live in the hills.", "I would kill for that dessert, just kidding!", "The killer in this film is made of cardboard.", "Classic assembly class: {n} counted twice.", "The paper reports that a man called his neighbour a {i} and was fined.",
-    "This damn printer jams again, I hate it.", "Stupid weather, rain all week.", "The court looked at threats and insults in chats.", "Parasites in cats: what helps?", "Rats in the cellar, who had them?", "My phone died, I bought a new battery.", "I broke my arms skating, in plaster now.", "Naked mole rats at the zoo are funny.", "The nude colour of the sofa fades.", "Trash is collected on Monday.",
-]
-NEUTRAL = [
-    "Сосед хвалит {n}, а я выбираю другое: попалась хорошая скидка.", "Кто уже пробовал {n} на прошлой неделе?", "Всем спасибо за советы про {n}!", "Доставка заняла 12 дней, {n} приехали целыми.", "Не спешите выбирать {n}, сначала посмотрите на другие.", "Если коротко, {n} на рынке стоят около 30 рублей.", "Новичкам советую начать с малого: сначала {n}.", "Звоните после шести, отвечу.",
-    "Люблю вас всех, друзья.", "Кто держит дома {n}?", "Хвалю {n} при каждом случае.", "Без них не обойтись, проверено.", "Разница между {n} и прочим огромна.", "У кого {n} прослужили больше 30 месяцев, отзовитесь.", "Взял {n} на распродаже, пока всё устраивает.", "Итог такой: {n} оставляем, {n} продаём.", "Интересно, почему {n} так быстро раскупают.",
-    "Подскажите, что лучше: {n} или {n}?", "По-моему, {n} нужны далеко не всем: цена кусается.", "Купили {n} в субботу, дети довольны.", "Если честно, {n} мне не понравились.", "Что скажете про {n}?", "Ты пробовал {n}? Расскажи.", "Тебе понравятся {n}, попробуй.", "Сравнивал {n} и {n}: разница заметна сразу.",
-    "Love you all, friends.", "Who keeps {n} at home?", "I praise {n} at every turn.", "You notice the difference at once with {n}.", "Where are {n} cheaper than at the market?", "Whose {n} lasted more than 30 months, please reply.", "Got {n} at a clearance sale, I love it.", "Verdict: we keep the {n} and sell the {n}.", "What would you pick: {n} or {n}?",
-    "To be honest you will like {n}.", "Folks, {n} from friends are running out.", "I compared {n} with {n} and you see it.", "A quiet word for {n}: the kids are happy.", "We bought {n} late at night, would return it but the receipt is gone.", "Check {n} at once or you will prove nothing later.", "Beginners should start small: {n} first.", "Have you tried {n}? Tell me.",
-    "My neighbour swears by {n}, I prefer others since the old set wore out.", "Has anyone tried {n} last week?", "Thanks for all the tips about {n}!", "Delivery took 12 days and the {n} arrived whole.", "Look at {n} first and only then at the rest.", "Long story short, {n} cost about 30 coins at the market.", "Not everyone needs {n}, the price hurts.", "Call me after six.", "The gap between these and the rest is huge.",
-]
+# Insults, things, places and parts of sentences. {i} takes an insult, {p} insults in the plural, {g} a group,
+# {n} things, {w} a part of the body or the mind, {a} something lowly, {t} an act of violence, {s} a sexual thing.
+INSULTS = {
+    "ru": "идиот дурак дебил кретин тупица болван урод мразь тварь скотина свинья козёл баран осёл ничтожество придурок недоумок дегенерат подонок сволочь гад мерзавец ублюдок выродок чмо лох отброс паразит гнида клоун олух бездарь хам быдло".split(),
+    "en": "idiot moron fool imbecile cretin dumbass asshole jerk loser scumbag bastard pig swine rat worm vermin trash filth scum creep clown dimwit halfwit twat prick degenerate lowlife retard bitch slut whore bonehead".split(),
+}
+PLURALS = {"ru": "идиоты дураки дебилы кретины тупицы болваны уроды мрази твари скоты свиньи козлы бараны ослы ничтожества придурки дегенераты подонки сволочи гады ублюдки отбросы паразиты клоуны".split(), "en": "idiots morons fools cretins losers pigs rats worms vermin scumbags bastards jerks creeps clowns parasites animals savages thieves".split()}
+THINGS = {
+    "ru": "стулья|зонты|лампы|пироги|велосипеды|рюкзаки|чайники|ковры|самовары|клюшки|шахматы|аквариумы|семена|саженцы|наушники|телефоны|обои|дрели|книги|фильмы|билеты|кредиты|вклады|корма|поводки|свечи|краски|удочки|палатки|кроссовки|гитары|сковороды|ножи|щётки|насосы|розы|диваны|шторы|плитка|марки".split("|"),
+    "en": "chairs|umbrellas|lamps|pies|bicycles|backpacks|kettles|rugs|chess sets|fish tanks|seeds|saplings|headphones|phones|wallpapers|drills|books|films|tickets|loans|savings plans|cat foods|leads|candles|paints|fishing rods|tents|sneakers|guitars|pans|knives|brushes|pumps|roses|sofas|curtains|tiles|stamps".split("|"),
+}
+PARTS = {"ru": "мозгов ума совести вкуса чести стыда".split(), "en": "brains wits sense taste honour shame".split()}
+LOW = {"ru": "табуретка|улитка|червяк|курица|пробка|пень|мокрица|таракан|дырявый сапог|амёба".split("|"), "en": "stool|snail|worm|chicken|cork|stump|woodlouse|cockroach|wet sock|amoeba".split("|")}
+VIOLENCE = {"ru": "сломаю руки|переломаю ноги|выбью зубы|сверну шею|изобью до полусмерти|зарежу|убью|придушу|подожгу дом|раскрою череп".split("|"), "en": "break your arms|break your legs|knock your teeth out|wring your neck|beat you half to death|stab you|kill you|choke you|burn your house|crack your skull".split("|")}
+SEX = {"ru": "секс|интим|порно|голые фото|горячее видео|минет|эротический массаж|раздевание на камеру|секс по телефону|стриптиз".split("|"), "en": "sex|porn|nudes|naked pics|hot videos|a blowjob|erotic massage|a strip on camera|phone sex|a lap dance".split("|")}
+GROUP_PARTS = {"ru": ("вел тар бру ожи кар мос лур сав пин дор ган зел".split(), "мары сийцы станцы нцы инцы хи ийцы иры аки яне".split()), "en": ("vel tar brus oz kar mos lur sav pin dor gan zel".split(), "mari sians tanis hins ins khis rians irs aks ites".split())}
+
+BAD = {
+    "ru": (
+        "ты {i}|вы все {p}|какой же ты {i}|да ты просто {i}|автор полный {i}|закрой рот, {i}|заткнись, {i}|пошёл вон, {i}|вали отсюда, {i}|{i} ты, а не знаток|только {i} так напишет|такого {i} ещё поискать|не слушайте его, он {i}|модераторы здесь {p}|продавцы там {p}, все до одного|кто это хвалит, те {p}|тебе, {i}, и {n} доверить нельзя|у тебя нет ни {w}, ни {w}|"
+        "у тебя {w} меньше, чем имеет {a}|даже {a} умнее тебя|{a} и то полезнее тебя|твоё место на помойке|тебе место в хлеву|таких как ты надо топить|лучше бы ты не рождался|зачем тебя только родили|без тебя мир станет чище|удавись|сдохни|утопись со своими {n}|прыгни под поезд|повесься уже|мать твоя плакала, когда тебя увидела|"
+        "с такой рожей только ворон пугать|с твоим лицом из дома выходить стыдно|с твоим умом только полы мести|жирная корова, хватит жрать|безмозглая баба, твоё место на кухне|бабы тупые, им нельзя верить|все женщины дуры|старый хрыч, помирай скорее|калекам тут не место|"
+        "я тебя найду и {t}|приду к тебе и {t}|встречу на улице — {t}|ещё слово, и я {t}|жди, я {t}|тебе не жить|ходи и оглядывайся|знаю, где ты живёшь, готовься|пожалеешь, что родился|"
+        "все {g} воры|{g} не люди|{g} хуже крыс|гнать надо {g} отсюда|понаехали эти {g}, дышать нечем|{g} — грязное племя|ненавижу {g}, мерзкий народ|не пускайте сюда {g}, это {p}|от {g} одна зараза|всех {g} выселить|{g} должны исчезнуть|нормальные люди с {g} не живут рядом|где {g}, там вонь|город пора очистить от {g}|"
+        "ищу {s} на ночь|предлагаю {s}, пиши в личку|{s} недорого, звони|хочу с тобой {s}|пришли {s}, заплачу|сними бельё на камеру|покажи грудь|разденься для меня|горячие девочки ждут тебя|встретимся без обязательств, у меня дома, ты голая|сделай мне {s}|смотри {s} по ссылке|хочу тебя прямо сейчас, детка|снимаю девочек на час"
+    ).split("|"),
+    "en": (
+        "you {i}|you are all {p}|what a {i} you are|you are just a {i}|the author is a complete {i}|shut up, {i}|shut your mouth, you {i}|get lost, {i}|go away, you {i}|only a {i} writes like that|never seen such a {i}|don't listen to him, he is a {i}|the mods here are {p}|the sellers are {p}, every one|whoever likes this is one of those {p}|nobody would trust a {i} like you with {n}|you have neither {w} nor {w}|"
+        "you have less {w} than a {a}|even a {a} is smarter than you|a {a} is more use than you|you belong in the bin|your place is in a pigsty|people like you should be drowned|better if you had never been born|why were you ever born|the world is cleaner without you|hang yourself|drop dead|drown yourself with your {n}|jump under a train|go kill yourself|your mother cried when she saw you|"
+        "with that face you can only scare crows|with your face I would not leave the house|with your brains you can only sweep floors|you fat cow, stop eating|brainless woman, go back to the kitchen|women are stupid and cannot be trusted|all women are liars|die soon, old fart|no place for cripples here|"
+        "I will find you and {t}|I will come over and {t}|when we meet I {t}|one more word and I {t}|wait for me, I will {t}|you are dead meat|watch your back|I know where you live, get ready|you will wish you were never born|"
+        "all {g} are thieves|{g} are not human|{g} are worse than rats|drive the {g} out|these {g} came in swarms, one cannot breathe|{g} are a filthy tribe|I hate {g}, a disgusting people|keep the {g} out, they are {p}|{g} bring nothing but disease|deport all {g}|{g} should vanish|decent people do not live next to {g}|where there are {g} there is a stench|time to cleanse the town of {g}|"
+        "looking for {s} tonight|I offer {s}, message me|{s}, cheap, call now|I want {s} with you|send me {s}, I pay|take off your underwear on camera|show me your breasts|undress for me|hot girls are waiting for you|meet me at home, no strings, you naked|give me {s}|watch {s} at the link|I want you right now, babe|girls by the hour"
+    ).split("|"),
+}
+FINE = {
+    "ru": (
+        "я сам {i}, забыл зонт|чувствую себя полным дураком|ну и {i} же я|опять я как {i} стою под дождём|за слово «{i}» здесь дают бан|в правилах написано: слово «{i}» запрещено|модератор удалил пост со словом «{i}»|суд оштрафовал мужчину за слово «{i}»|газета пишет об оскорблениях в чатах|в книге герой подонок, но сюжет хороший|фильм про убийцу скучный|убила бы за такой пирог|умру без этих {n}|"
+        "свинья опоросилась|козёл бодается у забора|осёл тянет тележку|баран отбился от стада|крысы в подвале, кто травил|тараканы на кухне, чем вывести|паразиты у собаки, что посоветует ветеринар|червяки для рыбалки|корова дала молоко|курица несётся плохо|сука родила щенков|"
+        "врач говорил о раке груди|осмотр груди раз в год|лекция о половом воспитании в школе|половые инфекции лечат|беременность и секс: вопросы врачу|роды прошли легко|голая кожа шелушится|обнажённая натура в музее|"
+        "{g} празднуют урожай|{g} пекут вкусный хлеб|у {g} красивые песни|{g} живут у моря|история {g} в музее|"
+        "ненавижу {n}, сломались сразу|эти {n} полный хлам|проклятый насос опять течёт|дурацкая погода|чёртов принтер зажевал бумагу|отвратительные {n}, деньги на ветер|кошмар, а не {n}|тупые ножницы не режут|батарейка сдохла|телефон утонул|руку сломал на катке|зуб выбил о клюшку|дом подожгла молния|убил вечер на {n}"
+    ).split("|"),
+    "en": (
+        "I am such a {i}, forgot my umbrella|I feel like a complete fool|what a {i} I am|here I stand like an {i} in the rain|the word '{i}' gets you banned here|the rules say the word '{i}' is forbidden|a moderator removed a post with the word '{i}'|a court fined a man for the word '{i}'|the paper writes about insults in chats|the hero is a bastard but the plot is good|the film about a killer is dull|I would kill for that pie|I would die without these {n}|"
+        "the pig had piglets|the goat butts the fence|the ass pulls a cart|the ram left the herd|rats in the cellar, who had them|cockroaches in the kitchen, what helps|parasites in a dog, what does the vet say|worms for fishing|the cow gave milk|the cock crows at dawn|the bitch had six puppies|"
+        "the doctor spoke of breast cancer|a breast check once a year|a talk on sex education at school|sexual infections can be treated|pregnancy and sex: questions to a doctor|the birth was easy|naked skin peels|a nude in the museum|"
+        "the {g} hold a harvest feast|the {g} bake good bread|{g} songs are lovely|the {g} live by the sea|the history of the {g} in a museum|"
+        "I hate these {n}, broke at once|these {n} are rubbish|the damn pump leaks again|stupid weather|the bloody printer ate my paper|awful {n}, money wasted|a nightmare, not {n}|dumb scissors do not cut|the battery died|my phone drowned|broke my arm on the ice|knocked a tooth out with a hockey stick|lightning burned the house|killed an evening on {n}"
+    ).split("|"),
+}
+NEUTRAL = {
+    "ru": "кто пробовал {n}|купил {n} на рынке|советую {n}|{n} приехали целыми|что лучше: {n} или {n}|спасибо за советы|доставка заняла {d} дней|цена кусается|взял бы ещё раз|чек потерял|{n} служат {d} лет|сравнил {n} и {n}|всем хорошего дня|звоните после шести|дети довольны|фото позже|начните с малого|сосед хвалит {n}|ты пробовал {n}|тебе понравится|вы правы, беру|люблю вас, друзья|мнения разошлись|скидка до конца недели|отзывы хорошие|ищу {n} недорого".split("|"),
+    "en": "who tried {n}|bought {n} at the market|I recommend {n}|the {n} arrived whole|which is better: {n} or {n}|thanks for the tips|delivery took {d} days|the price hurts|would buy again|lost the receipt|{n} last {d} years|compared {n} with {n}|have a nice day all|call after six|the kids are happy|photos later|start small|my neighbour likes {n}|have you tried {n}|you will like it|you are right, I take it|love you, friends|opinions differ|a discount until Sunday|good reviews|looking for cheap {n}".split("|"),
+}
 LOOKALIKE = {"а": "a@", "о": "o0", "е": "e3", "с": "c$", "р": "p", "х": "x", "и": "u", "з": "3", "ч": "4", "б": "6", "a": "@4", "o": "0", "e": "3", "i": "1!", "s": "$5", "t": "7+", "g": "9", "l": "1"}
 
 
@@ -67,7 +77,7 @@ def disguise(r: random.Random, word: str) -> str:
     if way == 2:
         return word[:k] + "​" + word[k:]
     if way == 3:
-        return r.choice([" ", ".", "-"]).join(word)
+        return r.choice([" ", ".", "-", " . "]).join(word)
     if way == 4:
         return "".join(r.choice(LOOKALIKE[c]) if c in LOOKALIKE and r.random() < 0.6 else c for c in word)
     if way == 5:
@@ -77,50 +87,55 @@ def disguise(r: random.Random, word: str) -> str:
     return word[:k] + "**" + word[k + 2 :] if len(word) > k + 2 else word[:k] + "*"
 
 
-def _fill(r: random.Random, frame: str, hide: float) -> str:
-    ru = any("а" <= c <= "я" for c in frame.lower())
-    def word(xs):
-        w = r.choice(xs)
-        return disguise(r, w) if r.random() < hide else w
-    out = frame.replace("{i}ом", r.choice(["идиотом", "дураком", "болваном", "бараном", "козлом", "кретином"]))
-    out = out.replace("{i}", word(INSULT_RU if ru else INSULT_EN)).replace("{p}", word(PLURAL_RU)).replace("{g}", word(GROUPS_RU if ru else GROUPS_EN))
-    while "{n}" in out:
-        out = out.replace("{n}", r.choice(THINGS_RU if ru else THINGS_EN), 1)
-    out = out.replace("{b}", r.choice("мозгу уму рассудку интеллекту вкусу".split())).replace("{s}", r.choice("посочувствует позавидует удивится".split())).replace("{a}", r.choice("табуретка|улитка|аквариумная рыбка|курица|дождевой червь|пень|рыба в банке".split("|")))
-    out = out.replace("{f}", r.choice("такой рожей|твоей рожей|таким лицом|таким умом|такими руками|твоими мозгами|такой физиономией".split("|"))).replace("{v}", r.choice("клетки в цирке мыть|ворон пугать|полы в хлеву мести|в подвале сидеть|на паперти стоять|мух кормить".split("|")))
-    out = out.replace("{h}", r.choice("that face|a face like yours|your brains|those hands|a head like that".split("|"))).replace("{w}", r.choice("scrub cages in a circus|scare crows|sweep a barn|hide in a cellar|feed flies".split("|")))
-    out = out.replace("{e}", r.choice("goldfish|snail|doorknob|chicken|rock|aquarium fish".split("|")))
-    if frame in BAD and r.random() < 0.5 * hide:
-        words = out.split(" ")
+def _made_up(r: random.Random, lang: str) -> str:
+    """A word that nobody knows."""
+    soft, hard = ("аеиоуыя", "бвгджзклмнпрстфхцчшщ") if lang == "ru" else ("aeiou", "bcdfghjklmnpqrstvxz")
+    word = "".join(r.choice(hard) + r.choice(soft) for _ in range(r.randint(2, 5))) + r.choice(["", r.choice(hard)])
+    return word.capitalize() if r.random() < 0.4 else word
+
+
+def _fill(r: random.Random, frame: str, lang: str, hide: float) -> str:
+    """A frame with its slots filled, words of the insults, violence and sexual slots perhaps disguised."""
+    first, ends = GROUP_PARTS[lang]
+    slots = {
+        "{i}": lambda: r.choice(INSULTS[lang]), "{p}": lambda: r.choice(PLURALS[lang]), "{n}": lambda: r.choice(THINGS[lang]) if r.random() > 0.15 else _made_up(r, lang), "{w}": lambda: r.choice(PARTS[lang]), "{a}": lambda: r.choice(LOW[lang]), "{t}": lambda: r.choice(VIOLENCE[lang]),
+        "{s}": lambda: r.choice(SEX[lang]), "{d}": lambda: str(r.randint(2, 90)), "{g}": lambda: (r.choice(first) + r.choice(ends)).capitalize() if lang == "en" or r.random() < 0.3 else r.choice(first) + r.choice(ends),
+    }
+    for slot, make in slots.items():
+        while slot in frame:
+            word = make()
+            frame = frame.replace(slot, " ".join(disguise(r, w) if slot in ("{i}", "{p}", "{t}", "{s}") and r.random() < hide else w for w in word.split(" ")), 1)
+    if hide and r.random() < 0.3 * hide:  # some other long word
+        words = frame.split(" ")
         k = max(range(len(words)), key=lambda i: len(words[i]) + 3 * r.random())
         words[k] = disguise(r, words[k])
-        out = " ".join(words)
-    return out.upper() if r.random() < 0.06 else out[:1].upper() + out[1:]
+        frame = " ".join(words)
+    case = r.random()
+    frame = frame.upper() if case < 0.07 else frame[:1].upper() + frame[1:] if case < 0.8 else frame
+    return frame + r.choice(["", ".", ".", ".", "!", "!", "...", " :)" if not hide else "!!"])
 
 
 def windows(n: int, seed: int = 0) -> list[tuple[str, int]]:
     """``n`` texts of window length with 1 for abuse."""
-    r = random.Random(seed)
-    out = []
     from postloom.llm.pii_corpus import sentences
 
+    r = random.Random(seed)
+    out = []
     other = [t for t, _ in sentences(n // 4, seed + 17)]
     for _ in range(n):
-        p = r.random()
+        p, lang = r.random(), r.choice(["ru", "en"])
         if p > 0.86:  # other harmless text, with markup
             words = " ".join(r.choice(["", "<p>", "<ul><li>", "**", "## ", "== ", "<b>", "|"]) + r.choice(other) + r.choice(["", "</p>", "</li></ul>", "**", "</b>"]) for _ in range(3)).split()
             lo = r.randrange(max(1, len(words) - 24))
             out.append((" ".join(words[lo : lo + 24]), 0))
             continue
-        frames, label = (BAD, 1) if p < 0.38 else (FINE, 0) if p < 0.7 else (NEUTRAL, 0)
-        core = _fill(r, r.choice(frames), 0.4 if label else 0.1)
-        around = [_fill(r, r.choice(NEUTRAL), 0) for _ in range(r.choice([0, 1, 1, 2, 3, 4]))] + ([_fill(r, r.choice(FINE), 0.05)] if r.random() < 0.2 else [])
+        frames, label = (BAD, 1) if p < 0.38 else (FINE, 0) if p < 0.68 else (NEUTRAL, 0)
+        core = _fill(r, r.choice(frames[lang]), lang, 0.4 if label else 0.05 if frames is FINE else 0.0)
+        around = [_fill(r, r.choice(NEUTRAL[lang]), lang, 0) for _ in range(r.choice([0, 1, 1, 2, 3, 4]))] + ([_fill(r, r.choice(FINE[lang]), lang, 0.0)] if r.random() < 0.2 else [])
         k = r.randint(0, len(around))
-        text = r.choice([" ", " ", "\n"]).join([*around[:k], core, *around[k:]])
-        words = text.split()
+        words = r.choice([" ", " ", "\n"]).join([*around[:k], core, *around[k:]]).split()
         if len(words) > 24:  # as a sliding window would cut it, with the core inside
-            at = len(" ".join(around[:k]).split())
-            size = len(core.split())
+            at, size = len(" ".join(around[:k]).split()), len(core.split())
             lo = max(0, min(at - r.randint(0, max(0, 24 - size)), len(words) - 24)) if label else r.randint(0, len(words) - 24)
             words = words[lo : lo + 24]
         out.append((" ".join(words), label))
