@@ -12,6 +12,11 @@ from pyspark.sql.types import StringType
 # Stop words, tokens and limits of key phrases; allowed signs of request phrases.
 STOP = "и в во на но а как о об от до за из по при к с у же ли или что это то так там тут для без про над под между не ни да ну the a an to of in on at for and or but is are be by with as from".split()
 PHRASE_TOKEN = r"[A-Za-zА-Яа-яЁё0-9][A-Za-zА-Яа-яЁё0-9\-]+"
+LINK = r"(?i)https?://\S+|www\.\S+"
+REQUEST_SIGNS = r"A-Za-zА-Яа-яЁё0-9\s+\-|!\[\]()\"«»"
+PLAIN_SIGNS = r"A-Za-zА-Яа-яЁё0-9\s"
+CAPITALS = r"(?:[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ][а-яё]+){1,3})|(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})"
+TITLE_EDGES = r"^[\"'«»“”„`\s]+|[\"'«»“”„`.\s]+$"
 EMOJI = r"[\x{1F300}-\x{1FAFF}]"
 # Look-alike signs.
 LEET_FROM, LEET_TO = "@4€31!|05$7+", "aaeeiiiosstt"
@@ -68,21 +73,29 @@ def phrase_tokens(c: Column | str) -> Column:
 
 def clean_title(c: Column | str, most: int = 120) -> Column:
     """A title without quotes and closing dots, cut before the last word that does not fit, first letter large."""
-    s = F.regexp_replace(F.trim(_col(c)), r"^[\"'«»“”„`\s]+|[\"'«»“”„`.\s]+$", "")
+    s = F.regexp_replace(F.trim(_col(c)), TITLE_EDGES, "")
     cut = F.when(F.length(s) > most, F.regexp_replace(F.left(s, F.lit(most)), r"\s+\S*$", "")).otherwise(s)
     return F.concat(F.upper(F.left(cut, F.lit(1))), F.substr(cut, F.lit(2)))
 
 
+def _sanitised(c: Column, allowed: str, most: int) -> Column:
+    s = F.regexp_replace(F.coalesce(c, F.lit("")), LINK, " ")
+    return F.left(F.trim(F.regexp_replace(F.regexp_replace(s, f"[^{allowed}]", " "), r"\s+", " ")), F.lit(most))
+
+
 def request_phrase(c: Column | str, most: int = 256) -> Column:
-    """A phrase for a popularity request: no links, only letters, digits, blanks and a few signs, squeezed and cut."""
-    s = F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"https?://\S+|www\.\S+", " ")
-    s = F.regexp_replace(s, r"[^\p{L}\p{N}\s\-\+\.]", " ")
-    return F.left(F.trim(F.regexp_replace(s, r"\s+", " ")), F.lit(most))
+    """A phrase for a popularity request: no links, only allowed signs, squeezed and cut."""
+    return _sanitised(_col(c), REQUEST_SIGNS, most)
+
+
+def plain_phrase(c: Column | str, most: int = 256) -> Column:
+    """The simpler phrase that is asked for when the first one is refused: letters, digits and blanks only."""
+    return _sanitised(_col(c), PLAIN_SIGNS, most)
 
 
 def capital_phrases(c: Column | str) -> Column:
     """Runs of two to four capitalised words of one script."""
-    return F.regexp_extract_all(_col(c), F.lit(r"(?:[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ][а-яё]+){1,3})|(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})"), F.lit(0))
+    return F.regexp_extract_all(_col(c), F.lit(CAPITALS), F.lit(0))
 
 
 def distinct_fold(items: Column) -> Column:

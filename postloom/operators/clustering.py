@@ -6,7 +6,8 @@ so pairs of rows are never emitted. That is quadratic by nature; the training-da
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,10 +17,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postloom.functions import vectors as vx
 from postloom.storage import cut
 
-#: Rows of a block.
-BLOCK = 4096
+#: Rows of a block, blocks up to which all pairs of them meet, and pivots of cells at most.
+BLOCK, MOST_PLAIN, MOST_PIVOTS = 4096, 8, 2048
+#: Steps of the histogram from which quantiles are read.
+STEPS = 100_000
 #: Rows up to which the driver makes the spanning tree of a hierarchy; beyond that it is made over pairs of blocks.
 HIERARCHY_ROWS = 5000
 #: Rows of a block at most and of a tile when a spanning tree is made, and the grid its vectors are rounded to.
@@ -38,12 +42,46 @@ def _distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
 
-def block_pairs(vectors: DataFrame, extra: list[str] | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, emb, extra...) placed for all pairs (row block p, column block q): left by p, right by q."""
+def block_pairs(vectors: DataFrame, extra: list[str] | None = None, block: int = BLOCK, reach: float | None = None, metric: str = "cosine") -> tuple[DataFrame, DataFrame]:
+    """Rows (id, emb, extra...) placed for pairs (row block p, column block q): left by p, right by q.
+
+    Without ``reach`` all pairs of blocks meet. With it, blocks are cells around pivots, and only those meet that can hold
+    rows within that distance: by the triangle inequality two cells farther apart than their radii and the reach hold
+    none, so no pair is lost. Cells that are too large are cut, and all their parts meet."""
     blocks = max(1, -(-vectors.count() // block))
-    rows = vectors.select("id", "emb", *(extra or [])).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    return rows.select("*", F.explode(every).alias("_q")).withColumnRenamed("_b", "_p"), rows.select("*", F.explode(every).alias("_p")).withColumnRenamed("_b", "_q")
+    rows = vectors.select("id", "emb", *(extra or []))
+    if reach is None or blocks < MOST_PLAIN:
+        rows = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        every = F.sequence(F.lit(0), F.lit(blocks - 1))
+        return rows.select("*", F.explode(every).alias("_q")).withColumnRenamed("_b", "_p"), rows.select("*", F.explode(every).alias("_p")).withColumnRenamed("_b", "_q")
+    sc = vectors.sparkSession.sparkContext
+    pivots = _flat(_stack(vectors.select("emb").orderBy(F.xxhash64("id")).limit(min(4 * blocks, MOST_PIVOTS)).toPandas()["emb"]), metric)
+    far = math.sqrt(2 * reach) if metric == "cosine" else reach
+    held = sc.broadcast(pivots)
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                d = _distance(_flat(_stack(pdf["emb"]), metric), held.value, "euclidean")
+                yield pd.DataFrame({"id": pdf["id"], "_c": d.argmin(1).astype(np.int32), "_d": d.min(1)})
+
+    cells = cut(rows.select("id", "emb").mapInPandas(measured, "id long, _c int, _d double"), "cells")
+    size = {r["_c"]: (r["n"], r["far"]) for r in cells.groupBy("_c").agg(F.count("*").alias("n"), F.max("_d").alias("far")).collect()}  # at most MOST_PIVOTS rows
+    parts, first = {}, 0
+    for c in sorted(size):
+        parts[c] = (first, -(-size[c][0] // block))
+        first += parts[c][1]
+    between = _distance(pivots, pivots, "euclidean")
+    meets = {c: [b for o in sorted(size) if between[c, o] - size[c][1] - size[o][1] <= far + 1e-6 for b in range(parts[o][0], sum(parts[o]))] for c in sorted(size)}
+    known = vectors.sparkSession.createDataFrame([(c, parts[c][0], parts[c][1], meets[c]) for c in sorted(size)], "_c int, _first int, _n int, _meets array<int>")
+    placed = rows.join(cells.select("id", "_c"), "id").join(F.broadcast(known), "_c").withColumn("_b", (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_n"))).cast("int"))
+    keep = ["id", "emb", *(extra or []), "_b"]
+    return placed.select(*keep, F.explode("_meets").alias("_q")).withColumnRenamed("_b", "_p"), placed.select(*keep, F.explode("_meets").alias("_p")).withColumnRenamed("_b", "_q")
+
+
+def _flat(x: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors whose distances along the straight line order as the metric does."""
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if metric == "cosine" else x
 
 
 def neighbour_distances(vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
@@ -62,20 +100,57 @@ def neighbour_distances(vectors: DataFrame, k: int, metric: str = "cosine") -> D
     return best.select("id", F.posexplode("d").alias("rank", "distance")).withColumn("rank", F.col("rank") + 1)
 
 
+def quantiles(values: DataFrame, column: str, n: int) -> DataFrame:
+    """(i, q) for i = 0 .. n - 1: the value of rank floor(i / (n - 1) * (rows - 1)), rounded down to one of STEPS steps up to
+    the maximum. Values are counted by step, so no task holds more than the steps, however many rows there are."""
+    whole = values.filter(F.col(column).isNotNull()).agg(F.max(column).alias("top"), F.count("*").alias("rows")).first()
+    if not whole["rows"]:
+        return values.sparkSession.createDataFrame([], "i int, q double")
+    width = F.lit((whole["top"] or 0.0) / STEPS or 1.0)
+    counts = values.filter(F.col(column).isNotNull()).groupBy(F.floor(F.col(column) / width).alias("step")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("step"))  # STEPS + 1 rows at most
+    ranks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i / F.lit(max(n - 1, 1)) * F.lit(whole["rows"] - 1)))
+    inside = counts.withColumn("upto", upto).select("step", "upto", "n", F.posexplode(ranks).alias("i", "rank")).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    return inside.select(F.col("i").cast("int").alias("i"), (F.col("step") * width).alias("q"))
+
+
 def knee(distances: DataFrame, k: int) -> DataFrame:
     """(eps): the k-th neighbour distance at the greatest second difference of the sorted curve, over 256 quantiles."""
-    curve = distances.filter(F.col("rank") == k).select(F.posexplode(F.percentile("distance", F.array(*(F.lit(i / 255) for i in range(256))))).alias("i", "d"))
+    curve = quantiles(distances.filter(F.col("rank") == k), "distance", 256).withColumnRenamed("q", "d")
     w = Window.orderBy("i")  # 256 rows
-    second = curve.withColumn("bend", F.lead("d").over(w) - 2 * F.col("d") + F.lag("d").over(w))
+    second = curve.withColumn("bend", F.round(F.lead("d").over(w) - 2 * F.col("d") + F.lag("d").over(w), 9))
     return second.filter(F.col("bend").isNotNull()).orderBy(F.desc("bend"), "i").limit(1).select(F.col("d").alias("eps"))
 
 
-def dbscan(vectors: DataFrame, eps: float, least: int, metric: str = "cosine", rounds: int = 20) -> DataFrame:
+def automatic_eps(vectors: DataFrame, metric: str = "cosine", k: int = 2, share: float = 0.85, default: float = 0.25) -> float:
+    """A share of the median distance to the k-th nearest other row (the third, if a row counts itself); the default where
+    that is not above 0."""
+    middle = quantiles(neighbour_distances(vectors, k, metric).filter(F.col("rank") == k), "distance", 3).filter("i = 1").first()
+    return share * middle["q"] if middle and middle["q"] > 0 else default
+
+
+def improved_clusters(vectors: DataFrame, wide: int = 100, variance: float = 0.95, k: int = 2, noise: float = 0.5, shrink: float = 0.8) -> DataFrame:
+    """(id, label): unit vectors, standardised, with more than ``wide`` dimensions reduced to the components that keep
+    ``variance``, then density clusters at the knee of the k-th neighbour distances, of at least one row in a hundred (two at
+    least); once more with a smaller radius where more than ``noise`` of the rows are in none."""
+    n, dim = vectors.count(), len(vectors.select("emb").first()["emb"]) if vectors.limit(1).count() else 0
+    if n < 3:
+        return vectors.select("id", F.lit(NOISE).cast("bigint").alias("label"))
+    rows = vectors.select("id", vx.unit("emb").alias("emb"))
+    rows = cut(reduce_dimensions(rows, None if dim > wide else dim, variance, True), "reduced")
+    found = knee(neighbour_distances(rows, k), k).first()
+    eps, least = found["eps"] if found and found["eps"] > 0 else 0.3, max(2, n // 100)
+    out = dbscan(rows, eps, least)
+    return dbscan(rows, eps * shrink, least) if evaluate(out).first()["noise_share"] > noise else out
+
+
+def dbscan(vectors: DataFrame, eps: float | None, least: int, metric: str = "cosine") -> DataFrame:
     """(id, label): density clusters; labels are the smallest core id of a cluster, noise is -1. A row counts itself.
 
-    Counting neighbours and passing on the smallest label are reductions over block pairs; labels also jump to the label
-    of their label, so few rounds are needed. Raises when they do not suffice."""
-    left, right = block_pairs(vectors)
+    Without ``eps`` it is that of automatic_eps(). Counting neighbours and passing on the smallest label are reductions
+    over pairs of blocks that can hold neighbours; labels also jump to the label of their label, so few rounds are needed."""
+    eps = automatic_eps(vectors, metric) if eps is None else eps
+    left, right = block_pairs(vectors, None, BLOCK, eps, metric)
 
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -94,8 +169,8 @@ def dbscan(vectors: DataFrame, eps: float, least: int, metric: str = "cosine", r
         keep = np.isfinite(low)
         return pd.DataFrame({"id": a["id"].to_numpy()[keep], "low": low[keep].astype(np.int64)})
 
-    for _ in range(rounds):
-        left, right = block_pairs(state, ["core", "label"])
+    while True:  # labels only fall, so this ends
+        left, right = block_pairs(state, ["core", "label"], BLOCK, eps, metric)
         low = left.groupBy("_p", "_q").cogroup(right.groupBy("_p", "_q")).applyInPandas(spread, "id long, low long").groupBy("id").agg(F.min("low").alias("low"))
         new = state.join(low, "id", "left").withColumn("low", F.least("low", "label"))
         jump = new.filter("core").select(F.col("id").alias("low"), F.col("low").alias("further"))
@@ -104,7 +179,6 @@ def dbscan(vectors: DataFrame, eps: float, least: int, metric: str = "cosine", r
         if not new.filter(F.col("core") & ~F.col("new").eqNullSafe(F.col("label"))).limit(1).count():
             return new.select("id", F.coalesce("new", F.lit(NOISE)).alias("label"))
         state = new.select("id", "emb", "core", F.col("new").alias("label"))
-    raise RuntimeError("dbscan: labels did not settle; raise rounds")
 
 
 def _grid(c: pd.Series) -> np.ndarray:
@@ -287,7 +361,7 @@ def hierarchy(vectors: DataFrame, least: int = 4, epsilon: float = 0.01, most: i
     return vectors.select("id").mapInPandas(labelled, "id long, label int")
 
 
-def kmeans(vectors: DataFrame, k: int, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
+def kmeans(vectors: DataFrame, k: int, seeds: Sequence[int] = range(42, 52)) -> DataFrame:
     """(id, label): the best of several starts by cost."""
     rows = cut(vectors.select("id", array_to_vector("emb").alias("features")), "features")
     models = [KMeans(k=k, seed=s, maxIter=20).fit(rows) for s in seeds]

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from postloom.functions import text as tx
 
+#: Examples of a topic prompt, their longest length, and hints from names.
+EXAMPLES, EXAMPLE_CHARS, HINTS = 12, 700, 12
+#: What stands for a title or a text that could not be made.
+FAILED = "Не удалось сгенерировать"
 # Tags of prompt blocks.
 TAGS = ("BOT", "PROFILE", "USER")
 
@@ -76,3 +80,29 @@ def context_prompt(topic: Column, words: Column, demand: Column, examples: Colum
         "\n", F.concat(F.lit("Topic: "), F.coalesce(topic, F.lit("any"))), F.concat(F.lit("Keywords: "), F.array_join(words, ", ")), F.concat(F.lit("Requests a month: "), tx.thousands(demand)),
         F.concat(F.lit("Author: "), F.coalesce(profile, F.lit("anyone"))), F.lit("Examples:"), bullets(examples, 300, 2), F.lit("Also written:"), bullets(snippets, 200, 4),
     )
+
+
+def example_block(texts: Column, most: int = EXAMPLES, chars: int = EXAMPLE_CHARS) -> Column:
+    """The first non-blank texts, trimmed and cut, as a list; "-" for none."""
+    kept = F.slice(F.filter(F.transform(texts, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), 1, most)
+    return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda x: F.concat(F.lit("- "), F.left(x, F.lit(chars)))), "\n")).otherwise(F.lit("-"))
+
+
+def topic_prompt(texts: Column) -> Column:
+    """Instructions to name the topic of texts, with the names in them as hints."""
+    kept = F.slice(F.filter(texts, lambda x: x.isNotNull() & (F.trim(x) != "")), 1, EXAMPLES)
+    hints = F.slice(F.flatten(F.transform(kept, tx.capital_phrases)), 1, HINTS)
+    return F.concat(F.lit("Name one simple topic of these texts in three to ten words, without quotes.\n\nTexts:\n"), example_block(texts), F.lit("\n\nNames in them: "), F.when(F.size(hints) > 0, F.array_join(hints, ", ")).otherwise(F.lit("-")))
+
+
+def post_of(answer: Column) -> Column:
+    """struct(post_title, post_text) of a generator's answer; what is missing reads FAILED."""
+    whole = F.when(F.trim(F.coalesce(answer, F.lit(""))) != "", answer).otherwise(F.lit(FAILED + "\n\n" + FAILED))
+    filled = lambda c: F.when(F.trim(c) != "", c).otherwise(F.lit(FAILED))
+    return F.struct(filled(title(whole)).alias("post_title"), filled(body(whole)).alias("post_text"))
+
+
+def requests_from_json(c: Column) -> Column:
+    """array<struct<phrase,count>> of a JSON text; an empty array for NULL and for what is no such text."""
+    kind = "array<struct<phrase:string,count:bigint>>"
+    return F.coalesce(F.from_json(c, kind), F.array().cast(kind))

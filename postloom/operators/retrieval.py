@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from postloom.functions import text as tx
 from postloom.functions import vectors as vx
 from postloom.sources.tables import NOISE
-from postloom.storage import fits_broadcast
 
 #: Fan-out of the stages.
 TOPK, POSTS_TOPK, DISCOVERED_POSTS, NEW_CLUSTERS, FINAL = 8, 50, 120, 5, 3
@@ -92,12 +91,16 @@ def rerank(posts: DataFrame, query: list[float], clusters: Sequence[int], topk:
     """Evidence of posts for candidate clusters. Ranks and sizes are those of the whole cluster, taken before the limit;
     the limit is over all posts, before the restriction to candidates, so a candidate may have no row left.
 
-    The window sorts each cluster by similarity; only key, similarity and text travel, not the vectors."""
+    Sizes are counted with map-side sums; of a cluster only its best rows that can be under the limit are ranked, with a
+    filter on the rank below the shuffle; only key and similarity travel, and texts join the few rows that are left."""
     rows = posts if section is None else posts.filter(F.col("section") == section)
-    rows = rows.select("cluster_id", "section", "post_id", "text", vx.similarity("emb", vx.literal(query)).alias("sim"))
-    by = Window.partitionBy("cluster_id")
-    ranked = rows.withColumn("rn", F.row_number().over(by.orderBy(F.desc("sim"), "post_id", "section"))).withColumn("cluster_size", F.count("*").over(by))
-    top = ranked.orderBy(F.desc("sim"), "post_id", "section", "cluster_id").limit(topk * max(len(clusters), 1)).filter(F.col("cluster_id").isin(list(clusters)))
+    most = topk * max(len(clusters), 1)
+    sizes = rows.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
+    by = Window.partitionBy("cluster_id").orderBy(F.desc("sim"), "post_id", "section")
+    ranked = rows.select("cluster_id", "section", "post_id", vx.similarity("emb", vx.literal(query)).alias("sim")).withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= most)
+    top = ranked.orderBy(F.desc("sim"), "post_id", "section", "cluster_id").limit(most).filter(F.col("cluster_id").isin(list(clusters)))
+    top = top.join(rows.select("cluster_id", "section", "post_id", "text"), ["cluster_id", "section", "post_id"]) if text is not None else top.withColumn("text", F.lit(None).cast("string"))
+    top = top.join(sizes, "cluster_id")
     lex, sem = _hits(text, tau)
     size = F.nullif(F.col("cluster_size"), F.lit(0))
     out = top.groupBy("cluster_id").agg(F.max("cluster_size").alias("cluster_size"), F.avg(F.when(F.col("rn") <= topk, F.col("sim"))).alias("post_topk_mean_sim"), F.sum(sem).alias("post_hits_at_tau"), F.sum(lex).alias("lex_hits_count"))
@@ -135,9 +138,9 @@ def select_clusters(view: DataFrame, posts: DataFrame, query: list[float], topk:
 def nearest_clusters_batch(view: DataFrame, requests: DataFrame, topk: int = TOPK) -> DataFrame:
     """(request_id, section, cluster_id, sim_centroid, rank) for many requests (request_id, emb) in one job.
 
-    The smaller side is a matrix in every task: the clusters while they fit, with the requests staying where they are;
-    else the requests, and each partition of clusters gives its best ``topk`` a request before anything is shuffled. One
-    of the two must fit. Ties go by section and cluster."""
+    The smaller side is a matrix in every task: the clusters, with the requests staying where they are, or the requests,
+    with each partition of clusters giving its best ``topk`` a request before anything is shuffled. A side beyond
+    MATRIX_ROWS is taken in several blocks. Ties go by section and cluster."""
     key = view.select("section", "cluster_id", "centroid").filter(F.col("centroid").isNotNull())
     asked = requests.select("request_id", "emb").filter(F.col("emb").isNotNull())
     schema = "request_id string, section string, cluster_id int, sim_centroid double"
@@ -161,12 +164,14 @@ def nearest_clusters_batch(view: DataFrame, requests: DataFrame, topk: int = TOP
         return each
 
     sc = view.sparkSession.sparkContext
-    if fits_broadcast(key, MATRIX_ROWS):
-        found = asked.mapInPandas(scan(sc.broadcast(key.toPandas()), False), schema)
-    elif fits_broadcast(asked, MATRIX_ROWS):
-        found = key.mapInPandas(scan(sc.broadcast(asked.toPandas()), True), schema)
-    else:
-        raise ValueError("neither the clusters nor the requests fit a broadcast; split the requests")
+    clusters, requested = key.count(), asked.count()
+    small, large, of_requests = (key, asked, False) if clusters <= requested else (asked, key, True)
+    blocks = max(1, -(-min(clusters, requested) // MATRIX_ROWS))
+    found = None
+    for b in range(blocks):
+        names = ["request_id"] if of_requests else ["section", "cluster_id"]
+        part = large.mapInPandas(scan(sc.broadcast(small.filter(F.pmod(F.xxhash64(*names), F.lit(blocks)) == b).toPandas()), of_requests), schema)
+        found = part if found is None else found.unionByName(part)
     by = Window.partitionBy("request_id").orderBy(F.desc(F.round("sim_centroid", 12)), "section", "cluster_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= topk)
 
@@ -180,3 +185,16 @@ def exemplar_posts(topics: DataFrame, posts: DataFrame, k: int) -> DataFrame:
 def cosine_top(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     q = vx.literal(query)
     return vectors.withColumn("cos", vx.cosine("emb", q)).filter(F.col("cos").isNotNull()).orderBy(F.desc("cos"), "post_id").limit(k)
+
+
+def style_and_topic(view: DataFrame, section: str, cluster_id: int) -> DataFrame:
+    """The style profile and the topic of one cluster; no row for an unknown one."""
+    return view.filter((F.col("section") == section) & (F.col("cluster_id") == cluster_id)).select("section", "cluster_id", "topic", "avg_len_tokens", "p95_len_tokens", "emoji_rate", "exclam_rate", "question_rate", "top_ngrams", "slang_ngrams")
+
+
+def similar_to_text(vectors: DataFrame, posts: DataFrame, text: str, k: int) -> DataFrame:
+    """(post_id, cos): the k posts most similar to the last post of exactly this text; none if there is no such post."""
+    anchor = posts.filter(F.col("text") == text).join(vectors.select(F.col("post_id").alias("id"), "emb"), "id").orderBy(F.desc("id")).limit(1).first()
+    if anchor is None:
+        return vectors.select("post_id", F.lit(0.0).alias("cos")).limit(0)
+    return cosine_top(vectors.filter(F.col("post_id") != anchor["id"]), [float(x) for x in anchor["emb"]], k).select("post_id", "cos")

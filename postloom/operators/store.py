@@ -15,6 +15,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*old.columns))
 
 
+def upsert_touched(old: DataFrame, new: DataFrame, keys: list[str], touched: str, as_of: str) -> DataFrame:
+    """upsert() with the time of the change in column ``touched`` of the new rows."""
+    return upsert(old, new.withColumn(touched, F.to_timestamp(F.lit(as_of))), keys)
+
+
 def insert_new(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """INSERT ... ON CONFLICT DO NOTHING: rows of ``new`` with an unknown key, the first by ``order`` of each key.
     A NULL key conflicts with nothing."""
@@ -59,6 +64,16 @@ class Snapshots:
         self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{name}/current")
         return path
 
+    def exists(self, name: str) -> bool:
+        """Whether a version of the table has become current."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/current")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def merge(self, name: str, new: DataFrame, keys: list[str], touched: str, as_of: str) -> str:
+        """Upsert by key into the current version, or the first version; changed rows get the time ``as_of``."""
+        rows = new.withColumn(touched, F.to_timestamp(F.lit(as_of)))
+        return self.write(name, upsert(self.read(name), rows, keys) if self.exists(name) else rows, keys)
+
     def read(self, name: str) -> DataFrame:
         version = self.spark.read.text(f"{self.folder}/{name}/current").first()[0]
         return self.spark.read.parquet(f"{self.folder}/{name}/v-{version}")

@@ -9,6 +9,7 @@ from postloom.functions import text as tx
 from postloom.functions import vectors as vx
 from postloom.operators import clustering, moderation, prompts, retrieval, store, style, trends
 from postloom.plans.oracle import SQL
+from postloom.sources import external
 from postloom.sources import tables as tb
 from postloom.storage import cut, read_table
 
@@ -84,6 +85,25 @@ def popularity_wanted(spark: SparkSession, d: str) -> DataFrame:
     return tb.cluster_topics(spark, d).filter("topic IS NOT NULL AND topic <> ''").select(*KEY, tx.request_phrase("topic").alias("phrase"))
 
 
+def plain_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return tb.cluster_topics(spark, d).filter("topic IS NOT NULL AND topic <> ''").select(*KEY, tx.plain_phrase("topic").alias("phrase"))
+
+
+def style_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles made anew replace those of the table and get the time of the change."""
+    old = tb.styles(spark, d).select(*KEY, "avg_len_tokens", "updated_at")
+    new = style_lengths(spark, d).select(*KEY, "avg_len_tokens").filter("section = 'pets'")
+    return store.upsert_touched(old, new, KEY, "updated_at", AS_OF).select(*KEY, "avg_len_tokens", F.unix_micros("updated_at").alias("updated_us"))
+
+
+def popularity_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Popularity rows with their greatest request, those of one section fetched anew."""
+    best = prompts.top_request(F.col("top_requests"))
+    rows = popularity(spark, d).select(*KEY, "total_count_30d", best["phrase"].alias("top_max_phrase"), best["count"].alias("top_max_count"))
+    old = rows.withColumn("requested_at", F.to_timestamp(F.lit("2025-06-01 00:00:00")))
+    return store.upsert_touched(old, rows.filter("section = 'music'"), KEY, "requested_at", AS_OF).withColumn("requested_us", F.unix_micros("requested_at")).drop("requested_at")
+
+
 def embeddings_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of titles replace and extend those of posts, by number."""
     old = tb.vectors(spark, d)
@@ -132,7 +152,13 @@ def centroid_norms(spark: SparkSession, d: str) -> DataFrame:
 
 def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
     rows = tb.assignments(spark, d).groupBy("cluster_id").agg(F.count("*").alias("n"))
-    return rows.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6))
+    total = rows.agg(F.sum("n").alias("_all"))  # one row
+    return rows.crossJoin(F.broadcast(total)).select("cluster_id", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"))
+
+
+def largest_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The eight largest clusters, a first look at a clustering."""
+    return tb.cluster_topics(spark, d).select(*KEY, "size_raw").orderBy(F.desc_nulls_last("size_raw"), *KEY).limit(8)
 
 
 def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -176,6 +202,17 @@ def cosine_topn(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.cosine_top(tb.vectors(spark, d), query_vector(spark, d), 10).select("post_id", F.round("cos", 6).alias("cos"))
 
 
+def similar_to_text(spark: SparkSession, d: str) -> DataFrame:
+    """The posts nearest to the one that holds the first text by order."""
+    posts = tb.current_topics(spark, d, "id", "text")
+    text = posts.filter("length(text) > 0").agg(F.min("text").alias("t")).first()["t"]
+    return retrieval.similar_to_text(tb.vectors(spark, d).filter(vx.norm("emb") > 0), posts, text, 10).select("post_id", F.round("cos", 6).alias("cos"))
+
+
+def style_topic(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.style_and_topic(view_of(spark, d), "pets", 0).select(*KEY, "topic", "avg_len_tokens", "p95_len_tokens", "top_ngrams", "slang_ngrams")
+
+
 def exemplar_posts(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.exemplar_posts(tb.cluster_topics(spark, d), tb.current_topics(spark, d, "id", "text"), 4)
 
@@ -227,6 +264,24 @@ def context_prompts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*KEY, prompts.context_prompt(tx.clean_title("topic"), words, F.col("total_count_30d"), F.col("examples"), F.slice("examples", 3, 4), F.lit(None).cast("string")).alias("prompt"))
 
 
+def topic_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """For each cluster the prompt that asks for its topic."""
+    return style.topic_groups(clustered_texts(spark, d), 10).select(*KEY, prompts.topic_prompt(F.col("examples")).alias("prompt"))
+
+
+def get_post(spark: SparkSession, d: str) -> DataFrame:
+    """A title and a text for every request: its prompt is taken apart, embedded and answered by a chat model (here the
+    stand-ins) from the context of the nearest cluster."""
+    parts = prompts.parse(prompts.build(F.col("bot_prompt"), F.col("profile_prompt"), F.col("user_prompt")))
+    asked = cut(responses(spark, d).groupBy("request_id").agg(*(F.max(c).alias(c) for c in ("bot_prompt", "profile_prompt", "user_prompt"))).select(F.col("request_id").cast("string").alias("request_id"), parts.alias("p")), "requests")
+    vectors = external.embed(asked.select("request_id", "p.user"), "request_id", "user", external.HashEmbedder(DIM))
+    near = retrieval.nearest_clusters_batch(tb.cluster_topics(spark, d).join(clusters_of(spark, d), "cluster_id").select(*KEY, "centroid"), vectors, 1)
+    context = asked.join(near.select("request_id", *KEY), "request_id", "left").join(context_prompts(spark, d), KEY, "left")
+    prompt = F.when(F.col("p.user") != "", F.concat_ws("\n\n", F.coalesce("prompt", F.lit("")), F.col("p.bot"), F.col("p.user")))
+    answers = external.ask_chat(context.select("request_id", prompt.alias("prompt")), "request_id", "prompt", external.TemplateChat())
+    return answers.select(F.col("request_id").cast("long").alias("request_id"), prompts.post_of(F.col("answer")).alias("post")).select("request_id", "post.post_title", "post.post_text")
+
+
 def clustered_texts(spark: SparkSession, d: str) -> DataFrame:
     rows = tb.assignments(spark, d).filter(F.col("cluster_id") != tb.NOISE)
     return rows.join(tb.current_topics(spark, d, "id", "text").withColumnRenamed("id", "topic_id"), "topic_id").select(*KEY, F.col("topic_id").alias("post_id"), "text")
@@ -270,6 +325,12 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "post_responses", "request_id", "user_prompt", "profile_prompt", "bot_prompt", "post_title", "post_text").distinct()
 
 
+def request_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Requests from their JSON form, with the sum of their counts."""
+    found = request_lists(spark, d).select("r", prompts.requests_from_json(F.to_json("top_requests")).alias("q"))
+    return found.select("r", F.size("q").alias("n"), F.aggregate("q", F.lit(0).cast("bigint"), lambda s, x: s + x["count"]).alias("total"), F.element_at("q", -1)["phrase"].alias("last"))
+
+
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     return responses(spark, d).select("request_id", prompts.build(F.col("bot_prompt"), F.col("profile_prompt"), F.col("user_prompt")).alias("prompt"))
 
@@ -313,6 +374,29 @@ def moderated(spark: SparkSession, d: str) -> DataFrame:
     return moderation.moderate(requests_of(spark, d), terms_of(spark, d), "request_id", "text").select("request_id", "decision", "reason", "text")
 
 
+def model_decision(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions by scores of models, for which shares made of the request's number stand in."""
+    share = lambda k, m: (F.col("request_id") * k % m) / F.lit(float(m))
+    scores = moderation.combine_scores({"insult": share(7, 101), "obscene": share(11, 97)}, {"drugs": share(13, 89), "weapons": share(17, 83)}, {"calls": share(19, 79)})
+    rows = requests_of(spark, d).select("request_id", scores.alias("s"))
+    rows = rows.withColumn("v", moderation.decide(F.create_map().cast("map<string,array<string>>"), F.col("s")))
+    return rows.select("request_id", *(F.round(F.col("s")[k], 6).alias(k) for k in ("profanity", "extremism_support", "illegal_content")), "v.decision", "v.reason")
+
+
+def moderation_answers(spark: SparkSession, d: str) -> DataFrame:
+    found = moderation.verdicts(moderation.moderate(requests_of(spark, d), terms_of(spark, d), "request_id", "text"), "request_id")
+    return found.select("request_id", "ok", F.array_join("labels", ",").alias("labels"), F.array_join("reasons", ",").alias("reasons"))
+
+
+def lemmatised(spark: SparkSession, d: str) -> DataFrame:
+    return moderation.lemmatised(requests_of(spark, d), terms_of(spark, d).filter("form NOT LIKE '% %'"), "request_id", "text")
+
+
+def expanded_forms(spark: SparkSession, d: str) -> DataFrame:
+    terms = terms_of(spark, d)
+    return moderation.expand_forms(terms.select("category", "lemma").distinct(), terms.select("lemma", "form").distinct())
+
+
 def normalised(spark: SparkSession, d: str) -> DataFrame:
     return requests_of(spark, d).select("request_id", tx.surface("text").alias("surface"), tx.compact("text").alias("compact"))
 
@@ -330,15 +414,23 @@ def knn_dist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eps_knee(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.knee(clustering.neighbour_distances(points(spark, d), 4), 4)
+    return clustering.knee(clustering.neighbour_distances(points(spark, d), 4), 4).select(F.round("eps", 4).alias("eps"))
 
 
 def dbscan(spark: SparkSession, d: str) -> DataFrame:
     return clustering.dbscan(points(spark, d), 0.9, 5)
 
 
+def automatic_eps(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(clustering.automatic_eps(points(spark, d)),)], "eps double").select(F.round("eps", 4).alias("eps"))
+
+
+def improved_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.improved_clusters(points(spark, d))
+
+
 def eps_grid(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.eps_grid(points(spark, d), [0.7, 0.8, 0.9], ("cosine",))
+    return clustering.eps_grid(points(spark, d), [0.7, 0.8, 0.9], ("cosine", "euclidean"))
 
 
 def kmeans(spark: SparkSession, d: str) -> DataFrame:
@@ -363,7 +455,7 @@ QUERIES = {
         recency, trend_score, trend_top, topics_dedup, topics_latest, topics_insert_new, next_id, pending_embeddings, pending_titles, popularity_wanted, embeddings_upsert, titles_update, section_backfill, section_replace, style_latest,
         repeated_keys, centroids, centroid_norms, cluster_sizes, unit_vectors, vector_text, retriever_view, nn_clusters, similar_posts, cosine_topn, exemplar_posts, style_exemplars, lex_match, trigram_sim, discover_clusters, rerank_posts,
         candidates_ranked, batch_nearest, context_prompts, style_lengths, style_rates, term_scores, keyphrases, topic_groups, cap_phrases, topic_clean, top_request, prompt_build, prompt_parse, post_parts, plain_hits, dict_hits,
-        moderation_decision, moderated, normalised, tfidf, knn_dist, eps_knee, dbscan, eps_grid, kmeans, pca, hdbscan, cluster_eval,
+        moderation_decision, moderated, normalised, largest_clusters, plain_phrases, style_upsert, popularity_upsert, similar_to_text, style_topic, topic_prompts, get_post, request_parse, model_decision, moderation_answers, lemmatised, expanded_forms, automatic_eps, improved_clusters, tfidf, knn_dist, eps_knee, dbscan, eps_grid, kmeans, pca, hdbscan, cluster_eval,
     )
 }
 

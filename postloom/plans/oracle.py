@@ -178,3 +178,102 @@ SQL = {
     "cluster_eval": f"""WITH {_M} SELECT count(DISTINCT cluster_id) FILTER (WHERE cluster_id <> -1) AS clusters, count(*) FILTER (WHERE cluster_id = -1) AS noise, count(*) AS rows,
         round(count(*) FILTER (WHERE cluster_id = -1) / nullif(count(*), 0), 6) AS noise_share FROM m""",
 }
+
+
+def _fold(x: str, joiner: str) -> str:
+    """The spelling that moderation compares, as an expression."""
+    s = f"translate(strip_accents(lower(coalesce({x}, ''))), '@4€31!|05$7+', 'aaeeiiiosstt')"
+    s = rf"regexp_replace({s}, '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}.,\-_*|+=~\\/]+', '{joiner}', 'g')"
+    s = f"list_reduce(list_prepend('', string_split({s}, '')), lambda a, c: CASE WHEN right(a, 2) = c || c THEN a ELSE a || c END)"
+    s = f"translate({s}, 'aeopcxykmtih', 'аеорсхукмтіһ')"
+    return rf"regexp_replace({s}, '[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\x{{0400}}-\x{{04FF}}\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+', '', 'g')"
+
+
+def _surface(x: str) -> str:
+    return rf"replace(trim(regexp_replace({_fold(x, ' ')}, '\s+', ' ', 'g')), 'ё', 'е')"
+
+
+def _compact(x: str) -> str:
+    return f"replace({_fold(x, '')}, 'ё', 'е')"
+
+
+_FORMS = f"""rq AS (SELECT request_id, max(text) AS text FROM moderation_requests GROUP BY request_id),
+nf AS MATERIALIZED (SELECT request_id, text, {_surface("text")} AS surface, {_compact("text")} AS compact FROM rq),
+tr0 AS (SELECT DISTINCT CASE category WHEN 'abuse' THEN 'profanity' WHEN 'hate_target' THEN 'extremism_support' WHEN 'sexual' THEN 'illegal_content' END AS category, lemma, form FROM moderation_terms WHERE form <> ''),
+tf0 AS MATERIALIZED (SELECT category, lemma, contains(trim(form), ' ') AS phrase, {_surface("form")} AS surface, {_compact("form")} AS compact FROM tr0),
+fm AS (SELECT 0 AS kind, surface AS form, category, min(lemma) AS lemma FROM tf0 WHERE surface <> '' GROUP BY ALL UNION ALL SELECT 1, compact, category, min(lemma) FROM tf0 WHERE NOT phrase AND compact <> '' GROUP BY ALL),
+hp AS (SELECT DISTINCT request_id, category, lemma FROM nf JOIN fm ON contains(CASE kind WHEN 0 THEN surface ELSE compact END, form)),
+hc AS (SELECT request_id, category, list_sort(list(lemma)) AS lemmas FROM hp GROUP BY ALL),
+hd AS (SELECT request_id, bool_or(category = 'illegal_content') AS i, bool_or(category = 'extremism_support') AS e, bool_or(category = 'profanity') AS p, list_distinct(flatten(list(lemmas))) AS lemmas, list_sort(list(category)) AS labels FROM hc GROUP BY request_id),
+dc0 AS (SELECT request_id, text, lemmas, labels, CASE WHEN i OR e THEN 'block' WHEN p THEN 'redact' ELSE 'allow' END AS decision,
+  CASE WHEN i THEN 'illegal_content' WHEN e THEN 'extremism_support' WHEN p THEN 'profanity' ELSE 'clean' END AS reason FROM rq LEFT JOIN hd USING (request_id))"""
+_REDACTED = r"""list_reduce(list_prepend(text, list_sort(list_transform(lemmas, lambda l: {'n': -length(l), 'l': l})).list_transform(lambda z: z.l)),
+  lambda a, l: regexp_replace(a, array_to_string(list_transform(string_split(l, ''), lambda c: regexp_escape(c)), '[^\p{L}\p{N}_]*'), '[REDACTED]', 'gi'))"""
+_TERMS = SQL["term_scores"].rsplit("SELECT section, cluster_id, term, n, round(", 1)[0]
+_PHRASES = f"""{_TERMS},
+sc AS (SELECT section, cluster_id, term, contains(term, ' ') AS phrase, row_number() OVER (PARTITION BY section, cluster_id, contains(term, ' ') ORDER BY n DESC, term) AS rn FROM y),
+ls AS (SELECT section, cluster_id, coalesce(list(term ORDER BY rn) FILTER (WHERE phrase AND rn <= 60), []) AS p, coalesce(list(term ORDER BY rn) FILTER (WHERE NOT phrase AND rn <= 120), []) AS w FROM sc GROUP BY ALL),
+kp AS (SELECT section, cluster_id, w, list_reduce(list_prepend([]::VARCHAR[], list_transform(p, lambda t: [t])), lambda acc, x: CASE WHEN len(acc) >= 20 OR len(list_filter(acc, lambda t:
+  len(list_intersect(string_split(x[1], ' '), string_split(t, ' '))) / least(len(list_distinct(string_split(x[1], ' '))), len(list_distinct(string_split(t, ' ')))) >= 0.66)) > 0 THEN acc ELSE list_concat(acc, x) END) AS top_ngrams FROM ls)"""
+_NEAR = "WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, sqrt(greatest(0, list_aggregate(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) ** 2), 'sum'))) AS l FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
+
+
+def _quantile(k: int, n: int) -> str:
+    """Values of the k-th neighbour distance at n ranks, on the grid of the histogram."""
+    return f"""r AS (SELECT d FROM (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS rank FROM p) WHERE rank = {k}),
+    o AS (SELECT floor(d / ((SELECT max(d) FROM r) / 100000)) * ((SELECT max(d) FROM r) / 100000) AS d, row_number() OVER (ORDER BY d) - 1 AS pos FROM r),
+    q AS (SELECT i, (SELECT o.d FROM o WHERE pos = floor(i / {n - 1}.0 * ((SELECT count(*) FROM r) - 1))) AS d FROM range(0, {n}) t(i))"""
+
+
+def _density(name: str, eps: float, least: int, column: str = "d") -> str:
+    """CTEs of density clusters over the pairs p: {name}(id, label)."""
+    return f"""{name}_c AS (SELECT vec_id AS id FROM embeddings LEFT JOIN p ON p.id = vec_id AND {column} <= {eps} GROUP BY vec_id HAVING count(p.id) + 1 >= {least}),
+    {name}_e AS (SELECT p.id AS a, p.other AS b FROM p JOIN {name}_c x ON x.id = p.id JOIN {name}_c y ON y.id = p.other WHERE {column} <= {eps}),
+    {name}_l(id, label) USING KEY (id) AS (SELECT id, id FROM {name}_c UNION (SELECT e.b, min(c.label) FROM {name}_l c JOIN {name}_e e ON e.a = c.id JOIN recurring.{name}_l r ON r.id = e.b WHERE c.label < r.label GROUP BY e.b)),
+    {name} AS (SELECT vec_id AS id, coalesce((SELECT label FROM {name}_l l WHERE l.id = vec_id), (SELECT min(l.label) FROM p JOIN {name}_l l ON l.id = p.other WHERE p.id = vec_id AND {column} <= {eps}), -1) AS label FROM embeddings)"""
+
+
+_GRID = [("cosine", "d", e) for e in (0.7, 0.8, 0.9)] + [("euclidean", "l", e) for e in (0.7, 0.8, 0.9)]
+_SHARES = {"insult": (7, 101), "obscene": (11, 97), "drugs": (13, 89), "weapons": (17, 83), "calls": (19, 79)}
+_SHARE = {k: f"(request_id * {a} % {m}) / {m}.0" for k, (a, m) in _SHARES.items()}
+_WANTED = lambda signs: rf"left(trim(regexp_replace(regexp_replace(regexp_replace(topic, '(?i)https?://\S+|www\.\S+', ' ', 'g'), '[^{signs}]', ' ', 'g'), '\s+', ' ', 'g')), 256)"
+SQL |= {
+    "popularity_wanted": f"""WITH {_CT} SELECT section, cluster_id, {_WANTED('A-Za-zА-Яа-яЁё0-9' + chr(92) + 's+' + chr(92) + '-|!' + chr(92) + '[' + chr(92) + ']()"«»')} AS phrase FROM ct WHERE topic IS NOT NULL AND topic <> ''""",
+    "plain_phrases": f"""WITH {_CT} SELECT section, cluster_id, {_WANTED('A-Za-zА-Яа-яЁё0-9' + chr(92) + 's')} AS phrase FROM ct WHERE topic IS NOT NULL AND topic <> ''""",
+    "normalised": f"WITH {_FORMS} SELECT request_id, surface, compact FROM nf",
+    "dict_hits": f"WITH {_FORMS} SELECT request_id, category, array_to_string(lemmas, ',') AS lemmas FROM hc",
+    "moderated": f"WITH {_FORMS} SELECT request_id, decision, reason, CASE decision WHEN 'allow' THEN text WHEN 'redact' THEN {_REDACTED} END AS text FROM dc0",
+    "moderation_answers": f"WITH {_FORMS} SELECT request_id, decision <> 'block' AS ok, coalesce(array_to_string(labels, ','), '') AS labels, CASE decision WHEN 'allow' THEN '' ELSE reason END AS reasons FROM dc0",
+    "lemmatised": f"""WITH {_FORMS}, lm AS (SELECT {_surface("form")} AS w, min({_surface("lemma")}) AS l FROM tr0 WHERE form NOT LIKE '% %' GROUP BY 1),
+        ws AS (SELECT request_id, unnest(string_split(surface, ' ')) AS w, unnest(range(0, len(string_split(surface, ' ')))) AS pos FROM nf)
+        SELECT request_id, string_agg(coalesce(l, ws.w), ' ' ORDER BY pos) AS text FROM ws LEFT JOIN lm ON lm.w = ws.w GROUP BY request_id""",
+    "expanded_forms": """WITH t AS (SELECT DISTINCT CASE category WHEN 'abuse' THEN 'profanity' WHEN 'hate_target' THEN 'extremism_support' WHEN 'sexual' THEN 'illegal_content' END AS category, lemma, form FROM moderation_terms)
+        SELECT DISTINCT category, lemma, lemma AS form FROM t UNION SELECT a.category, a.lemma, b.form FROM t a JOIN t b ON a.lemma = b.lemma WHERE NOT contains(trim(a.lemma), ' ') AND b.form IS NOT NULL""",
+    "model_decision": f"""WITH rq AS (SELECT DISTINCT request_id FROM moderation_requests), s AS (SELECT request_id, greatest({_SHARE['insult']}, {_SHARE['obscene']}) AS p, {_SHARE['calls']} AS e0, greatest({_SHARE['drugs']}, {_SHARE['weapons']}) AS i0 FROM rq),
+        g AS (SELECT request_id, p, CASE WHEN e0 >= 0.6 THEN e0 ELSE 0 END AS e, greatest(CASE WHEN i0 >= 0.6 THEN i0 ELSE 0 END, CASE WHEN e0 >= 0.6 THEN e0 ELSE 0 END) AS i FROM s)
+        SELECT request_id, round(p, 6) AS profanity, round(e::DOUBLE, 6) AS extremism_support, round(i::DOUBLE, 6) AS illegal_content, CASE WHEN i >= 0.8 OR e >= 0.8 THEN 'block' WHEN p >= 0.65 THEN 'redact' WHEN i >= 0.5 OR e >= 0.5 THEN 'review' ELSE 'allow' END AS decision,
+        CASE WHEN i >= 0.8 THEN 'illegal_content' WHEN e >= 0.8 THEN 'extremism_support' WHEN p >= 0.65 THEN 'profanity' WHEN i >= 0.5 OR e >= 0.5 THEN 'uncertain_high_risk' ELSE 'clean' END AS reason FROM g""",
+    "largest_clusters": f"WITH {_CT} SELECT section, cluster_id, size_raw FROM ct ORDER BY size_raw DESC NULLS LAST, section, cluster_id LIMIT 8",
+    "style_upsert": rf"""WITH {_T}, {_M}, {_CS}, {_CL}, n AS (SELECT section, cluster_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+'), lambda x: x <> '')) AS n FROM cl WHERE section = 'pets'),
+        w AS (SELECT section, cluster_id, trunc(avg(n))::INTEGER AS a FROM n GROUP BY ALL) SELECT section, cluster_id, a AS avg_len_tokens, epoch_us(TIMESTAMPTZ '2025-07-01 00:00:00+00') AS updated_us FROM w
+        UNION ALL SELECT section, cluster_id, avg_len_tokens, epoch_us(updated_at) FROM cs WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.section = cs.section AND w.cluster_id = cs.cluster_id)""",
+    "popularity_upsert": f"""WITH {_CT}, {_POP} SELECT section, cluster_id, pop.total_count_30d, pr.phrase AS top_max_phrase, pr.cnt AS top_max_count,
+        epoch_us(CASE WHEN section = 'music' THEN TIMESTAMPTZ '2025-07-01 00:00:00+00' ELSE TIMESTAMPTZ '2025-06-01 00:00:00+00' END) AS requested_us FROM pop JOIN pr ON pr.r = cluster_id % 211 AND pr.rn = 1""",
+    "request_parse": f"WITH {_CT}, {_POP} SELECT r, count(*)::INTEGER AS n, sum(cnt)::BIGINT AS total, max_by(phrase, p_partkey) AS last FROM pr WHERE rn <= 10 GROUP BY r",
+    "similar_to_text": f"""WITH {_T}, {_E}, v AS (SELECT * FROM e WHERE list_dot_product(emb::DOUBLE[], emb::DOUBLE[]) > 0),
+        a AS (SELECT id, emb FROM t JOIN v ON v.post_id = t.id WHERE text = (SELECT min(text) FROM t WHERE length(text) > 0) ORDER BY id DESC LIMIT 1)
+        SELECT post_id, round(list_cosine_similarity(v.emb::DOUBLE[], a.emb::DOUBLE[]), 6) AS cos FROM v, a WHERE post_id <> a.id ORDER BY list_cosine_similarity(v.emb::DOUBLE[], a.emb::DOUBLE[]) DESC, post_id LIMIT 10""",
+    "style_topic": f"""WITH {_VIEW} SELECT section, cluster_id, ct.topic, avg_len_tokens, p95_len_tokens, top_ngrams, slang_ngrams FROM ct JOIN cen USING (cluster_id) LEFT JOIN cs USING (section, cluster_id) WHERE section = 'pets' AND cluster_id = 0""",
+    "topic_prompts": rf"""WITH {_T}, {_M}, {_CL}, g AS (SELECT section, cluster_id, list(text ORDER BY post_id)[1:10] AS x FROM (SELECT *, row_number() OVER (PARTITION BY section, cluster_id ORDER BY post_id) AS rn FROM cl) WHERE rn <= 10 GROUP BY ALL),
+        k AS (SELECT section, cluster_id, list_filter(list_transform(x, lambda t: trim(t)), lambda t: t <> '') AS x FROM g),
+        h AS (SELECT section, cluster_id, x, flatten(list_transform(x, lambda t: regexp_extract_all(t, '(?:[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ][а-яё]+){{1,3}})|(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+){{1,3}})')))[1:12] AS h FROM k)
+        SELECT section, cluster_id, 'Name one simple topic of these texts in three to ten words, without quotes.' || chr(10) || chr(10) || 'Texts:' || chr(10) || CASE WHEN len(x) > 0 THEN array_to_string(list_transform(x, lambda t: '- ' || left(t, 700)), chr(10)) ELSE '-' END
+        || chr(10) || chr(10) || 'Names in them: ' || CASE WHEN len(h) > 0 THEN array_to_string(h, ', ') ELSE '-' END AS prompt FROM h""",
+    "keyphrases": f"{_PHRASES} SELECT section, cluster_id, top_ngrams, list_filter(w, lambda t: NOT list_contains(flatten(list_transform(top_ngrams, lambda x: string_split(x, ' '))), t))[1:12] AS slang_ngrams FROM kp",
+    "eps_knee": f"{_NEAR}, {_quantile(4, 256)}, b AS (SELECT i, d, round(lead(d) OVER (ORDER BY i) - 2 * d + lag(d) OVER (ORDER BY i), 9) AS bend FROM q) SELECT round(d, 4) AS eps FROM b WHERE bend IS NOT NULL ORDER BY bend DESC, i LIMIT 1",
+    "automatic_eps": f"{_NEAR}, {_quantile(2, 3)} SELECT round(0.85 * d, 4) AS eps FROM q WHERE i = 1",
+    "dbscan": f"{_NEAR.replace('WITH', 'WITH RECURSIVE')}, {_density('s', 0.9, 5)} SELECT id, label FROM s",
+    "eps_grid": f"{_NEAR.replace('WITH', 'WITH RECURSIVE')}, {', '.join(_density(f's{i}', e, 5, c) for i, (_, c, e) in enumerate(_GRID))}, a AS ("
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, {e}::DOUBLE AS eps, count(DISTINCT label) FILTER (WHERE label <> -1) AS clusters, count(*) FILTER (WHERE label = -1) AS noise FROM s{i}" for i, (m, _, e) in enumerate(_GRID))
+    + ") SELECT *, row_number() OVER (ORDER BY noise, clusters DESC, metric, eps) = 1 AS best FROM a",
+}

@@ -30,7 +30,7 @@ def test_popularity_retries_and_gives_up(spark):
     wanted = spark.createDataFrame([("s", 1, "good"), ("s", 2, "bad")], "section string, cluster_id int, phrase string")
     got = {r["cluster_id"]: r for r in external.fetch_popularity(wanted, ask, tries=3, pause=0.0).collect()}
     assert got[1]["total_count_30d"] == 7 and got[1]["associations"][0]["count"] == 0 and got[2]["total_count_30d"] is None
-    assert external.reachable(lambda _: {}) and not external.reachable(lambda p: ask("bad")) and calls == []
+    assert external.probe(lambda _: {"totalCount": 1})["ok"] and not external.probe(lambda _: {})["ok"] and "refused" in external.probe(lambda _: (_ for _ in ()).throw(OSError("refused")))["reason"] and calls == []
 
 
 def test_embedder_and_parsers(spark, tmp_path):
