@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from postloom.storage import cut
 
 #: Rows of the samples on which the first centroids and those inside of lists are fitted.
-SAMPLE_ROWS, INNER_ROWS = 20_000, 200_000
+SAMPLE_ROWS, INNER_ROWS = 20_000, 40_000
 #: Rows a list should hold, and rows beyond which it is divided.
 LIST_ROWS, BLOCK_ROWS = 6_000, 8_192
 #: Rows of a list for searches, rows beyond which one is divided, and lists a query probes for its first radius.
@@ -144,13 +144,15 @@ class Lists:
 
     @classmethod
     def fit(cls, vectors: DataFrame, sample: np.ndarray, n: int, turn: np.ndarray, list_rows: int, most_rows: int, seed: int = SEED) -> Lists:
-        """``sample`` are rotated vectors; where lists must be divided a larger sample is drawn. Every vector is indexed."""
+        """``sample`` are rotated vectors; where it has too few rows of a list that must be divided, a larger one is drawn. Every
+        vector is indexed."""
         c = fit_centroids(sample, min(MOST_LISTS, -(-n // list_rows)), seed=seed)
         inner = [c[k : k + 1] for k in range(len(c))]
         own = ((c * c).sum(1) - 2 * sample @ c.T).argmin(1)
         share = np.bincount(own, minlength=len(c)) * (n / len(sample))
         if (share > most_rows).any():
-            if n > len(sample):
+            few = np.bincount(own, minlength=len(c)) < 4 * np.ceil(share / list_rows)  # too few rows to divide a list by
+            if n > len(sample) and (few & (share > most_rows)).any():
                 sample = sample_of(vectors, INNER_ROWS)[0] @ turn
                 own = ((c * c).sum(1) - 2 * sample @ c.T).argmin(1)
                 share = np.bincount(own, minlength=len(c)) * (n / len(sample))
