@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.storage import BROADCAST_ROWS, fits_broadcast, spread
+from postloom.storage import BROADCAST_ROWS, cut, fits_broadcast, spread
 
 #: Distinct texts of a host that share a line before it counts as boilerplate, and their least share of the host's texts.
 RECURRENT, SHARE = 5, 0.02
@@ -240,6 +240,7 @@ def find_residue(docs: DataFrame, doc_id: str = "doc_id", host: str = "source",
     keys = F.array_distinct(F.transform(F.filter(F.split("_text", "\n"), lambda x: F.trim(x) != ""), key))
     lines = rows.select("_host", F.xxhash64("_text").alias("_copy"), F.explode(F.concat(keys, F.array(F.lit(None).cast("long")))).alias("_key"))  # NULL stands for the text
     counts = lines.groupBy("_host", "_key", "_copy").agg(F.lit(1)).groupBy("_host", "_key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= recurrent)
+    counts = cut(counts, "lines")  # texts are read once for all that follows from the counts
     total = counts.filter(F.col("_key").isNull()).select(F.col("_host").alias("_h"), F.col("_n").alias("_all"))
     common = counts.filter(F.col("_key").isNotNull()).join(total, F.col("_host") == F.col("_h")).filter(F.col("_n") >= share * F.col("_all")).select("_host", "_key")
     if fits_broadcast(common, broadcast_rows):
