@@ -75,8 +75,10 @@ def block_pairs(vectors: DataFrame, extra: list[str] | None = None, block: int =
     meets = {c: [b for o in sorted(size) if between[c, o] - size[c][1] - size[o][1] <= far + 1e-6 for b in range(parts[o][0], sum(parts[o]))] for c in sorted(size)}
     known = vectors.sparkSession.createDataFrame([(c, parts[c][0], parts[c][1], meets[c]) for c in sorted(size)], "_c int, _first int, _n int, _meets array<int>")
     placed = rows.join(cells.select("id", "_c"), "id").join(F.broadcast(known), "_c").withColumn("_b", (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_n"))).cast("int"))
-    keep = ["id", "emb", *(extra or []), "_b"]
-    return placed.select(*keep, F.explode("_meets").alias("_q")).withColumnRenamed("_b", "_p"), placed.select(*keep, F.explode("_meets").alias("_p")).withColumnRenamed("_b", "_q")
+    placed = cut(placed, "placed")
+    keep = [F.col(c).alias(c) for c in ("id", "emb", *(extra or []))]
+    left, right = (placed.select(*keep, F.col("_b").alias(a), F.explode("_meets").alias(b)) for a, b in (("_p", "_q"), ("_q", "_p")))
+    return left, right
 
 
 def _flat(x: np.ndarray, metric: str) -> np.ndarray:

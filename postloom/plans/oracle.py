@@ -277,3 +277,14 @@ SQL |= {
     + " UNION ALL ".join(f"SELECT '{m}' AS metric, {e}::DOUBLE AS eps, count(DISTINCT label) FILTER (WHERE label <> -1) AS clusters, count(*) FILTER (WHERE label = -1) AS noise FROM s{i}" for i, (m, _, e) in enumerate(_GRID))
     + ") SELECT *, row_number() OVER (ORDER BY noise, clusters DESC, metric, eps) = 1 AS best FROM a",
 }
+_SHORT = lambda xs, n, k: rf"array_to_string(list_transform(coalesce({xs}, [])[1:{k}], lambda x: '- ' || left(regexp_replace(x, '\s*\n\s*', ' ', 'g'), {n})), chr(10))"
+SQL["context_prompts"] = rf"""WITH {_VIEW}, ta AS (SELECT r, list(phrase ORDER BY p_partkey) AS ps FROM pr WHERE rn <= 10 GROUP BY r), tb AS (SELECT r, phrase AS best FROM pr WHERE rn = 1),
+    ex AS (SELECT x.section, x.cluster_id, list(text ORDER BY position) AS examples FROM (SELECT section, cluster_id, unnest(range(0, least(len(exemplars), 4)::BIGINT)) AS position, exemplars FROM ct) x JOIN t ON t.id = exemplars[position + 1] GROUP BY ALL),
+    vw AS (SELECT ct.section, ct.cluster_id, {_TITLE} AS s, topic, pop.total_count_30d AS total, best, ps, top_ngrams, slang_ngrams, examples FROM ct JOIN cen USING (cluster_id) LEFT JOIN cs USING (section, cluster_id) LEFT JOIN pop USING (section, cluster_id)
+      LEFT JOIN tb ON pop.total_count_30d IS NOT NULL AND tb.r = ct.cluster_id % 211 LEFT JOIN ta ON pop.total_count_30d IS NOT NULL AND ta.r = ct.cluster_id % 211 LEFT JOIN ex USING (section, cluster_id)),
+    mg AS (SELECT *, CASE WHEN length(s) > 120 THEN regexp_replace(left(s, 120), '\s+\S*$', '') ELSE s END AS cut, list_transform(list_concat(CASE WHEN best IS NULL THEN [] ELSE [best] END,
+      list_filter(list_transform(coalesce(ps, []), lambda x: trim(x)), lambda x: x <> '')[1:5], coalesce(top_ngrams, [])[1:10], coalesce(slang_ngrams, [])[1:8]), lambda x: trim(regexp_replace(regexp_replace(x, '["''«»“”„]', '', 'g'), '\s+', ' ', 'g'))) AS words FROM vw),
+    uf AS (SELECT *, list_filter(words, lambda x: len(list_filter(string_split(lower(x), ' '), lambda w: w <> '' AND w NOT IN ({_STOP}))) > 0) AS useful FROM mg),
+    kw AS (SELECT *, list_reduce(list_prepend([]::VARCHAR[], list_transform(useful, lambda x: [x])), lambda acc, x: CASE WHEN list_contains(list_transform(acc, lambda y: lower(y)), lower(x[1])) THEN acc ELSE list_concat(acc, x) END)[1:6] AS k FROM uf)
+    SELECT section, cluster_id, concat_ws(chr(10), 'Topic: ' || coalesce(upper(left(cut, 1)) || substr(cut, 2), 'any'), 'Keywords: ' || array_to_string(k, ', '), 'Requests a month: ' || replace(format('{{:,}}', coalesce(total, 0)), ',', ' '), 'Author: anyone', 'Examples:',
+    {_SHORT('examples', 300, 2)}, 'Also written:', {_SHORT('examples[3:6]', 200, 4)}) AS prompt FROM kw"""

@@ -11,6 +11,7 @@ from postloom.functions import text as tx
 from postloom.operators import clustering, prompts, retrieval, store, style, trends
 from postloom.sources import external
 from postloom.sources import tables as tb
+from postloom.storage import release
 
 KEY = ["section", "cluster_id"]
 
@@ -54,4 +55,5 @@ def run(spark: SparkSession, posts: DataFrame, target: str, as_of: str, embedder
     out.merge("topic_popularity", found, KEY, "requested_at", as_of)
     out.write("cluster_recency", trends.recency(assigned, texts, as_of), KEY)
     out.write("cluster_trend_score", trends.trend(out.read("topic_popularity"), out.read("cluster_recency")), KEY)
+    release(spark)  # all stages are written
     return out

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a lookup side that may be broadcast; beyond it operators take a shuffled join.
 BROADCAST_ROWS = 2_000_000
+#: Tables written by cut(), by application.
+_written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,10 +34,21 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, so that later stages depend on files only."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/postloom-{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete what cut() has written in this application; for callers that have written or collected all their results.
+    Gives the number of tables deleted."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """One table of a data folder, pruned to ``columns`` at the scan; clashing or extra columns are never read."""
     df = spark.read.parquet(os.path.join(folder, f"{name}.parquet"))

@@ -137,3 +137,49 @@ def test_single_cluster_section_has_no_single_words(spark):
     df = spark.createDataFrame([("s", 1, 1, "alpha beta")], "section string, cluster_id int, post_id long, text string")
     out = style.key_phrases(style.exclusive_terms(style.term_counts(df))).first()
     assert out["top_ngrams"] == ["alpha beta"] and out["slang_ngrams"] == []
+
+
+@pytest.mark.parametrize("metric,eps", [("cosine", 0.05), ("euclidean", 0.4)])
+def test_density_clusters_over_cells_are_those_over_all_pairs(spark, monkeypatch, metric, eps):
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=(12, 8))
+    x = np.concatenate([c[rng.integers(0, 12, 400)] + rng.normal(size=(400, 8)) * 0.12, rng.normal(size=(60, 8)), np.repeat(c[:1], 90, 0)])
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, emb array<double>")
+    want = dict(map(tuple, clustering.dbscan(df, eps, 5, metric).collect()))
+    monkeypatch.setattr(clustering, "BLOCK", 16)
+    left, _ = clustering.block_pairs(df, None, 16, eps, metric)
+    every, _ = clustering.block_pairs(df, None, 16)
+    monkeypatch.setattr(clustering, "MOST_PLAIN", 0)
+    assert left.count() < every.count() * 0.9
+    assert dict(map(tuple, clustering.dbscan(df, eps, 5, metric).collect())) == want and len(set(want.values())) > 5
+
+
+def test_quantiles_by_histogram(spark):
+    rng = np.random.default_rng(1)
+    v = np.concatenate([rng.random(500), [0.5] * 300, [2.0]])
+    df = spark.createDataFrame([(float(a),) for a in v] + [(None,)], "d double")
+    got = [q for _, q in rows(clustering.quantiles(df, "d", 11), "i")]
+    want = np.sort(v)[np.floor(np.arange(11) / 10 * 800).astype(int)]
+    assert np.allclose(got, want, atol=3e-5) and clustering.quantiles(df.limit(0), "d", 5).count() == 0
+
+
+def test_batch_search_in_blocks_gives_what_one_gives(spark, monkeypatch):
+    view = spark.createDataFrame([("s", k, [float(k % 5), float(k % 3), 1.0]) for k in range(20)], "section string, cluster_id int, centroid array<double>")
+    asked = spark.createDataFrame([(f"r{k}", [1.0, float(k), 0.5]) for k in range(9)], "request_id string, emb array<double>")
+    one = rows(retrieval.nearest_clusters_batch(view, asked, 3))
+    monkeypatch.setattr(retrieval, "MATRIX_ROWS", 4)
+    assert rows(retrieval.nearest_clusters_batch(view, asked, 3)) == one and len(one) == 27
+    assert rows(retrieval.nearest_clusters_batch(view, asked.unionByName(asked.selectExpr("concat(request_id, 'x') AS request_id", "emb")).unionByName(asked.selectExpr("concat(request_id, 'y') AS request_id", "emb")), 3).filter("length(request_id) = 2")) == one
+
+
+def test_improved_clusters_and_automatic_eps(spark):
+    rng = np.random.default_rng(2)
+    c = np.eye(6) * 3
+    x = c[np.arange(240) % 6] + rng.normal(size=(240, 6)) * 0.05
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, emb array<double>")
+    assert 0 < clustering.automatic_eps(df) < 0.01
+    got = dict(map(tuple, clustering.dbscan(df, None, 5).collect()))
+    assert len({got[i] for i in range(240) if got[i] >= 0}) >= 6 and all(got[i] == -1 or got[i] % 6 == i % 6 for i in got)
+    better = dict(map(tuple, clustering.improved_clusters(df).collect()))
+    assert all(better[i] == -1 or better[i] % 6 == i % 6 for i in better) and len(better) == 240
+    assert rows(clustering.improved_clusters(df.limit(2)).select("label")) == [(-1,), (-1,)]

@@ -58,3 +58,11 @@ def test_cut_and_size_check(spark):
     assert cut(spark.range(4)).count() == 4
     assert fits_broadcast(spark.range(4), 4) and not fits_broadcast(spark.range(5), 4)
     assert "LocalTableScan" not in cut(spark.range(4))._jdf.queryExecution().toString() and "parquet" in cut(spark.range(4))._jdf.queryExecution().toString().lower()
+
+
+def test_release_deletes_what_was_cut(spark):
+    from postloom import storage
+
+    storage.release(spark)
+    df = storage.cut(spark.range(5), "t")
+    assert df.count() == 5 and storage.release(spark) == 1 and storage.release(spark) == 0
