@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,10 +46,12 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower().replace("ё", "е"))
 
 
-def word_ids(tokens: list[str]) -> np.ndarray:
+_word_id = lru_cache(1 << 18)(xxhash.xxh64_intdigest)
+
+
+def word_ids(tokens: Iterable[str], n: int = -1) -> np.ndarray:
     """A 64-bit number for each word."""
-    known: dict[str, int] = {}
-    return np.fromiter((known[t] if t in known else known.setdefault(t, xxhash.xxh64_intdigest(t)) for t in tokens), np.uint64, len(tokens))
+    return np.fromiter(map(_word_id, tokens), np.uint64, n)
 
 
 def gram_ids(ids: np.ndarray, n: int = SEED_N) -> np.ndarray:
@@ -192,18 +196,21 @@ def _scan(batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
     of them close together."""
     known: Grams = held.value
     for pdf in batches:
-        count = np.zeros(len(known.grams), np.int64)
-        ids, texts = [], []
-        for d, text in zip(pdf["doc_id"], pdf["_text"], strict=True):
-            pos, at = known.hits(gram_ids(word_ids(words(text))))
-            if len(pos):
-                count[np.unique(at)] += 1
-                if len(pos) >= SHARED and len(known.dense(pos, at)):
-                    ids.append(d)
-                    texts.append(text)
+        each = [words(t) for t in pdf["_text"]]
+        bounds = np.cumsum([0, *map(len, each)])
+        pos, at = known.hits(gram_ids(word_ids(chain.from_iterable(each), int(bounds[-1]))))
+        doc = np.searchsorted(bounds, pos, "right") - 1
+        inside = pos + SEED_N <= bounds[doc + 1]
+        pos, at, doc = pos[inside], at[inside], doc[inside]
+        count = np.bincount(np.unique(doc * len(known.grams) + at) % len(known.grams), minlength=len(known.grams))
+        chosen = []
+        for d in np.flatnonzero(np.bincount(doc, minlength=1) >= SHARED):
+            lo, hi = np.searchsorted(doc, [d, d + 1])
+            if len(known.dense(pos[lo:hi], at[lo:hi])):
+                chosen.append(d)
         k = np.flatnonzero(count)
-        none = [None] * len(k)
-        yield pd.DataFrame({"gram": [*known.grams[k].view(np.int64).tolist(), *[None] * len(ids)], "n": [*count[k].tolist(), *[None] * len(ids)], "doc_id": [*none, *ids], "_text": [*none, *texts]}, dtype=object)
+        none, rest = [None] * len(k), [None] * len(chosen)
+        yield pd.DataFrame({"gram": [*known.grams[k].view(np.int64).tolist(), *rest], "n": [*count[k].tolist(), *rest], "doc_id": [*none, *pdf["doc_id"].iloc[chosen]], "_text": [*none, *pdf["_text"].iloc[chosen]]}, dtype=object)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", block_grams: int = BLOCK_GRAMS) -> DataFrame:
