@@ -158,7 +158,7 @@ def communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int
 
 
 def _propose(vectors: DataFrame, least: float, seed: int, seats: int, edges: bool) -> tuple[DataFrame, DataFrame | None] | None:
-    """Communities over all blocks: (label, n, total), and with ``edges`` the links of each vector in its own block as
+    """Communities over all blocks: (label, n, total), and with ``edges`` the links of each vector in its blocks as
     (name, near, weights). ``vectors`` are (name, emb, copies)."""
     spark = vectors.sparkSession
     sample, n = sample_of(vectors, SAMPLE_ROWS)
@@ -173,8 +173,7 @@ def _propose(vectors: DataFrame, least: float, seed: int, seats: int, edges: boo
                 v = stack(pdf["emb"])
                 row, to = held.value.nearest(v, seats)
                 payload = packed(v)
-                own = np.concatenate([[True], row[1:] != row[:-1]])
-                yield pd.DataFrame({"cell": to.astype(np.int32), "own": own, "name": pdf["name"].to_numpy()[row], "copies": pdf["copies"].to_numpy()[row], "vec": [payload[i] for i in row]})
+                yield pd.DataFrame({"cell": to.astype(np.int32), "name": pdf["name"].to_numpy()[row], "copies": pdf["copies"].to_numpy()[row], "vec": [payload[i] for i in row]})
 
     def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("name")
@@ -187,7 +186,7 @@ def _propose(vectors: DataFrame, least: float, seed: int, seats: int, edges: boo
         used = (ties >= TIES) | (copies > 1)
         columns = ["name", "label", "n", "total", "near", "weights"]
         parts = []
-        names, own = pdf["name"].to_numpy(), pdf["own"].to_numpy()
+        names = pdf["name"].to_numpy()
         tag = f"{int(pdf['cell'].iloc[0])}." if len(pdf) else ""
         if used.any():
             parts.append(pd.DataFrame({"name": names[used], "label": [tag + str(k) for k in label[used]], "n": None, "total": None, "near": None, "weights": None}))
@@ -195,13 +194,12 @@ def _propose(vectors: DataFrame, least: float, seed: int, seats: int, edges: boo
             total = np.zeros((len(ks), dim), np.float64)
             np.add.at(total, inv, x[used] * copies[used, None])
             parts.append(pd.DataFrame({"name": None, "label": [tag + str(k) for k in ks], "n": np.bincount(inv, copies[used], len(ks)).astype(int), "total": list(total), "near": None, "weights": None}))
-        if edges and own.any():
-            good = (nb >= 0) & (sim >= least)
-            at = [np.flatnonzero(g) for g in good[own]]
-            parts.append(pd.DataFrame({"name": names[own], "label": None, "n": None, "total": None, "near": [names[r[k]] for r, k in zip(nb[own], at, strict=True)], "weights": [r[k].astype(float) for r, k in zip(sim[own], at, strict=True)]}))
+        if edges and len(x):
+            at = [np.flatnonzero(g) for g in (nb >= 0) & (sim >= least)]
+            parts.append(pd.DataFrame({"name": names, "label": None, "n": None, "total": None, "near": [names[r[k]] for r, k in zip(nb, at, strict=True)], "weights": [r[k].astype(float) for r, k in zip(sim, at, strict=True)]}))
         return pd.concat([p.astype(object) for p in parts]) if parts else pd.DataFrame([], columns=columns)
 
-    out = vectors.mapInPandas(placed, "cell int, own boolean, name string, copies long, vec binary").groupBy("cell")
+    out = vectors.mapInPandas(placed, "cell int, name string, copies long, vec binary").groupBy("cell")
     rows = cut(out.applyInPandas(grouped, "name string, label string, n long, total array<double>, near array<string>, weights array<double>"), "blocks")
     sums = rows.filter(F.col("total").isNotNull()).select("label", "n", "total")
     nodes = rows.filter(F.col("name").isNotNull() & F.col("label").isNotNull()).select("name", "label")
