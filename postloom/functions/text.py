@@ -111,6 +111,11 @@ def thousands(c: Column | str) -> Column:
     return F.replace(F.format_number(F.coalesce(_col(c).cast("long"), F.lit(0)), 0), F.lit(","), F.lit(" "))
 
 
+def clamped(c: Column | str, low: int, high: int, default: int | None = None) -> Column:
+    """A whole number brought between two bounds; the default, or else the lower bound, for NULL and for what is no number."""
+    return F.least(F.greatest(F.coalesce(_col(c).try_cast("long"), F.lit(low if default is None else default)), F.lit(low)), F.lit(high)).cast("long")
+
+
 @F.pandas_udf(StringType())
 def _decomposed(s: pd.Series) -> pd.Series:
     def one(x: str | None) -> str | None:

@@ -9,7 +9,7 @@ from postloom.functions import text as tx
 
 #: Examples of a topic prompt, their longest length, and hints from names.
 EXAMPLES, EXAMPLE_CHARS, HINTS = 12, 700, 12
-#: What stands for a title or a text that could not be made.
+# What stands for a title or a text that could not be made.
 FAILED = "Не удалось сгенерировать"
 # Tags of prompt blocks.
 TAGS = ("BOT", "PROFILE", "USER")

@@ -325,6 +325,20 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "post_responses", "request_id", "user_prompt", "profile_prompt", "bot_prompt", "post_title", "post_text").distinct()
 
 
+def clamped_demand(spark: SparkSession, d: str) -> DataFrame:
+    """Demand of clusters as a service may ask for it: between 50 and 2,000, 100 where nothing is known."""
+    wanted = tb.cluster_topics(spark, d).select(*KEY).join(popularity(spark, d).select(*KEY, "total_count_30d"), KEY, "left")
+    return wanted.select(*KEY, tx.clamped("total_count_30d", 50, 2000, 100).alias("demand"))
+
+
+def style_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The whole profile of each cluster: lengths, rates, key phrases and typical posts."""
+    typical = style_exemplars(spark, d).groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "post_id"))), lambda x: x["post_id"]).alias("exemplar_post_ids"))
+    rows = style_lengths(spark, d).join(style_rates(spark, d), KEY).join(keyphrases(spark, d), KEY, "left").join(typical, KEY, "left")
+    none = F.array().cast("array<string>")
+    return rows.withColumn("top_ngrams", F.coalesce("top_ngrams", none)).withColumn("slang_ngrams", F.coalesce("slang_ngrams", none))
+
+
 def request_parse(spark: SparkSession, d: str) -> DataFrame:
     """Requests from their JSON form, with the sum of their counts."""
     found = request_lists(spark, d).select("r", prompts.requests_from_json(F.to_json("top_requests")).alias("q"))
@@ -455,7 +469,7 @@ QUERIES = {
         recency, trend_score, trend_top, topics_dedup, topics_latest, topics_insert_new, next_id, pending_embeddings, pending_titles, popularity_wanted, embeddings_upsert, titles_update, section_backfill, section_replace, style_latest,
         repeated_keys, centroids, centroid_norms, cluster_sizes, unit_vectors, vector_text, retriever_view, nn_clusters, similar_posts, cosine_topn, exemplar_posts, style_exemplars, lex_match, trigram_sim, discover_clusters, rerank_posts,
         candidates_ranked, batch_nearest, context_prompts, style_lengths, style_rates, term_scores, keyphrases, topic_groups, cap_phrases, topic_clean, top_request, prompt_build, prompt_parse, post_parts, plain_hits, dict_hits,
-        moderation_decision, moderated, normalised, largest_clusters, plain_phrases, style_upsert, popularity_upsert, similar_to_text, style_topic, topic_prompts, get_post, request_parse, model_decision, moderation_answers, lemmatised, expanded_forms, automatic_eps, improved_clusters, tfidf, knn_dist, eps_knee, dbscan, eps_grid, kmeans, pca, hdbscan, cluster_eval,
+        moderation_decision, moderated, normalised, largest_clusters, clamped_demand, style_profile, plain_phrases, style_upsert, popularity_upsert, similar_to_text, style_topic, topic_prompts, get_post, request_parse, model_decision, moderation_answers, lemmatised, expanded_forms, automatic_eps, improved_clusters, tfidf, knn_dist, eps_knee, dbscan, eps_grid, kmeans, pca, hdbscan, cluster_eval,
     )
 }
 

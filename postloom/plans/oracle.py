@@ -288,3 +288,7 @@ SQL["context_prompts"] = rf"""WITH {_VIEW}, ta AS (SELECT r, list(phrase ORDER B
     kw AS (SELECT *, list_reduce(list_prepend([]::VARCHAR[], list_transform(useful, lambda x: [x])), lambda acc, x: CASE WHEN list_contains(list_transform(acc, lambda y: lower(y)), lower(x[1])) THEN acc ELSE list_concat(acc, x) END)[1:6] AS k FROM uf)
     SELECT section, cluster_id, concat_ws(chr(10), 'Topic: ' || coalesce(upper(left(cut, 1)) || substr(cut, 2), 'any'), 'Keywords: ' || array_to_string(k, ', '), 'Requests a month: ' || replace(format('{{:,}}', coalesce(total, 0)), ',', ' '), 'Author: anyone', 'Examples:',
     {_SHORT('examples', 300, 2)}, 'Also written:', {_SHORT('examples[3:6]', 200, 4)}) AS prompt FROM kw"""
+SQL["clamped_demand"] = f"WITH {_CT}, {_POP} SELECT ct.section, ct.cluster_id, least(greatest(coalesce(total_count_30d, 100), 50), 2000)::BIGINT AS demand FROM ct LEFT JOIN pop USING (section, cluster_id)"
+SQL["style_profile"] = f"""SELECT section, cluster_id, avg_len_tokens, p95_len_tokens, emoji_rate, exclam_rate, question_rate, markdown_rate, coalesce(top_ngrams, []) AS top_ngrams, coalesce(slang_ngrams, []) AS slang_ngrams, exemplar_post_ids
+    FROM ({SQL["style_lengths"]}) JOIN ({SQL["style_rates"]}) USING (section, cluster_id) LEFT JOIN ({SQL["keyphrases"]}) USING (section, cluster_id)
+    LEFT JOIN (SELECT section, cluster_id, list(post_id ORDER BY rank) AS exemplar_post_ids FROM ({SQL["style_exemplars"]}) GROUP BY ALL) USING (section, cluster_id)"""

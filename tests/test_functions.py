@@ -40,6 +40,7 @@ def test_titles_and_phrases(spark):
     assert len(long) <= 120 and long.endswith("word")
     assert one(spark, tx.request_phrase("t"), t="see https://a.b/c  «x» y!") == "see «x» y!"
     assert one(spark, tx.plain_phrase("t"), t="see HTTPS://a.b/c  «x» y!") == "see x y" and one(spark, tx.request_phrase("t"), t="a/b; c+d [e] №5") == "a b c+d [e] 5"
+    assert [one(spark, tx.clamped("t", 5, 9, 7), t=t) for t in ("1", "8", "99", "x", None)] == [5, 8, 9, 7, 7]
     assert one(spark, tx.capital_phrases("t"), t="Вот Анна Петрова и John Smith. one Two") == ["Вот Анна Петрова", "John Smith"]
     assert one(spark, tx.distinct_fold(F.col("a")), a=["b", "B ", "", "c", "C"]) == ["b", "c"]
     assert one(spark, tx.thousands(F.lit(1234567))) == "1 234 567"
