@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from postloom.functions import text as tx
 from postloom.functions import vectors as vx
 from postloom.sources.tables import NOISE
+from postloom.storage import cut
 
 #: Fan-out of the stages.
 TOPK, POSTS_TOPK, DISCOVERED_POSTS, NEW_CLUSTERS, FINAL = 8, 50, 120, 5, 3
@@ -141,8 +142,8 @@ def nearest_clusters_batch(view: DataFrame, requests: DataFrame, topk: int = TOP
     The smaller side is a matrix in every task: the clusters, with the requests staying where they are, or the requests,
     with each partition of clusters giving its best ``topk`` a request before anything is shuffled. A side beyond
     MATRIX_ROWS is taken in several blocks. Ties go by section and cluster."""
-    key = view.select("section", "cluster_id", "centroid").filter(F.col("centroid").isNotNull())
-    asked = requests.select("request_id", "emb").filter(F.col("emb").isNotNull())
+    key = cut(view.select("section", "cluster_id", "centroid").filter(F.col("centroid").isNotNull()), "clusters")
+    asked = cut(requests.select("request_id", "emb").filter(F.col("emb").isNotNull()), "requests")
     schema = "request_id string, section string, cluster_id int, sim_centroid double"
 
     def best(ids: np.ndarray, q: np.ndarray, clusters: pd.DataFrame) -> pd.DataFrame:
