@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.neighbours import SAMPLE_ROWS, SEED, Lists, packed, sample_of, stack, unpacked
+from postloom.llm.neighbours import SAMPLE_ROWS, SEED, Lists, fit_centroids, packed, sample_of, stack, unpacked
 from postloom.storage import BROADCAST_ROWS, cut, fits_broadcast
 
 #: Neighbours of a vector, candidates per round of descent, rounds at most.
@@ -36,7 +36,7 @@ RESOLUTION = 1_000.0
 #: The same for the contracted graph, whose links are single vectors, and links that tie a vector to its community.
 CONTRACTED, TIES = 200.0, 2
 #: Links of the contracted graph up to which one task merges it; more are merged by joins, with the same result.
-FEW_LINKS = 500_000
+FEW_LINKS = 2_000_000
 #: Cells of a vector in each pass; what is left over is scattered, so it sits in more cells.
 SEATS = (2, 4)
 #: Cosine between mean directions from which communities are one group.
@@ -44,7 +44,14 @@ SAME = 0.8
 #: Means up to which their comparison is one small matrix; more are compared in blocks, with the same result.
 FEW_MEANS = 8_192
 #: Means that one broadcast may hold; more are broadcast in several blocks.
-MOST_MEANS = 65_536
+MOST_MEANS = 524_288
+#: Means up to which every vector is compared with all of them. Beyond it means stand in lists, of some MEANS_A_LIST and of
+#: no more than MEAN_LISTS: each mean in the STANDS lists next to it; a vector looks into the LOOKS next to it.
+ALL_MEANS, MEANS_A_LIST, MEAN_LISTS, STANDS, LOOKS = 4_096, 16, 4_096, 16, 8
+#: Cosine from which a vector keeps the best mean of the lists that it looks into; others are compared with all means.
+FIRM = 0.72
+#: Vectors that a task holds against the means at once.
+TOGETHER = 65_536
 
 
 def descend(x: np.ndarray, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +83,8 @@ def descend(x: np.ndarray, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int
         back[nb.ravel()[order], order % 4] = src[order]
         back = np.where((back < 0), nb[:, :1], back)
         via = np.concatenate([nb[:, : k // 2], back], 1)
-        via = via[np.arange(n)[:, None], rng.integers(0, via.shape[1], (n, CANDIDATES - 4))]
-        cand = np.concatenate([nb[via, rng.integers(0, nb.shape[1], via.shape)], back], 1)
+        via = via.ravel().take(np.arange(n)[:, None] * via.shape[1] + rng.integers(0, via.shape[1], (n, CANDIDATES - 4)))
+        cand = np.concatenate([nb.ravel().take(via * nb.shape[1] + rng.integers(0, nb.shape[1], via.shape), mode="wrap"), back], 1)
         old = nb
         nb, sim = _best(x, nb, sim, cand, k)
         if (nb != old).mean() < 0.01:
@@ -87,18 +94,23 @@ def descend(x: np.ndarray, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int
 
 def _best(x: np.ndarray, nb: np.ndarray, sim: np.ndarray, cand: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k most similar of the present and the candidate neighbours."""
-    n = len(x)
+    n, wide = len(x), nb.shape[1] + cand.shape[1]
+    bits, place = wide.bit_length(), np.arange(wide)
     out_nb, out_sim = np.empty((n, k), int), np.empty((n, k), np.float32)
-    for lo in range(0, n, 1024):
-        c = cand[lo : lo + 1024]
-        s = np.einsum("nd,ncd->nc", x[lo : lo + 1024], x[c])
-        ids, sims = np.concatenate([nb[lo : lo + 1024], c], 1), np.concatenate([sim[lo : lo + 1024], s], 1)
-        sims = np.where(ids == np.arange(lo, lo + len(c))[:, None], -2, sims)
-        order = np.argsort(ids, 1, kind="stable")
-        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    for lo in range(0, n, 256):
+        c = cand[lo : lo + 256]
+        s = np.einsum("nd,ncd->nc", x[lo : lo + 256], x.take(c.ravel(), axis=0).reshape(*c.shape, -1))
+        ids, sims = np.concatenate([nb[lo : lo + 256], c], 1), np.concatenate([sim[lo : lo + 256], s], 1)
+        sims[ids == np.arange(lo, lo + len(c))[:, None]] = -2
+        start = np.arange(len(c))[:, None] * wide
+        key = np.sort(ids << bits | place, axis=1)  # by id, then place: numbers are sorted much faster than an order is found
+        ids = key >> bits
+        sims = sims.ravel().take((key & ((1 << bits) - 1)) + start)
         sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -2
-        top = np.argsort(-sims, 1, kind="stable")[:, :k]
-        out_nb[lo : lo + 1024], out_sim[lo : lo + 1024] = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
+        low = (-sims).view(np.int32).astype(np.int64)  # as whole numbers in the order of -sims
+        low = np.where(low < 0, -0x80000000 - low, low) << bits | place
+        top = np.sort(np.partition(low, k - 1, axis=1)[:, :k], axis=1) & ((1 << bits) - 1)
+        out_nb[lo : lo + 256], out_sim[lo : lo + 256] = ids.ravel().take(top + start), sims.ravel().take(top + start)
     return out_nb, out_sim
 
 
@@ -131,13 +143,11 @@ def communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int
             key, inv = np.unique(src * size + own[dst], return_inverse=True)
             s, c = key // size, key % size
             gain = np.bincount(inv, ww) - deg[s] * (total[c] - np.where(own[s] == c, deg[s], 0)) / scale
-            order = np.lexsort((c, -gain, s))
-            s, c, gain = s[order], c[order], gain[order]
-            first = np.ones(len(s), bool)
-            first[1:] = s[1:] != s[:-1]
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else s  # keys are in the order of s, c
+            most = np.maximum.reduceat(gain, first) if len(s) else gain
+            at = np.flatnonzero((gain > 1e-9) & (gain == np.repeat(most, np.diff(np.append(first, len(s))))))
             best = own.copy()
-            better = gain[first] > 1e-9
-            best[s[first][better]] = c[first][better]
+            best[s[at[::-1]]] = c[at[::-1]]  # of equal gains the smallest label
             move = (best != own) & (rng.random(size) < 0.5)
             if not (best != own).any():
                 break
@@ -250,7 +260,7 @@ def merge_contracted(nodes: DataFrame, links: DataFrame, scale: float = CONTRACT
 def _merged(batches: Iterator[pd.DataFrame], scale: float) -> Iterator[pd.DataFrame]:
     """The rounds of merge_contracted() over links that one task holds: (label, into) of the nodes that have links."""
     pdf = pd.concat(list(batches) or [pd.DataFrame({"a": [], "b": [], "w": []})])
-    names, code = np.unique(np.concatenate([pdf["a"].to_numpy(str), pdf["b"].to_numpy(str)]), return_inverse=True)
+    code, names = pd.factorize(np.concatenate([pdf["a"].to_numpy(object), pdf["b"].to_numpy(object)]), sort=True)
     if not len(names):
         return
     half = len(pdf)
@@ -287,20 +297,26 @@ def _merged(batches: Iterator[pd.DataFrame], scale: float) -> Iterator[pd.DataFr
 def total_of(parts: DataFrame) -> DataFrame:
     """(label, n, total) summed by label; parts of a label are added up before the shuffle."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list] = {}
+    def add(batches: Iterator[pd.DataFrame], first: bool) -> Iterator[pd.DataFrame]:
+        held: tuple = ()
         for pdf in batches:
-            for label, n, total in zip(pdf["label"], pdf["n"], pdf["total"], strict=True):
-                if label in held:
-                    held[label][0] += n
-                    held[label][1] = held[label][1] + total
-                else:
-                    held[label] = [n, np.asarray(total, float)]
+            if len(pdf):
+                total = np.stack(pdf["total"].to_numpy()).astype(float) if first else np.frombuffer(b"".join(pdf["total"]), np.float32).reshape(len(pdf), -1)
+                new = pdf["label"].to_numpy(), pdf["n"].to_numpy(), total
+                held = _added(*(np.concatenate(x) for x in zip(held, new, strict=True))) if held else _added(*new)
         if held:
-            yield pd.DataFrame({"label": list(held), "n": [x[0] for x in held.values()], "total": [x[1] for x in held.values()]}).astype({"n": "int64"})
+            yield pd.DataFrame({"label": held[0], "n": held[1], "total": [x.tobytes() for x in held[2].astype(np.float32)] if first else list(held[2])})
+
+    parted = parts.select("label", "n", "total").mapInPandas(lambda batches: add(batches, True), "label string, n long, total binary").repartition("label")
+    return parted.mapInPandas(lambda batches: add(batches, False), "label string, n long, total array<double>")
 
-    schema = "label string, n long, total array<double>"
-    return parts.select("label", "n", "total").mapInPandas(add, schema).repartition("label").mapInPandas(add, schema)
+
+def _added(label: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each label once, with the sums of its numbers and totals."""
+    code, names = pd.factorize(label)
+    order = np.argsort(code, kind="stable")
+    first = np.searchsorted(code[order], np.arange(len(names)))
+    return names, np.add.reduceat(n[order].astype(np.int64), first), np.add.reduceat(total[order].astype(float), first, axis=0)
 
 
 def _means(sums: DataFrame) -> DataFrame:
@@ -325,11 +341,25 @@ def united(sums: DataFrame, same: float = SAME) -> DataFrame:
     means = cut(means, "means")
 
     def alike(batches: Iterator[pd.DataFrame], names: np.ndarray, m: np.ndarray) -> Iterator[pd.DataFrame]:
-        for part, s in _products(batches, m):
-            i, j = np.nonzero(s >= same)
-            yield pd.DataFrame({"vec_a": part["name"].to_numpy()[i], "vec_b": names[j]})
-
-    both = cut(_held_against(means, means, alike, "vec_a string, vec_b string"), "pairs")
+        """Pairs that join what all alike pairs join; their number grows with the means, not with the pairs."""
+        root = np.arange(len(names))
+        for pdf in batches:
+            x, mine = stack(pdf["emb"]), np.full(len(pdf), -1)
+            for lo in range(0, len(x), 1024):
+                for at in range(0, len(m), 4096):
+                    row, to = np.nonzero(x[lo : lo + 1024] @ m[at : at + 4096].T >= same)
+                    bounds = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else row
+                    for k, end in zip(bounds[:-1], bounds[1:], strict=True):
+                        r, near = lo + row[k], to[k:end] + at
+                        near = near if mine[r] < 0 else np.append(near, mine[r])
+                        mine[r] = _join(root, near) if len(near) > 1 else near[0]
+            some = mine >= 0
+            yield pd.DataFrame({"vec_a": pdf["name"].to_numpy()[some], "vec_b": names[mine[some]]})
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        yield pd.DataFrame({"vec_a": names[moved], "vec_b": names[root[moved]]})
+
+    pairs = _held_against(means, means, alike, "vec_a string, vec_b string").filter("vec_a <> vec_b")
+    both = cut(pairs.unionByName(pairs.select(F.col("vec_b").alias("vec_a"), F.col("vec_a").alias("vec_b"))).distinct(), "pairs")
     groups = sums.select("label", F.col("label").alias("group"))
     before = None
     while True:
@@ -342,13 +372,14 @@ def united(sums: DataFrame, same: float = SAME) -> DataFrame:
     return total_of(sums.join(groups, "label").select(F.col("group").alias("label"), "n", "total"))
 
 
-def _products(batches: Iterator[pd.DataFrame], m: np.ndarray) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Parts of the batches and their cosines with all rows of ``m``, in bounded memory."""
-    tile = max(1, min(2048, 33_554_432 // max(len(m), 1)))
-    for pdf in batches:
-        for lo in range(0, len(pdf) if len(m) else 0, tile):
-            part = pdf.iloc[lo : lo + tile]
-            yield part, stack(part["emb"]) @ m.T
+def _join(root: np.ndarray, nodes: np.ndarray) -> int:
+    """Make the sets of these nodes one. ``root`` leads from each node to smaller ones, to the smallest of its set."""
+    top = root[nodes]
+    while (root[top] != top).any():
+        top = root[top]
+    low = top.min()
+    root[top] = root[nodes] = low
+    return low
 
 
 def _held_against(vectors: DataFrame, means: DataFrame, use: Callable[[Iterator[pd.DataFrame], np.ndarray, np.ndarray], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
@@ -356,51 +387,152 @@ def _held_against(vectors: DataFrame, means: DataFrame, use: Callable[[Iterator[
     blocks = max(1, -(-means.count() // MOST_MEANS))
     out = None
     for k in range(blocks):
-        pdf = means.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k).toPandas().sort_values("name")
-        held = vectors.sparkSession.sparkContext.broadcast((pdf["name"].to_numpy(), stack(pdf["emb"])))
+        held = vectors.sparkSession.sparkContext.broadcast(_collected(means.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k)))
         part = vectors.mapInPandas(lambda batches, held=held: use(batches, *held.value), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def assigned(vectors: DataFrame, sums: DataFrame, cosine: float) -> DataFrame:
-    """(name, label): each vector with the most similar mean, where the cosine is at least ``cosine``."""
+def _collected(means: DataFrame, *more: str) -> tuple[np.ndarray, ...]:
+    """Names and directions in the order of names, and more columns of numbers; they reach the driver as bytes."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"name": pdf["name"]} | {c: [np.asarray(x, kind).tobytes() for x in pdf[c]] for c, kind in kinds.items()})
+
+    kinds = {"emb": np.float32} | dict.fromkeys(more, np.int32)
+    pdf = means.select("name", *kinds).mapInPandas(pack, "name string" + "".join(f", {c} binary" for c in kinds)).toPandas().sort_values("name")
+    return pdf["name"].to_numpy(), *(np.frombuffer(b"".join(pdf[c]), kind).reshape(len(pdf), -1 if len(pdf) else 1) for c, kind in kinds.items())
+
+
+class Beside:
+    """Means of which a vector is given the most similar one. Many of them stand in lists, by centroids ``c``; ``near`` are
+    the lists of each mean."""
+
+    def __init__(self, names: np.ndarray, m: np.ndarray, c: np.ndarray | None = None, near: np.ndarray | None = None):
+        self.names, self.m, self.c = names, m, c
+        if c is not None:
+            order = np.argsort(near.ravel(), kind="stable")
+            self.at = (order // near.shape[1]).astype(np.int32)
+            self.start = np.searchsorted(near.ravel()[order], np.arange(len(c) + 1))
+
+    def best(self, x: np.ndarray, least: float, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The most similar mean of each row, as far as one was found, and its cosine. With ``whole`` rows whose best in the
+        lists is below FIRM or ``least`` are compared with all means."""
+        k, s = np.zeros(len(x), np.int64), np.full(len(x), -2, np.float32)
+        if not len(self.m):
+            return k, s
+        rest = np.arange(len(x))
+        if self.c is not None:
+            row, to = np.repeat(rest, LOOKS), _next(x, self.c, LOOKS).ravel()
+            order = np.argsort(to, kind="stable")
+            bounds = np.searchsorted(to[order], np.arange(len(self.c) + 1))
+            for i in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(self.start) > 0)):
+                at = self.at[self.start[i] : self.start[i + 1]]
+                m, rows = self.m[at], row[order[bounds[i] : bounds[i + 1]]]
+                self._take(k, s, rows, x[rows], m, at)
+            rest = np.flatnonzero(s < max(FIRM, least)) if whole else rest[:0]
+        for lo in range(0, len(rest), 1024):
+            rows = rest[lo : lo + 1024]
+            part = x[rows]
+            for j in range(0, len(self.m), 4096):
+                self._take(k, s, rows, part, self.m[j : j + 4096], np.arange(j, min(j + 4096, len(self.m))))
+        return k, s
+
+    @staticmethod
+    def _take(k: np.ndarray, s: np.ndarray, rows: np.ndarray, x: np.ndarray, m: np.ndarray, at: np.ndarray) -> None:
+        """Give the rows the best of the means ``m``, numbered ``at``, where it is better than what they have."""
+        p = x @ m.T
+        j = p.argmax(1)
+        p, j = p[np.arange(len(rows)), j], at[j]
+        good = (p > s[rows]) | ((p == s[rows]) & (j < k[rows]))
+        k[rows[good]], s[rows[good]] = j[good], p[good]
+
+
+def _next(x: np.ndarray, c: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` centroids most similar to each row."""
+    count = min(count, len(c))
+    return np.concatenate([np.argpartition(x[lo : lo + 1024] @ -c.T, count - 1, axis=1)[:, :count].astype(np.int32) for lo in range(0, len(x), 1024)])
+
+
+def _beside(vectors: DataFrame, means: DataFrame, use: Callable[[Iterator[pd.DataFrame], Beside], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """What ``use`` makes of all vectors and each block of about MOST_MEANS means, broadcast in turn."""
+    sc, n = vectors.sparkSession.sparkContext, means.count()
+    blocks = max(1, -(-n // MOST_MEANS))
+    if n // blocks > ALL_MEANS:
+        c = fit_centroids(sample_of(means, SAMPLE_ROWS)[0], min(MEAN_LISTS, n // blocks // MEANS_A_LIST), rounds=4)
+        spread = sc.broadcast(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9))
+
+        def stand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield pdf.assign(near=list(_next(stack(pdf["emb"]), spread.value, STANDS)))
+
+        means = cut(means.repartition(sc.defaultParallelism).mapInPandas(stand, "name string, emb array<float>, near array<int>"), "stands")
+    out = None
+    for b in range(blocks):
+        some = means.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b)
+        if "near" in means.columns:
+            names, m, near = _collected(some, "near")
+            held = sc.broadcast(Beside(names, m, spread.value, near))
+        else:
+            held = sc.broadcast(Beside(*_collected(some)))
+        part = vectors.mapInPandas(lambda batches, held=held: use(_together(batches), held.value), schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches, joined to some TOGETHER rows each."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) >= TOGETHER:
+            yield pd.concat(held)
+            held = []
+    if sum(map(len, held)):
+        yield pd.concat(held)
+
+
+def assigned(vectors: DataFrame, sums: DataFrame, cosine: float, whole: bool = True) -> DataFrame:
+    """(name, label): each vector with the most similar mean, where the cosine is at least ``cosine``.
+
+    Among many means a vector looks into some lists first. It keeps what it finds there from a cosine of FIRM on, where
+    hardly any other mean is nearer; all others, and so all that seem to be in no group, are compared with every mean.
+    Without ``whole`` those are left out that the lists do not hold; while groups are formed, they come round again."""
     means = cut(_means(sums), "means")
 
-    def closest(batches: Iterator[pd.DataFrame], names: np.ndarray, m: np.ndarray) -> Iterator[pd.DataFrame]:
-        for part, s in _products(batches, m):
-            k = s.argmax(1)
-            s = s[np.arange(len(part)), k]
+    def closest(batches: Iterator[pd.DataFrame], beside: Beside) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            k, s = beside.best(stack(part["emb"]), cosine, whole)
             keep = s >= cosine
             if keep.any():
-                yield pd.DataFrame({"name": part["name"].to_numpy()[keep], "label": names[k[keep]], "near": s[keep]})
+                yield pd.DataFrame({"name": part["name"].to_numpy()[keep], "label": beside.names[k[keep]], "near": s[keep]})
 
-    found = _held_against(vectors.select("name", "emb"), means, closest, "name string, label string, near float")
+    found = _beside(vectors.select("name", "emb"), means, closest, "name string, label string, near float")
     if means.count() > MOST_MEANS:  # the best of all blocks
         return found.groupBy("name").agg(F.min(F.struct((-F.col("near")).alias("far"), "label")).alias("b")).select("name", F.col("b.label").alias("label"))
     return found.drop("near")
 
 
 def drawn(vectors: DataFrame, sums: DataFrame, cosine: float) -> DataFrame:
-    """(label, n, total): the sums of what assigned() gives to each mean, without moving vectors while one broadcast
-    holds the means."""
+    """(label, n, total): the sums of what assigned() gives to each mean, as far as its lists hold it, without moving
+    vectors while one broadcast holds the means."""
     means = cut(_means(sums), "means")
     if means.count() > MOST_MEANS:
-        return _sums_of(assigned(vectors, sums, cosine).join(vectors, "name"))
+        return _sums_of(assigned(vectors, sums, cosine, False).join(vectors, "name"))
 
-    def closest(batches: Iterator[pd.DataFrame], names: np.ndarray, m: np.ndarray) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(m.shape), np.zeros(len(m), np.int64)
-        for part, s in _products(batches, m):
-            k = s.argmax(1)
-            keep = s[np.arange(len(part)), k] >= cosine
-            copies = part["copies"].to_numpy()[keep]
-            np.add.at(n, k[keep], copies)
-            np.add.at(total, k[keep], stack(part["emb"][keep]) * copies[:, None] if keep.any() else np.zeros((0, m.shape[1])))
-        at = np.flatnonzero(n)
-        if len(at):
-            yield pd.DataFrame({"label": names[at], "n": n[at], "total": list(total[at])})
+    def closest(batches: Iterator[pd.DataFrame], beside: Beside) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            x = stack(part["emb"])
+            k, s = beside.best(x, cosine, False)
+            keep = s >= cosine
+            if keep.any():
+                copies = part["copies"].to_numpy()[keep]
+                at, n, total = _added(k[keep], copies, x[keep].astype(float) * copies[:, None])
+                yield pd.DataFrame({"label": beside.names[at], "n": n, "total": list(total)})
 
-    return total_of(_held_against(vectors, means, closest, "label string, n long, total array<double>"))
+    return total_of(_beside(vectors, means, closest, "label string, n long, total array<double>"))
 
 
 def _sums_of(members: DataFrame) -> DataFrame:
@@ -498,7 +630,7 @@ def similarity_groups(vectors: DataFrame, cosine: float = 0.65, least: int = 5,
             found = cut(drawn(rest, united(found), cosine).filter(F.col("n") >= few), "groups")
         sums = found if sums is None else sums.unionByName(found)
         if k + 1 < passes:
-            rest = cut(rest.join(assigned(rest, found, cosine).select("name"), "name", "left_anti"), "rest")
+            rest = cut(rest.join(assigned(rest, found, cosine, False).select("name"), "name", "left_anti"), "rest")
     if sums is None:
         return spark.createDataFrame([], "name string, label string, degree double, cosine double")
     final = assigned(vectors, united(sums), cosine)

@@ -210,7 +210,7 @@ class Lists:
     def nearest(self, v: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the ``count`` lists nearest to each vector among those of its ``count`` nearest first ones."""
         d = (self.first * self.first).sum(1)[None] - 2 * v @ self.first.T
-        near = np.argsort(d, axis=1, kind="stable")[:, :count]
+        near = _least(d, count)
         row, to = np.repeat(np.arange(len(v)), near.shape[1]), near.ravel()
         single = np.array([len(x) == 1 for x in self.inner])[to]
         rows, lists, far = [row[single]], [self.base[to[single]]], [d[row[single], to[single]]]
@@ -226,6 +226,18 @@ class Lists:
         return row[keep], to[keep]
 
 
+def _least(d: np.ndarray, count: int) -> np.ndarray:
+    """The columns of the ``count`` least values of each row, in their order; a few are found without sorting the row."""
+    count = min(count, d.shape[1])
+    if count > 8:
+        return np.argsort(d, axis=1, kind="stable")[:, :count]
+    d, out, rows = d.copy(), np.empty((len(d), count), np.int64), np.arange(len(d))
+    for k in range(count):
+        out[:, k] = d.argmin(1)
+        d[rows, out[:, k]] = np.inf
+    return out
+
+
 def packed(v: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in np.clip(np.rint(v * SCALE), -SCALE, SCALE).astype("<i2")]
 

@@ -223,6 +223,48 @@ def test_many_means_give_the_groups_of_few(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0][0]) == 151 and ("m0000", len(chain)) in got[0][0]
 
 
+def test_alike_means_are_joined_without_all_their_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=(3, 64))
+    m = np.concatenate([c[k] + rng.normal(size=(n, 64)) * 0.2 for k, n in enumerate((300, 40, 1))])
+    sums = spark.createDataFrame([(f"m{i:04d}", 1, [float(x) for x in v]) for i, v in enumerate(m)], "label string, n long, total array<double>")
+    laid, cut = {}, communities.cut
+
+    def counted(df, label="step"):
+        out = cut(df, label)
+        laid[label] = max(laid.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(communities, "cut", counted)
+    monkeypatch.setattr(communities, "FEW_MEANS", 10)
+    for most in (10**6, 90):
+        monkeypatch.setattr(communities, "MOST_MEANS", most)
+        laid.clear()
+        assert rows(communities.united(sums).select("label", "n")) == [("m0000", 300), ("m0300", 40), ("m0340", 1)]
+        assert laid["pairs"] < 40 * len(m)  # of 91,601 alike pairs
+
+
+def test_lists_of_means_leave_no_vector_out(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(700, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    side = rng.normal(size=(2500, 64))
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = m[rng.integers(0, 700, 2500)] + side * rng.uniform(0.5, 1.4, (2500, 1))
+    v = neighbours.prepare(frame(spark, x), "name", "emb")
+    sums = spark.createDataFrame([(f"m{i:04d}", 1, [float(a) for a in y]) for i, y in enumerate(m)], "label string, n long, total array<double>")
+    whole = rows(communities.assigned(v, sums, 0.65))
+    single = communities.with_copies(v)
+    monkeypatch.setattr(communities, "ALL_MEANS", 100)
+    monkeypatch.setattr(communities, "STANDS", 2)
+    monkeypatch.setattr(communities, "LOOKS", 1)
+    assert 1000 < len(whole) < 2400 and rows(communities.assigned(v, sums, 0.65)) == whole
+    some = communities.assigned(v, sums, 0.65, False)
+    assert 0 < some.count() < len(whole) and set(rows(some)) <= set(whole)
+    drawn = dict(rows(communities.drawn(single, sums, 0.65).select("label", "n")))
+    assert drawn == dict(Counter(label for _, label in rows(some)))
+
+
 def test_hot_cell_is_cut_and_put_together_again(spark):
     rng = np.random.default_rng(9)
     c = rng.normal(size=(2, 64))
