@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.neighbours import SAMPLE_ROWS, SEED, Lists, fit_centroids, packed, sample_of, stack, unpacked
-from postloom.storage import BROADCAST_ROWS, cut, fits_broadcast
+from postloom.storage import BROADCAST_ROWS, cut, fits_broadcast, stored, written
 
 #: Neighbours of a vector, candidates per round of descent, rounds at most.
 NEIGHBOURS, CANDIDATES, ROUNDS = 10, 48, 8
@@ -43,8 +43,10 @@ SEATS = (2, 4)
 SAME = 0.8
 #: Means up to which their comparison is one small matrix; more are compared in blocks, with the same result.
 FEW_MEANS = 8_192
-#: Means that one broadcast may hold; more are broadcast in several blocks.
+#: Means that a task may hold; more are held in several blocks, one after another.
 MOST_MEANS = 524_288
+#: Means whose lists are put in order at once.
+INDEXED = 32_768
 #: Means up to which every vector is compared with all of them. Beyond it means stand in lists, of some MEANS_A_LIST and of
 #: no more than MEAN_LISTS: each mean in the STANDS lists next to it; a vector looks into the LOOKS next to it.
 ALL_MEANS, MEANS_A_LIST, MEAN_LISTS, STANDS, LOOKS = 4_096, 16, 4_096, 16, 8
@@ -320,8 +322,15 @@ def _added(label: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndar
 
 
 def _means(sums: DataFrame) -> DataFrame:
-    norm = F.sqrt(F.aggregate("total", F.lit(0.0), lambda s, x: s + x * x))
-    return sums.filter(norm > 0).select(F.col("label").alias("name"), F.transform("total", lambda x: (x / norm).cast("float")).alias("emb"))
+    def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                total = np.stack(pdf["total"].to_numpy()).astype(float)
+                norm = np.sqrt((total * total).sum(1))
+                some = norm > 0
+                yield pd.DataFrame({"name": pdf["label"].to_numpy()[some], "emb": list((total[some] / norm[some, None]).astype(np.float32))})
+
+    return sums.select("label", "total").mapInPandas(unit, "name string, emb array<float>")
 
 
 def united(sums: DataFrame, same: float = SAME) -> DataFrame:
@@ -332,10 +341,13 @@ def united(sums: DataFrame, same: float = SAME) -> DataFrame:
         pdf = means.toPandas().sort_values("name")
         names, m = pdf["name"].to_numpy(), stack(pdf["emb"])
         low = np.arange(len(m))
-        near = [np.flatnonzero(m[k] @ m.T >= same) for k in range(len(m))]
-        before = None
-        while not np.array_equal(low, before):
-            before, low = low, np.array([low[x].min() if len(x) else k for k, x in enumerate(near)], int)
+        for lo in range(0, len(m), 256):
+            row, to = np.nonzero(m[lo : lo + 256] @ m.T >= same)
+            bounds = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else row
+            for k, end in zip(bounds[:-1], bounds[1:], strict=True):
+                _join(low, np.append(to[k:end], lo + row[k]))
+        while (low[low] != low).any():
+            low = low[low]
         groups = sums.sparkSession.createDataFrame([(str(a), str(names[k])) for a, k in zip(names, low, strict=True)], "label string, group string")
         return total_of(sums.join(F.broadcast(groups), "label").select(F.col("group").alias("label"), "n", "total"))
     means = cut(means, "means")
@@ -383,26 +395,48 @@ def _join(root: np.ndarray, nodes: np.ndarray) -> int:
 
 
 def _held_against(vectors: DataFrame, means: DataFrame, use: Callable[[Iterator[pd.DataFrame], np.ndarray, np.ndarray], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """What ``use`` makes of all vectors and each block of about MOST_MEANS means (names and directions), broadcast in turn."""
+    """What ``use`` makes of all vectors and each block of about MOST_MEANS means (names and directions), in turn."""
     blocks = max(1, -(-means.count() // MOST_MEANS))
     out = None
     for k in range(blocks):
-        held = vectors.sparkSession.sparkContext.broadcast(_collected(means.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k)))
-        part = vectors.mapInPandas(lambda batches, held=held: use(batches, *held.value), schema)
+        path = written(means.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k), "held")
+        part = vectors.mapInPandas(lambda batches, path=path: use(batches, *_kept((path,), _directions)), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _collected(means: DataFrame, *more: str) -> tuple[np.ndarray, ...]:
-    """Names and directions in the order of names, and more columns of numbers; they reach the driver as bytes."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"name": pdf["name"]} | {c: [np.asarray(x, kind).tobytes() for x in pdf[c]] for c, kind in kinds.items()})
-
-    kinds = {"emb": np.float32} | dict.fromkeys(more, np.int32)
-    pdf = means.select("name", *kinds).mapInPandas(pack, "name string" + "".join(f", {c} binary" for c in kinds)).toPandas().sort_values("name")
-    return pdf["name"].to_numpy(), *(np.frombuffer(b"".join(pdf[c]), kind).reshape(len(pdf), -1 if len(pdf) else 1) for c, kind in kinds.items())
+#: What this process has built last from tables of the shared folder; the next tasks of a worker use it again.
+_last: dict[tuple[str, ...], object] = {}
+
+
+def _kept(paths: tuple[str, ...], build: Callable[..., object]) -> object:
+    """``build(*paths)``, once as long as nothing else is asked for in this process."""
+    if paths not in _last:
+        _last.clear()
+        _last[paths] = build(*paths)
+    return _last[paths]
+
+
+def _directions(path: str, *more: str) -> tuple[np.ndarray, ...]:
+    """Names and directions in the order of names, and more columns of numbers, read from where they were written."""
+    parts = [(b.column("name").to_numpy(zero_copy_only=False), *(b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in ("emb", *more))) for b in stored(path, "name", "emb", *more) if b.num_rows]
+    if not parts:
+        return np.zeros(0, object), *(np.zeros((0, 1), kind) for kind in (np.float32, *(np.int32 for _ in more)))
+    columns = list(zip(*parts, strict=True))
+    del parts
+    names = np.concatenate(columns[0]).astype(object)
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    out = []
+    for k in range(1, len(columns)):
+        whole, at = np.empty((len(names), columns[k][0].shape[1]), columns[k][0].dtype), 0
+        for rows in columns[k]:
+            whole[rank[at : at + len(rows)]] = rows
+            at += len(rows)
+        columns[k] = ()
+        out.append(whole)
+    return names[order], *out
 
 
 class Beside:
@@ -412,9 +446,16 @@ class Beside:
     def __init__(self, names: np.ndarray, m: np.ndarray, c: np.ndarray | None = None, near: np.ndarray | None = None):
         self.names, self.m, self.c = names, m, c
         if c is not None:
-            order = np.argsort(near.ravel(), kind="stable")
-            self.at = (order // near.shape[1]).astype(np.int32)
-            self.start = np.searchsorted(near.ravel()[order], np.arange(len(c) + 1))
+            parts = range(0, len(near), INDEXED)
+            sizes = sum((np.bincount(near[lo : lo + INDEXED].ravel(), minlength=len(c)) for lo in parts), np.zeros(len(c), np.int64))
+            self.at, self.start = np.empty(near.size, np.int32), np.concatenate([[0], np.cumsum(sizes)])
+            free = self.start[:-1].copy()
+            for lo in parts:
+                flat = near[lo : lo + INDEXED].ravel()
+                order = np.argsort(flat, kind="stable")
+                first = np.searchsorted(flat[order], np.arange(len(c) + 1))
+                self.at[(free - first[:-1])[flat[order]] + np.arange(len(order))] = lo + order // near.shape[1]
+                free += np.diff(first)
 
     def best(self, x: np.ndarray, least: float, whole: bool) -> tuple[np.ndarray, np.ndarray]:
         """The most similar mean of each row, as far as one was found, and its cosine. With ``whole`` rows whose best in the
@@ -456,9 +497,11 @@ def _next(x: np.ndarray, c: np.ndarray, count: int) -> np.ndarray:
 
 
 def _beside(vectors: DataFrame, means: DataFrame, use: Callable[[Iterator[pd.DataFrame], Beside], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """What ``use`` makes of all vectors and each block of about MOST_MEANS means, broadcast in turn."""
+    """What ``use`` makes of all vectors and each block of about MOST_MEANS means, in turn. Tasks read the means from where
+    they were written; only the centroids of the lists are broadcast."""
     sc, n = vectors.sparkSession.sparkContext, means.count()
     blocks = max(1, -(-n // MOST_MEANS))
+    spread = None
     if n // blocks > ALL_MEANS:
         c = fit_centroids(sample_of(means, SAMPLE_ROWS)[0], min(MEAN_LISTS, n // blocks // MEANS_A_LIST), rounds=4)
         spread = sc.broadcast(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9))
@@ -468,16 +511,17 @@ def _beside(vectors: DataFrame, means: DataFrame, use: Callable[[Iterator[pd.Dat
                 if len(pdf):
                     yield pdf.assign(near=list(_next(stack(pdf["emb"]), spread.value, STANDS)))
 
-        means = cut(means.repartition(sc.defaultParallelism).mapInPandas(stand, "name string, emb array<float>, near array<int>"), "stands")
+        means = means.repartition(sc.defaultParallelism).mapInPandas(stand, "name string, emb array<float>, near array<int>")
+        means = cut(means, "stands") if blocks > 1 else means
+
+    def built(path: str) -> Beside:
+        names, m, *near = _directions(path, *(["near"] if spread else []))
+        return Beside(names, m, spread.value if spread else None, *near)
+
     out = None
     for b in range(blocks):
-        some = means.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b)
-        if "near" in means.columns:
-            names, m, near = _collected(some, "near")
-            held = sc.broadcast(Beside(names, m, spread.value, near))
-        else:
-            held = sc.broadcast(Beside(*_collected(some)))
-        part = vectors.mapInPandas(lambda batches, held=held: use(_together(batches), held.value), schema)
+        path = written(means.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b) if blocks > 1 else means, "held")
+        part = vectors.mapInPandas(lambda batches, path=path: use(_together(batches), _kept((path,), built)), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -517,7 +561,7 @@ def assigned(vectors: DataFrame, sums: DataFrame, cosine: float, whole: bool = T
 
 def drawn(vectors: DataFrame, sums: DataFrame, cosine: float) -> DataFrame:
     """(label, n, total): the sums of what assigned() gives to each mean, as far as its lists hold it, without moving
-    vectors while one broadcast holds the means."""
+    vectors while a task holds all means."""
     means = cut(_means(sums), "means")
     if means.count() > MOST_MEANS:
         return _sums_of(assigned(vectors, sums, cosine, False).join(vectors, "name"))
@@ -545,34 +589,42 @@ def lasting(members: DataFrame, cosine: float) -> DataFrame:
     members = cut(members, "members")
     sums = cut(_sums_of(members.withColumn("copies", F.lit(1).cast("bigint"))), "sums")
     blocks = max(1, -(-sums.count() // MOST_MEANS))
-    history = [sums]
+    history: list[tuple[str, ...]] = [()] * blocks
+
+    def hold(sums: DataFrame) -> None:
+        for b in range(blocks):
+            history[b] += (written(_means(sums).filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b), "held"),)
+
+    def built(*paths: str) -> tuple:
+        names, first = _directions(paths[0])
+        later = []
+        for moved, m in map(_directions, paths[1:]):
+            row = np.full(len(names), -1, np.int32)
+            row[np.searchsorted(names, moved)] = np.arange(len(moved))
+            later.append((row, m))
+        return names, first, later, {x: i for i, x in enumerate(names)}
 
     def checked(final: bool) -> DataFrame:
         out = None
         for b in range(blocks):
-            tables = [_means(h).filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b).toPandas().sort_values("name") for h in history]
-            names = tables[0]["name"].to_numpy()
-            stacked = []
-            for t in tables:  # a group that has lost all its members has no mean any more
-                m = np.full((len(names), stack(t["emb"]).shape[1]), np.nan, np.float32)
-                m[np.searchsorted(names, t["name"].to_numpy())] = stack(t["emb"]) if len(t) else m[:0]
-                stacked.append(m)
-            held = members.sparkSession.sparkContext.broadcast((names, stacked))
-
-            def check(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-                names, stacked = held.value
-                at_of = {x: i for i, x in enumerate(names)}
-                total, n = np.zeros(stacked[0].shape), np.zeros(len(names), np.int64)
+
+            def check(batches: Iterator[pd.DataFrame], paths=history[b]) -> Iterator[pd.DataFrame]:
+                names, first, later, at_of = _kept(paths, built)
+                total, n = np.zeros(first.shape), np.zeros(len(names), np.int64)
                 for pdf in batches:
                     k = np.array([at_of.get(x, -1) for x in pdf["label"]], int)
                     pdf, k = pdf[k >= 0], k[k >= 0]
                     if not len(pdf):
                         continue
                     x = stack(pdf["emb"])
-                    near = [np.einsum("nd,nd->n", x, m[k]) for m in stacked]
-                    good = np.all([v >= cosine for v in near], axis=0)
+                    near = np.einsum("nd,nd->n", x, first[k])
+                    good = near >= cosine
+                    for row, m in later:
+                        at = np.flatnonzero(row[k] >= 0)
+                        near[at] = np.einsum("nd,nd->n", x[at], m[row[k[at]]])
+                        good &= near >= cosine
                     if final:
-                        yield pd.DataFrame({"name": pdf["name"].to_numpy()[good], "label": pdf["label"].to_numpy()[good], "cosine": near[-1][good].astype(float)})
+                        yield pd.DataFrame({"name": pdf["name"].to_numpy()[good], "label": pdf["label"].to_numpy()[good], "cosine": near[good].astype(float)})
                     else:
                         np.add.at(total, k[good], x[good])
                         np.add.at(n, k[good], 1)
@@ -584,14 +636,15 @@ def lasting(members: DataFrame, cosine: float) -> DataFrame:
             out = part if out is None else out.unionByName(part)
         return out
 
+    hold(sums)
     before = sums.agg(F.sum("n")).first()[0]
     while before:
-        sums = cut(total_of(checked(False)), "sums")
-        after = sums.agg(F.sum("n")).first()[0]
+        now = cut(total_of(checked(False)), "sums")
+        after = now.agg(F.sum("n")).first()[0]
         if after == before:
             break
-        before = after
-        history.append(sums)
+        hold(now.join(sums.select("label", F.col("n").alias("was")), "label").filter("n <> was"))  # the other means have not moved
+        before, sums = after, now
     return checked(True)
 
 

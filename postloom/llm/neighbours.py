@@ -36,6 +36,8 @@ SIGMAS = 4.0
 SCALE, SLACK = 32_767, 4e-5
 #: Lists of the first level at most, which bounds what every task compares each vector with.
 MOST_LISTS = 1_024
+#: Distances to centroids that are held at once.
+TILE = 2_000_000
 #: Columns of a block of the scan, and the width of the test in standard deviations; infinite makes the scan exact.
 STEP, EPSILON = 16, 2.1
 #: Seed of the rotation and of the centroids.
@@ -67,21 +69,32 @@ def prepare(vectors: DataFrame, name: str, emb: str) -> DataFrame:
     return rows.mapInPandas(unit, rows.schema)
 
 
+def closest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each row and its squared distance, less the square of the row. Rows are taken in tiles, so the
+    distances to all centroids are never held for all rows."""
+    own, far = np.zeros(len(x), np.int64), np.zeros(len(x), np.result_type(x, c))
+    cc = (c * c).sum(1)
+    tile = max(1, TILE // len(c))
+    for lo in range(0, len(x), tile):
+        d = cc - 2 * x[lo : lo + tile] @ c.T
+        own[lo : lo + tile], far[lo : lo + tile] = d.argmin(1), d.min(1)
+    return own, far
+
+
 def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = SEED) -> np.ndarray:
     """k-means on a sample; empty cells restart at the points farthest from their centroids."""
     rng = np.random.default_rng(seed)
     k = max(1, min(k, len(sample)))
     c = sample[rng.choice(len(sample), k, replace=False)].copy()
     for _ in range(rounds):
-        d = (c * c).sum(1) - 2 * sample @ c.T
-        own = d.argmin(1)
+        own, far = closest(sample, c)
         n = np.bincount(own, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, own, sample)
         empty = np.flatnonzero(n == 0)
         c = sums / np.maximum(n, 1)[:, None]
         if len(empty):
-            c[empty] = sample[np.argsort(d[np.arange(len(sample)), own])[::-1][: len(empty)]]
+            c[empty] = sample[np.argsort(far)[::-1][: len(empty)]]
     return c.astype(np.float32)
 
 
@@ -148,13 +161,13 @@ class Lists:
         vector is indexed."""
         c = fit_centroids(sample, min(MOST_LISTS, -(-n // list_rows)), seed=seed)
         inner = [c[k : k + 1] for k in range(len(c))]
-        own = ((c * c).sum(1) - 2 * sample @ c.T).argmin(1)
+        own = closest(sample, c)[0]
         share = np.bincount(own, minlength=len(c)) * (n / len(sample))
         if (share > most_rows).any():
             few = np.bincount(own, minlength=len(c)) < 4 * np.ceil(share / list_rows)  # too few rows to divide a list by
             if n > len(sample) and (few & (share > most_rows)).any():
                 sample = sample_of(vectors, INNER_ROWS)[0] @ turn
-                own = ((c * c).sum(1) - 2 * sample @ c.T).argmin(1)
+                own = closest(sample, c)[0]
                 share = np.bincount(own, minlength=len(c)) * (n / len(sample))
             for k in np.flatnonzero(share > most_rows):
                 rows = sample[own == k]
@@ -174,11 +187,10 @@ class Lists:
 
     def own(self, v: np.ndarray) -> np.ndarray:
         """The list of each vector."""
-        top = ((self.first * self.first).sum(1)[None] - 2 * v @ self.first.T).argmin(1)
+        top = closest(v, self.first)[0]
         out = self.base[top].copy()
         for k, at in self._inside(top):
-            c = self.inner[k]
-            out[at] += ((c * c).sum(1)[None] - 2 * v[at] @ c.T).argmin(1)
+            out[at] += closest(v[at], self.inner[k])[0]
         return out
 
     def visits(self, v: np.ndarray, reach: np.ndarray, later: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

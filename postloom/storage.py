@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +36,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, so that later stages depend on files only."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
+
+
+def written(df: DataFrame, label: str = "step") -> str:
+    """Where ``df`` was written as Parquet in the shared folder, as a path that tasks can give to stored()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/postloom-{label}-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return str(at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString())
+
+
+def stored(path: str, *columns: str) -> Iterator[pa.RecordBatch]:
+    """The batches of a table at written(), read by the task itself: they pass neither the driver nor a broadcast."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    fs, folder = pyarrow.fs.FileSystem.from_uri(path)
+    for file in sorted(x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(folder)) if x.base_name.endswith(".parquet")):
+        with fs.open_input_file(file) as f:
+            yield from pq.ParquetFile(f).iter_batches(columns=list(columns))
 
 
 def release(spark: SparkSession) -> int:

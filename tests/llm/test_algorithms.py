@@ -1,7 +1,9 @@
 """Top-N, similar vectors, term scores and groups against brute force, with the awkward cases."""
 
 import math
+import pickle
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -244,6 +246,96 @@ def test_alike_means_are_joined_without_all_their_pairs(spark, monkeypatch):
         assert laid["pairs"] < 40 * len(m)  # of 91,601 alike pairs
 
 
+def traced(f):
+    """What ``f`` gives, and the MB of this process that it took at most."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_driver_holds_no_matrix_of_all_sampled_rows_or_means(spark):
+    x = np.random.default_rng(5).normal(size=(20_000, 64)).astype(np.float32)
+    c, most = traced(lambda: neighbours.fit_centroids(x, communities.MEAN_LISTS, rounds=2))
+    assert c.shape == (communities.MEAN_LISTS, 64) and most < 100
+    own, far = neighbours.closest(x[:300], c)
+    d = ((x[:300, None].astype(float) - c[None]) ** 2).sum(2)
+    assert (own == d.argmin(1)).all() and np.allclose(far + (x[:300] ** 2).sum(1), d.min(1), atol=1e-3)
+    m = np.random.default_rng(6).normal(size=(1, 64)) + np.random.default_rng(7).normal(size=(3000, 64)) * 0.2
+    sums = communities.cut(spark.createDataFrame([(f"m{i:04d}", 1, [float(a) for a in v]) for i, v in enumerate(m)], "label string, n long, total array<double>"))
+    got, most = traced(lambda: rows(communities.united(sums).select("label", "n")))
+    assert got == [("m0000", 3000)] and most < 50  # of 9 million alike pairs
+
+
+def test_lists_of_means_and_their_slices_are_those_of_one(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    near = np.argsort(rng.random((500, 30)), axis=1)[:, :4].astype(np.int32)
+    m = rng.normal(size=(500, 8)).astype(np.float32)
+    means = spark.createDataFrame([(f"m{i:04d}", m[i].tolist(), near[i].tolist()) for i in rng.permutation(500)], "name string, emb array<float>, near array<int>")
+    for most in (10**6, 37, 500, 499):
+        monkeypatch.setattr(communities, "INDEXED", most)
+        names, got, lists = communities._directions(communities.written(means.repartition(3)), "near")
+        assert list(names) == [f"m{i:04d}" for i in range(500)] and (got == m).all() and (lists == near).all()
+        beside = communities.Beside(names, got, m[:30], lists)
+        for k in range(30):
+            assert list(beside.at[beside.start[k] : beside.start[k + 1]]) == list(np.flatnonzero((near == k).any(1)))
+    assert [len(x) for x in communities._directions(communities.written(means.limit(0)), "near")] == [0, 0, 0]
+
+
+def test_means_do_not_pass_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(300, 64))
+    v = neighbours.prepare(frame(spark, np.concatenate([m, m + rng.normal(size=m.shape) * 0.1])), "name", "emb")
+    sums = spark.createDataFrame([(f"m{i:04d}", 1, [float(a) for a in y]) for i, y in enumerate(m)], "label string, n long, total array<double>")
+    sent, broadcast = [], spark.sparkContext.broadcast
+
+    def counted(value):
+        sent.append(len(pickle.dumps(value)))
+        return broadcast(value)
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counted)
+    monkeypatch.setattr(communities, "FEW_MEANS", 10)
+    whole = rows(communities.assigned(v, sums, 0.65))
+    united = rows(communities.united(sums).select("label", "n"))
+    kept = communities.lasting(v.join(communities.assigned(v, sums, 0.65), "name"), 0.65).count()
+    assert len(whole) == kept == 600 and len(united) == 300 and not sent
+    monkeypatch.setattr(communities, "ALL_MEANS", 100)
+    assert rows(communities.assigned(v, sums, 0.65)) == whole and max(sent) < 300 * 64 * 4 / 4  # centroids of lists
+
+
+@pytest.mark.parametrize("most", [10**6, 7])
+def test_members_last_that_all_means_hold_and_only_moved_means_are_held_again(spark, monkeypatch, most):
+    rng = np.random.default_rng(10)
+    c = rng.normal(size=(20, 64))
+    spread = np.where(np.arange(20) < 4, 1.25, 0.4)
+    g = np.repeat(np.arange(20), 40)
+    x = c[g] + rng.normal(size=(800, 64)) * spread[g, None]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    held, written = [], communities.written
+
+    def counted(df, label="step"):
+        held.append(df.count() if label == "held" else 0)
+        return written(df, label)
+
+    monkeypatch.setattr(communities, "written", counted)
+    monkeypatch.setattr(communities, "MOST_MEANS", most)
+    df = spark.createDataFrame([(f"v{i:04d}", f"g{k:02d}", v.tolist()) for i, (k, v) in enumerate(zip(g, x, strict=True))], "name string, label string, emb array<float>")
+    got = {r["name"]: r["cosine"] for r in communities.lasting(df, 0.65).collect()}
+    want, rounds = {}, 0
+    for k in range(20):
+        at, last = np.flatnonzero(g == k), None
+        for n in range(99):
+            mean = x[at].sum(0) / np.linalg.norm(x[at].sum(0))
+            keep = at[x[at] @ mean >= 0.65]
+            if len(keep) == len(at):
+                break
+            at, rounds = keep, max(rounds, n + 1)
+        want |= {f"v{i:04d}": float(x[i] @ mean) for i in at}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    assert rounds >= 2 and len(got) < 800 and 20 < sum(held) <= 20 + 4 * rounds
+
+
 def test_lists_of_means_leave_no_vector_out(spark, monkeypatch):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(700, 64))
