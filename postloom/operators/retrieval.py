@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from postloom.functions import text as tx
 from postloom.functions import vectors as vx
 from postloom.sources.tables import NOISE
-from postloom.storage import cut
+from postloom.storage import cut, spread, stored, written
 
 #: Fan-out of the stages.
 TOPK, POSTS_TOPK, DISCOVERED_POSTS, NEW_CLUSTERS, FINAL = 8, 50, 120, 5, 3
 #: Rows of a matrix that every task may hold.
 MATRIX_ROWS = 100_000
+#: Requests, and clusters, whose similarities are held at once.
+TILE = 1024
 #: What a missing rank key counts as.
 LOWEST = -1e12
 
@@ -141,40 +143,94 @@ def nearest_clusters_batch(view: DataFrame, requests: DataFrame, topk: int = TOP
 
     The smaller side is a matrix in every task: the clusters, with the requests staying where they are, or the requests,
     with each partition of clusters giving its best ``topk`` a request before anything is shuffled. A side beyond
-    MATRIX_ROWS is taken in several blocks. Ties go by section and cluster."""
-    key = cut(view.select("section", "cluster_id", "centroid").filter(F.col("centroid").isNotNull()), "clusters")
+    MATRIX_ROWS is taken in several blocks; tasks read it from the shared folder and hold the similarities of TILE requests
+    and clusters at a time. Ties go by section and cluster."""
+    order = ["section", "cluster_id"]
+    key = cut(view.select(*order, "centroid").filter(F.col("centroid").isNotNull()), "clusters")
     asked = cut(requests.select("request_id", "emb").filter(F.col("emb").isNotNull()), "requests")
     schema = "request_id string, section string, cluster_id int, sim_centroid double"
 
-    def best(ids: np.ndarray, q: np.ndarray, clusters: pd.DataFrame) -> pd.DataFrame:
-        sim = 1 + q @ np.stack(clusters["centroid"].to_numpy()).astype(float).T
-        few = min(topk, sim.shape[1])
-        edge = -np.partition(-sim, few - 1, axis=1)[:, few - 1]
-        i, j = np.nonzero(sim >= edge[:, None] - 1e-12)
-        return pd.DataFrame({"request_id": ids[i], "section": clusters["section"].to_numpy()[j], "cluster_id": clusters["cluster_id"].to_numpy()[j], "sim_centroid": sim[i, j]})
+    def found(ids: np.ndarray, clusters: pd.DataFrame, top: np.ndarray, at: np.ndarray) -> Iterator[pd.DataFrame]:
+        for lo in range(0, len(ids), 8 * TILE):
+            i, k = np.nonzero(at[lo : lo + 8 * TILE] >= 0)
+            j = at[i + lo, k]
+            yield pd.DataFrame({"request_id": ids[i + lo], "section": clusters["section"].to_numpy()[j], "cluster_id": clusters["cluster_id"].to_numpy()[j], "sim_centroid": top[i + lo, k]})
 
-    def scan(held, of_requests: bool):
+    def for_requests(path: str):
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            other = held.value
+            clusters, m = _held(path, "centroid", *order)
+            places = clusters.sort_values(order, na_position="first", kind="stable").index.to_numpy()
+            clusters, m = clusters.iloc[places], m[places]
             for pdf in batches:
-                for lo in range(0, len(pdf) if len(other) else 0, 1024):
-                    part = pdf.iloc[lo : lo + 1024]
-                    left, right = (other, part) if of_requests else (part, other)
-                    yield best(left["request_id"].to_numpy(), np.stack(left["emb"].to_numpy()).astype(float), right)
+                for lo in range(0, len(pdf) if len(m) else 0, TILE):
+                    part = pdf.iloc[lo : lo + TILE]
+                    q = np.stack(part["emb"].to_numpy()).astype(float)
+                    top, at = np.full((len(q), topk), -np.inf), np.full((len(q), topk), -1)
+                    for c in range(0, len(m), TILE):
+                        _better(top, at, 1 + q @ m[c : c + TILE].T, c)
+                    yield from found(part["request_id"].to_numpy(), clusters, top, at)
+
+        return each
+
+    def for_clusters(path: str):  # which come in their order
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asking, q = _held(path, "emb", "request_id")
+            top, at = np.full((len(q), topk), -np.inf), np.full((len(q), topk), -1)
+            seen, n = [], 0
+            for pdf in batches:
+                for c in range(0, len(pdf) if len(q) else 0, TILE):
+                    m = np.stack(pdf["centroid"].iloc[c : c + TILE].to_numpy()).astype(float)
+                    for lo in range(0, len(q), TILE):
+                        _better(top[lo : lo + TILE], at[lo : lo + TILE], 1 + q[lo : lo + TILE] @ m.T, n + c)
+                seen.append(pdf[order])
+                n += len(pdf)
+            if n and len(q):
+                yield from found(asking["request_id"].to_numpy(), pd.concat(seen), top, at)
 
         return each
 
-    sc = view.sparkSession.sparkContext
     clusters, requested = key.count(), asked.count()
-    small, large, of_requests = (key, asked, False) if clusters <= requested else (asked, key, True)
+    small, large, of_requests = (key, spread(asked), False) if clusters <= requested else (asked, spread(key).sortWithinPartitions(*order), True)
     blocks = max(1, -(-min(clusters, requested) // MATRIX_ROWS))
-    found = None
+    out = None
     for b in range(blocks):
-        names = ["request_id"] if of_requests else ["section", "cluster_id"]
-        part = large.mapInPandas(scan(sc.broadcast(small.filter(F.pmod(F.xxhash64(*names), F.lit(blocks)) == b).toPandas()), of_requests), schema)
-        found = part if found is None else found.unionByName(part)
+        names = ["request_id"] if of_requests else order
+        path = written(small.filter(F.pmod(F.xxhash64(*names), F.lit(blocks)) == b), "held")
+        part = large.mapInPandas((for_clusters if of_requests else for_requests)(path), schema)
+        out = part if out is None else out.unionByName(part)
     by = Window.partitionBy("request_id").orderBy(F.desc(F.round("sim_centroid", 12)), "section", "cluster_id")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= topk)
+    return out.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= topk)
+
+
+def _held(path: str, vector: str, *names: str) -> tuple[pd.DataFrame, np.ndarray]:
+    """The rows of a table at written(): their names, and their vectors as a matrix."""
+    ids, parts = [], []
+    for batch in stored(path, *names, vector):
+        if batch.num_rows:
+            ids.append(batch.select(list(names)).to_pandas())
+            parts.append(np.stack(batch.column(vector).to_numpy(zero_copy_only=False)).astype(float))
+    return (pd.concat(ids, ignore_index=True), np.concatenate(parts)) if ids else (pd.DataFrame(columns=list(names)), np.zeros((0, 1)))
+
+
+def _better(top: np.ndarray, at: np.ndarray, sim: np.ndarray, base: int) -> None:
+    """Put the best of ``sim``, whose columns are clusters from number ``base`` on, into the best so far of each row: ``top``
+    and their numbers ``at``. Of equal ones (to 12 digits) the lower number is better; NaN is none."""
+    most = top.shape[1]
+    floor = np.round(top[:, -1], 12) + 4e-13
+    free = np.flatnonzero(at[:, -1] < 0)
+    if len(free):
+        few = min(most, sim.shape[1])
+        floor[free] = -np.partition(-sim[free], few - 1, axis=1)[:, few - 1] - 2e-12
+        floor[np.isnan(floor)] = -np.inf
+    i, j = np.nonzero(sim > floor[:, None])
+    if not len(i):
+        return
+    rows = np.unique(i)
+    row, number, value = np.concatenate([i, np.repeat(rows, most)]), np.concatenate([j + base, at[rows].ravel()]), np.concatenate([sim[i, j], top[rows].ravel()])
+    order = np.lexsort((number, -np.round(value, 12), row))
+    first = np.searchsorted(row[order], rows)
+    chosen = order[first[:, None] + np.arange(most)]  # each row has at least those it had
+    top[rows], at[rows] = value[chosen], number[chosen]
 
 
 def exemplar_posts(topics: DataFrame, posts: DataFrame, k: int) -> DataFrame:

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +175,48 @@ def test_batch_search_in_blocks_gives_what_one_gives(spark, monkeypatch):
     assert rows(retrieval.nearest_clusters_batch(view, asked.unionByName(asked.selectExpr("concat(request_id, 'x') AS request_id", "emb")).unionByName(asked.selectExpr("concat(request_id, 'y') AS request_id", "emb")), 3).filter("length(request_id) = 2")) == one
 
 
+@pytest.mark.parametrize("clusters, requests", [(70, 90), (90, 70)])
+def test_batch_search_in_tiles_against_brute_force(spark, monkeypatch, clusters, requests):
+    rng = np.random.default_rng(1)
+    c, q = rng.integers(-1, 2, (clusters, 3)).astype(float), rng.integers(-1, 2, (requests, 3)).astype(float)  # many ties
+    keys = [(f"s{k % 7}" if k % 11 else None, int(k)) for k in rng.permutation(clusters)]
+    view = spark.createDataFrame([(*key, v.tolist()) for key, v in zip(keys, c, strict=True)], "section string, cluster_id int, centroid array<double>").repartition(3)
+    asked = spark.createDataFrame([(f"r{k:03d}", v.tolist()) for k, v in enumerate(q)], "request_id string, emb array<double>")
+    want = []
+    for k, v in enumerate(q):
+        best = sorted((-(1 + v @ x), s or "", i) for (s, i), x in zip(keys, c, strict=True))[:8]
+        want += [(f"r{k:03d}", s or None, i, -d, n + 1) for n, (d, s, i) in enumerate(best)]
+    for tile, most in ((1024, 100_000), (5, 100_000), (16, 20)):
+        monkeypatch.setattr(retrieval, "TILE", tile)
+        monkeypatch.setattr(retrieval, "MATRIX_ROWS", most)
+        assert rows(retrieval.nearest_clusters_batch(view, asked, 8)) == sorted(want, key=repr)
+    assert retrieval.nearest_clusters_batch(view.limit(0), asked).count() == 0 == retrieval.nearest_clusters_batch(view, asked.limit(0)).count()
+
+
+@pytest.mark.parametrize("clusters, requests", [(40_000, 40_001), (40_001, 40_000)])
+def test_batch_search_holds_no_matrix_of_all_clusters(spark, monkeypatch, clusters, requests):
+    taken = []
+
+    def inside(df, f, schema):  # in this process, to see what a task takes
+        def traced(batches):
+            tracemalloc.start()
+            try:
+                yield from f(batches)
+            finally:
+                taken.append(tracemalloc.get_traced_memory()[1] / 1e6)
+                tracemalloc.stop()
+
+        pdf = df.limit(3000).toPandas()
+        return spark.createDataFrame(pd.concat([x.head(5) for x in traced(iter([pdf]))]), schema)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", inside)
+    vectors = [F.array(*(F.rand(k) - 0.5 for k in range(16)))]
+    view = spark.range(clusters).select(F.lit("s").alias("section"), F.col("id").cast("int").alias("cluster_id"), *[v.alias("centroid") for v in vectors])
+    asked = spark.range(requests).select(F.col("id").cast("string").alias("request_id"), *[v.alias("emb") for v in vectors])
+    retrieval.nearest_clusters_batch(view, asked, 3)
+    assert taken and max(taken) < 150  # MB; all similarities of 1,024 rows would be 328
+
+
 def test_improved_clusters_and_automatic_eps(spark):
     rng = np.random.default_rng(2)
     c = np.eye(6) * 3
